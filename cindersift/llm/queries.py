@@ -4,18 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import bpe, linededup, minhash, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule that mixes all sources, with the stretch of a document that each slot takes."""
+    return mixing.schedule(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its probability of being good and whether it is kept."""
+    scored = quality.scored(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "quality", (scored.quality >= quality.THRESHOLD).alias("keep"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, and whether they decode to its very text."""
+    return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), check=True, keep_text=False)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that repeats another nearly, with the first of its group."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_minhash": op9_minhash}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line that repeats an earlier one, exactly or within a few edits, and which."""
+    return linededup.repeated_lines(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op9_minhash": op9_minhash, "op10_line_dedup": op10_line_dedup}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.oracle()}
