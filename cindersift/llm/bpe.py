@@ -29,10 +29,10 @@ from . import columnar as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WIDE = 64
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: A vocabulary travels with every task, so its size is checked.
 LARGEST_VOCABULARY = 16 << 20
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _NONE = np.int64(1 << 60)
 
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -222,7 +222,7 @@ class Vocabulary:
 
     def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> None:
         """Encodes pieces that aren't known and remembers them."""
-        where, many = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        where, many = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
         found: list[np.ndarray] = []
         at = self.used
         width, lower = 2, 0
@@ -256,7 +256,7 @@ class Vocabulary:
         self.known.append(new)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where, many = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        where, many = np.full(len(hashes), -1, np.int32), np.zeros(len(hashes), np.int32)
         for known, place, count in self.known:
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = known[at] == hashes
@@ -290,7 +290,7 @@ class Vocabulary:
 
 def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... as many as count[0], then those of start[1], and so on."""
-    ends = np.cumsum(count)
+    start, ends = start.astype(np.int64), np.cumsum(count, dtype=np.int64)
     return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
 
 
