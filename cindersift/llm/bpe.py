@@ -32,7 +32,7 @@ WIDE = 64
 REMEMBERED = 500_000
 #: A vocabulary travels with every task, so its size is checked.
 LARGEST_VOCABULARY = 16 << 20
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _NONE = np.int64(1 << 60)
 
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
