@@ -87,3 +87,11 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORD) ->
     start = np.flatnonzero(inside & ~before)
     end = np.flatnonzero(inside & ~after) + 1
     return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def free(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name

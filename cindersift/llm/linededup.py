@@ -311,10 +311,11 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A document that loses every line it had goes; one that had none stays as it is.
     """
-    found = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("__cs_id")).agg(F.collect_list("line_no").alias("__cs_drop"))
-    joined = docs.join(found, docs[id_col].cast("bigint") == F.col("__cs_id"), "left").drop("__cs_id")
+    ids, drops = (C.free(f"__cs_{n}", docs.columns) for n in ("id", "drop"))
+    found = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias(ids)).agg(F.collect_list("line_no").alias(drops))
+    joined = docs.join(found, docs[id_col].cast("bigint") == F.col(ids), "left").drop(ids)
     at = docs.columns.index(text_col)
-    new = joined.mapInArrow(_rewrite(at), joined.drop("__cs_drop").schema)
+    new = joined.mapInArrow(_rewrite(at), joined.drop(drops).schema)
     if count_col:
         new = new.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
     return new

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import columnar as C
 
 BLOCK_TOKENS = 2048
 ALPHA = 0.8
@@ -155,12 +156,14 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     """The input's rows in the order of the schedule, each with the slots of the block in which it begins; again in each epoch."""
     placed, totals = positions(docs, id_col, text_col, source_col)
     drawn, names = _plan(placed, totals, weights, alpha, block_tokens, max_epochs)
-    at = placed.join(F.broadcast(names.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).select("idx", F.floor(F.col("first_token") / block_tokens).alias("block"), F.col("doc_id").alias("__cs_id"), F.col("source").alias("__cs_source"), F.col("mark").alias("__cs_mark"), "first_token")
-    order = drawn.join(at, ["idx", "block"]).groupBy("__cs_id", "__cs_source", "__cs_mark").agg(F.collect_list(F.struct("slot", "first_token")).alias("__cs_at"))
-    found = docs.withColumn("__cs_md5", F.md5(F.col(text_col).cast("string")))
-    same = F.col("__cs_md5").eqNullSafe(F.col("__cs_mark")) & F.col(id_col).eqNullSafe(F.col("__cs_id")) & F.col(source_col).eqNullSafe(F.col("__cs_source"))
-    rows = found.join(order, same).withColumn("__cs_at", F.explode("__cs_at"))
-    return rows.orderBy("__cs_at.slot", "__cs_at.first_token").select(*(F.col(f"`{c}`") for c in docs.columns))
+    at = placed.join(F.broadcast(names.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    ids, sources, marks, md5, places = (C.free(f"__cs_{n}", docs.columns) for n in ("id", "source", "mark", "md5", "at"))
+    at = at.select("idx", F.floor(F.col("first_token") / block_tokens).alias("block"), F.col("doc_id").alias(ids), F.col("source").alias(sources), F.col("mark").alias(marks), "first_token")
+    order = drawn.join(at, ["idx", "block"]).groupBy(ids, sources, marks).agg(F.collect_list(F.struct("slot", "first_token")).alias(places))
+    found = docs.withColumn(md5, F.md5(F.col(text_col).cast("string")))
+    same = F.col(md5).eqNullSafe(F.col(marks)) & F.col(id_col).eqNullSafe(F.col(ids)) & F.col(source_col).eqNullSafe(F.col(sources))
+    rows = found.join(order, same).withColumn(places, F.explode(places))
+    return rows.orderBy(f"{places}.slot", f"{places}.first_token").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(table: str = "documents", block: int = BLOCK_TOKENS, alpha: float = ALPHA, epochs: int = MAX_EPOCHS) -> str:

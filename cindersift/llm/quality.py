@@ -245,4 +245,5 @@ def scored(docs: DataFrame, text_col: str = "text", name: str = "quality", train
 
 def good_documents(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """The documents that the classifier keeps, with the columns of the input."""
-    return scored(docs, text_col, "__cs_quality", train_docs).where(F.col("__cs_quality") >= threshold).select(*docs.columns)
+    name = C.free("__cs_quality", docs.columns)
+    return scored(docs, text_col, name, train_docs).where(F.col(name) >= threshold).drop(name)
