@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindersift.llm import bpe, linededup, minhash, mixing, quality
+from cindersift.llm import bpe, columnar, linededup, minhash, mixing, quality
 from cindersift.session import written
 
 
@@ -21,8 +21,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    gone = minhash.near_duplicates(docs).select(F.col("doc_id").alias("__cs_id"))
-    return docs.join(gone, docs.doc_id == F.col("__cs_id"), "left_anti")
+    name = columnar.free("__cs_id", docs.columns)
+    gone = minhash.near_duplicates(docs).select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs.doc_id == F.col(name), "left_anti")
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
