@@ -135,8 +135,9 @@ def _plan(placed: DataFrame, totals, weights, alpha, block_tokens, max_epochs) -
     names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(totals)], "idx bigint, source string")
     sizes = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "idx bigint, blocks bigint")
     drawn = written(slots(spark, most, cumulative).join(F.broadcast(sizes), "idx"), "mix-slots")
-    stop = drawn.agg(F.max(F.when(F.col("rank") == F.col("blocks") - 1, F.col("slot"))).alias("used"), F.min(F.when(F.col("rank") == F.col("blocks") * max_epochs, F.col("slot"))).alias("over")).first()
-    end = min(x for x in (most, None if stop.used is None else stop.used + 1, stop.over) if x is not None)
+    stop = drawn.agg(F.max(F.when(F.col("rank") == F.col("blocks") - 1, F.col("slot"))).alias("used"), F.count_if(F.col("rank") == F.col("blocks") - 1).alias("done"), F.min(F.when(F.col("rank") == F.col("blocks") * max_epochs, F.col("slot"))).alias("over")).first()
+    # a source whose last block isn't among the drawn slots isn't done, so the others' ends don't count
+    end = min(x for x in (most, stop.used + 1 if stop.used is not None and stop.done == len(live) else None, stop.over) if x is not None)
     return drawn.where(F.col("slot") < end).select("slot", "idx", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch")), names
 
 

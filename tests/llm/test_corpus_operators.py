@@ -83,6 +83,14 @@ def test_mixing(spark, docs):
         mixing.schedule(docs, weights={"a": 1.0})
 
 
+def test_mixing_unfinished_source(spark):
+    d = spark.createDataFrame([(1, "w w", "tiny"), *((k, f"w{k} " * 100, "hot") for k in range(10, 1210))], "doc_id bigint, text string, source string")
+    out = mixing.schedule(d, block_tokens=2).select("doc_id", "source", "epoch").distinct().collect()
+    # the end of the tiny source's first pass isn't the end of the schedule
+    assert {r["epoch"] for r in out if r["source"] == "tiny"} == set(range(mixing.MAX_EPOCHS))
+    assert len({r["doc_id"] for r in out if r["source"] == "hot"}) > 200
+
+
 def test_topk(spark):
     r = np.random.default_rng(2)
     for _ in range(30):
