@@ -4,11 +4,14 @@ The documents of a source stand in a shuffled order (by the MD5 of seed and id)
 into blocks of ``BLOCK_TOKENS``; only the last block of a source is shorter. Slot i of the schedule has the point
 ``i * GOLDEN mod 2**31``, the golden-ratio sequence in integers; the cumulative weights, scaled to 2**31, say whose slot
 it is. The r-th slot of a source takes its block ``r mod blocks``, so shares are met closely in every stretch of the
-schedule and a source that runs out begins again. The schedule ends as soon as every block has had a slot, or
-before a source would begin its pass ``max_epochs + 1``. Without given weights a source weighs tokens ** ``ALPHA``.
+schedule and a source that runs out begins again. A source that has had ``max_epochs`` passes is out: its later points
+are passed over, and the slots go to the others by their weights. The schedule ends as soon as every block has had a
+slot. Without given weights a source weighs tokens ** ``ALPHA``.
 
-Both running counts, of tokens and of slots, are two-level prefix sums: within a bucket, and over the few buckets'
-totals. So no task has a whole source, however large.
+The running count of tokens is a two-level prefix sum: within a bucket, and over the few buckets' totals. So no task
+has a whole source, however large. The running count of slots is a sum of floors, which has a closed form, so the
+driver finds each source's end without drawing the slots. When half of the weight is out, the sequence begins anew
+with the weights of the rest (a stretch), so a schedule draws little more than twice the points it keeps.
 
 Defined results: null is a source like any other; documents without tokens have no place in the schedule; rows that
 repeat id, source and text are one document; a null id is an id. An empty table gives an empty schedule. Weights name
@@ -42,22 +45,17 @@ _SLACK = 4
 TOKEN = "[^ \\t\\n\\r]+"
 
 
-def _shares(totals: list[tuple[str | None, int]], weights: dict[str | None, float] | None, alpha: float) -> list[int]:
-    """Cumulative weights of the sources, scaled to UNIT."""
+def _parts(totals: list[tuple[str | None, int]], weights: dict[str | None, float] | None, alpha: float) -> list[int]:
+    """Weights of the sources as integers."""
     if weights is None:
-        parts = [math.floor(math.pow(n, alpha) * 1000) for _, n in totals]
-    else:
-        if missing := [s for s, _ in totals if s not in weights]:
-            raise ValueError(f"no weight for source {missing[0]!r}")
-        if any(weights[s] < 0 for s, _ in totals):
-            raise ValueError("a weight is negative")
-        top = max((weights[s] for s, _ in totals), default=0)
-        parts = [round(weights[s] / top * 1_000_000_000) if top else 0 for s, _ in totals]
-    whole, run, out = sum(parts), 0, []
-    for p in parts:
-        run += p
-        out.append(run * UNIT // whole if whole else 0)
-    return out
+        return [math.floor(math.pow(n, alpha) * 1000) for _, n in totals]
+    if missing := [s for s, _ in totals if s not in weights]:
+        raise ValueError(f"no weight for source {missing[0]!r}")
+    if any(weights[s] < 0 for s, _ in totals):
+        raise ValueError("a weight is negative")
+    top = max((weights[s] for s, _ in totals), default=0)
+    # a weight above 0 is never rounded to 0, which would leave the source out
+    return [max(1, round(weights[s] / top * 1_000_000_000)) if weights[s] else 0 for s, _ in totals]
 
 
 def positions(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, list[tuple[str | None, int]]]:
@@ -88,6 +86,37 @@ def owners(first: int, last: int, cumulative: np.ndarray) -> np.ndarray:
     return np.searchsorted(cumulative, points, "right")
 
 
+def _floors(n: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of (GOLDEN * i + b) // UNIT over i below n, for n and b up to UNIT."""
+    out, a, m = np.zeros(len(n), np.int64), GOLDEN, UNIT
+    n, b = n.astype(np.int64), b.astype(np.int64)
+    while n.any():
+        out += n * (n - 1) // 2 * (a // m) + n * (b // m)
+        a, b = a % m, b % m
+        y = a * n + b
+        n, b = y // m, y % m
+        a, m = m, a
+        if not m:
+            break
+    return out
+
+
+def counts(n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How many of the first n points lie from low up to high."""
+    rounds, n = n // UNIT, n % UNIT  # each UNIT points are all integers below UNIT
+    return rounds * (high - low) + _floors(n, UNIT - low) - _floors(n, UNIT - high)
+
+
+def _reach(ranks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The slot in which each (not empty) range has its point number ``ranks``, from 0."""
+    under, upto = np.zeros(len(ranks), np.int64), (ranks // (high - low) + 1) * UNIT
+    while (under < upto).any():
+        middle = (under + upto) // 2
+        enough = counts(middle + 1, low, high) > ranks
+        under, upto = np.where(enough, under, np.minimum(middle + 1, upto)), np.where(enough, middle, upto)
+    return under
+
+
 def _ranks(own: np.ndarray) -> np.ndarray:
     order = np.argsort(own, kind="stable")
     sizes = np.bincount(own)
@@ -96,49 +125,70 @@ def _ranks(own: np.ndarray) -> np.ndarray:
     return rank
 
 
-def slots(spark, count: int, cumulative: list[int]) -> DataFrame:
-    """(slot, idx, rank): the source of each slot and how many slots the source had before."""
-    edges = np.array(cumulative, np.int64)
+def _edges(parts: list[int]) -> np.ndarray:
+    whole, run, out = sum(parts), 0, []
+    for p in parts:
+        run += p
+        out.append(run * UNIT // whole)
+    return np.array(out, np.int64)
+
+
+def stretches(parts: list[int], blocks: list[int], max_epochs: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first slot, points, cumulative weights, slots of each source before) until every block of a source with weight has a slot."""
+    size = np.array(blocks, np.int64)
+    most, had = size * max_epochs, np.zeros(len(blocks), np.int64)
+    weight = np.array([p > 0 for p in parts], bool)
+    out, slot = [], 0
+    while (undone := weight & (had < size)).any():
+        live = weight & (had < most)
+        for some in (live, undone):
+            edges = _edges([p if x else 0 for p, x in zip(parts, some)])
+            low = np.append(0, edges[:-1])
+            if (undone & (edges > low)).any():  # a weight can be too small for the scale while large ones are live
+                break
+        wide = np.flatnonzero(edges > low)
+        ends = _reach(most[wide] - had[wide], low[wide], edges[wide])
+        left = wide[undone[wide]]
+        points = int(_reach(size[left] - 1 - had[left], low[left], edges[left]).max()) + 1
+        order = np.argsort(ends, kind="stable")
+        half = int(np.searchsorted(np.cumsum((edges - low)[wide][order]), UNIT // 2))
+        points = min(points, int(ends[order[half]]))
+        out.append((slot, points, edges, had))
+        after = np.minimum(had + counts(np.full(len(edges), points), low, edges), most)
+        slot, had = slot + int((after - had).sum()), after
+    return out
+
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column(0).to_pylist():
-                sizes = np.bincount(owners(c * CHUNK_SLOTS, min((c + 1) * CHUNK_SLOTS, count), edges))
-                idx = np.flatnonzero(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), c)), pa.array(idx.astype(np.int64)), pa.array(sizes[idx].astype(np.int64))], names=["chunk", "idx", "n"])
+def slots(spark, plan: list[tuple[int, int, np.ndarray, np.ndarray]], blocks: list[int], max_epochs: int) -> DataFrame:
+    """(slot, idx, block, epoch) of the stretches."""
+    size = np.array(blocks, np.int64)
+    firsts = np.cumsum([0] + [-(-points // CHUNK_SLOTS) for _, points, _, _ in plan])
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = owners(c * CHUNK_SLOTS, min((c + 1) * CHUNK_SLOTS, count), edges)
-                base = np.zeros(len(edges) + 1, np.int64)
-                for s in starts:
-                    base[s["idx"]] = s["base"]
-                yield pa.RecordBatch.from_arrays([pa.array(c * CHUNK_SLOTS + np.arange(len(own), dtype=np.int64)), pa.array(own.astype(np.int64)), pa.array(base[own] + _ranks(own))], names=["slot", "idx", "rank"])
+            for c in batch.column(0).to_pylist():
+                k = int(np.searchsorted(firsts, c, "right")) - 1
+                slot, points, edges, had = plan[k]
+                first = (c - int(firsts[k])) * CHUNK_SLOTS
+                own = owners(first, min(first + CHUNK_SLOTS, points), edges)
+                seen = had + counts(np.full(len(edges), first), np.append(0, edges[:-1]), edges)
+                begin = slot + int((np.minimum(seen, size * max_epochs) - had).sum())
+                rank = seen[own] + _ranks(own)
+                kept = rank < size[own] * max_epochs
+                own, rank = own[kept], rank[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(begin + np.arange(len(own), dtype=np.int64)), pa.array(own.astype(np.int64)), pa.array(rank % size[own]), pa.array(rank // size[own])], names=["slot", "idx", "block", "epoch"])
 
-    chunks = spark.range(-(-count // CHUNK_SLOTS))
-    before = Window.partitionBy("idx").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tallied = chunks.mapInArrow(tally, "chunk bigint, idx bigint, n bigint").withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = tallied.groupBy("chunk").agg(F.collect_list(F.struct("idx", "base")).alias("starts"))
-    return starts.mapInArrow(lay, "slot bigint, idx bigint, rank bigint")
+    return spark.range(int(firsts[-1])).mapInArrow(lay, "slot bigint, idx bigint, block bigint, epoch bigint")
 
 
 def _plan(placed: DataFrame, totals, weights, alpha, block_tokens, max_epochs) -> tuple[DataFrame, DataFrame]:
     """The slots with (slot, idx, block, epoch), and (idx, source)."""
     spark = placed.sparkSession
-    cumulative = _shares(totals, weights, alpha)
-    widths = [b - a for a, b in zip([0, *cumulative], cumulative)]
     blocks = [-(-t // block_tokens) for _, t in totals]
-    live = [(b, w) for b, w in zip(blocks, widths) if w]
-    most = max((-(-(b + _SLACK) * UNIT // w) for b, w in live), default=0)
-    most = min([most, *(-(-(max_epochs * b + _SLACK) * UNIT // w) for b, w in live)])
+    plan = stretches(_parts(totals, weights, alpha), blocks, max_epochs)
     names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(totals)], "idx bigint, source string")
-    sizes = spark.createDataFrame([(i, b) for i, b in enumerate(blocks)], "idx bigint, blocks bigint")
-    drawn = written(slots(spark, most, cumulative).join(F.broadcast(sizes), "idx"), "mix-slots")
-    stop = drawn.agg(F.max(F.when(F.col("rank") == F.col("blocks") - 1, F.col("slot"))).alias("used"), F.count_if(F.col("rank") == F.col("blocks") - 1).alias("done"), F.min(F.when(F.col("rank") == F.col("blocks") * max_epochs, F.col("slot"))).alias("over")).first()
-    # a source whose last block isn't among the drawn slots isn't done, so the others' ends don't count
-    end = min(x for x in (most, stop.used + 1 if stop.used is not None and stop.done == len(live) else None, stop.over) if x is not None)
-    return drawn.where(F.col("slot") < end).select("slot", "idx", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch")), names
+    # written, as Spark would take the slots for as few as their chunks and broadcast them
+    return written(slots(spark, plan, blocks, max_epochs), "mix-slots"), names
 
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -168,7 +218,10 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
 
 
 def oracle(table: str = "documents", block: int = BLOCK_TOKENS, alpha: float = ALPHA, epochs: int = MAX_EPOCHS) -> str:
-    """DuckDB SQL for :func:`schedule` with its default weights."""
+    """DuckDB SQL for :func:`schedule` with its default weights, where every block has a slot before any source has used its epochs.
+
+    Beyond that it isn't the same: the SQL ends the schedule there and loses the blocks that are left.
+    """
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, source, md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, md5(text) AS mark,
              len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS tokens FROM {table} WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) > 0),

@@ -91,6 +91,28 @@ def test_mixing_unfinished_source(spark):
     assert len({r["doc_id"] for r in out if r["source"] == "hot"}) > 200
 
 
+def test_mixing_keeps_all(spark):
+    # stretches against drawing the points one by one
+    for parts, blocks in (([5, 90, 400, 7], [1, 40, 900, 2]), ([1, 10**9, 3], [2, 3, 50]), ([1, 10**12], [5, 7]), ([7], [3]), ([0, 3], [4, 5])):
+        plan = mixing.stretches(parts, blocks, 4)
+        had, slot = [0] * len(parts), 0
+        for first, points, edges, before in plan:
+            assert (first, list(before)) == (slot, had)
+            if points < 10**6:
+                for k in mixing.owners(0, points, edges).tolist():
+                    slot, had[k] = (slot + 1, had[k] + 1) if had[k] < 4 * blocks[k] else (slot, had[k])
+            else:
+                assert False, "too many points"
+        assert all(b <= h <= 4 * b for h, b, p in zip(had, blocks, parts) if p)
+    d = spark.createDataFrame([(1, "w w", "tiny"), (2, "w " * 40, None), *((k, f"w{k} " * 100, "hot") for k in range(10, 1210))], "doc_id bigint, text string, source string")
+    out = mixing.schedule(d, block_tokens=2).select("doc_id", "source", "slot", "epoch", "block").distinct().collect()
+    assert {r["doc_id"] for r in out} == {1, 2, *range(10, 1210)} and max(r["epoch"] for r in out) < mixing.MAX_EPOCHS
+    assert {r["block"] for r in out if r["source"] == "hot"} == set(range(60000))
+    assert {r["slot"] for r in out} == set(range(len({(r["source"], r["epoch"], r["block"]) for r in out})))
+    assert {r["doc_id"] for r in mixing.mixed(d, block_tokens=2).select("doc_id").distinct().collect()} == {1, 2, *range(10, 1210)}
+    assert {r["source"] for r in mixing.schedule(d, weights={"tiny": 0, None: 1e-12, "hot": 1.0}, block_tokens=2).select("source").distinct().collect()} == {None, "hot"}
+
+
 def test_topk(spark):
     r = np.random.default_rng(2)
     for _ in range(30):
