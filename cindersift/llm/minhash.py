@@ -1,13 +1,12 @@
 """Near-duplicate documents by MinHash and an LSH forest.
 
 Each document is the set of its word ``SHINGLE``-grams (lower case, punctuation dropped). Its signature holds
-``TREES * DEPTH`` minima. Every tree of the forest orders all documents by ``DEPTH`` of them: documents whose labels
-share a prefix lie side by side, and the longest common prefixes are with the nearest. A region of the order that
-shares ``ROOT`` values is one sorted run; inside it each document meets the ``REACH`` that follow it as long as they
-share at least that prefix. So where few documents share a prefix all of them meet, and where many do a document
-meets those that share more of its label: the depth adapts to how crowded the region is. Documents with the same
-whole label are linked in a chain of overlapping windows, so a group of any size is found with work in proportion to
-it. Candidates are verified by the share of equal minima, and groups are the connected components.
+``TREES * DEPTH`` minima. Every tree of the forest orders all documents by ``DEPTH`` of them, so those whose labels
+begin with the same ``ROOT`` values lie side by side, as a region. All members of a region meet, however many they
+are, and are verified there by the share of equal minima, so no candidates are shuffled. Equal signatures are one
+member, and what is connected already isn't compared again: copies take work in proportion to their number, while a
+region of many documents that share a passage without being copies takes work in proportion to its pairs. A region
+gives edges that connect what all its verified pairs would. Groups are the connected components.
 
 Defined results: a document that is null, empty or white space is in no group. One without a word but with other
 characters is in a group with its exact copies. Rows with a null id are ignored. Rows that repeat an id are one
@@ -30,7 +29,9 @@ SHINGLE = 3
 TREES = 16
 DEPTH = 8
 ROOT = 2
-REACH = 8
+#: Regions of up to so many members are worked on together, larger ones each on its own.
+SMALL = 16
+_PAIRS = 1 << 15
 THRESHOLD = 0.5
 
 _rng = np.random.default_rng(20240229)
@@ -102,8 +103,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = offsets[a : b + 1] - offsets[a]
             gram, of, whole = shingles(data[offsets[a] : offsets[b]], own)
             present, sig = signatures(gram, of, b - a)
-            blob = np.ascontiguousarray(sig).view("u1").reshape(len(present), -1)
-            size = blob.shape[1] if len(present) else 0
+            blob = np.ascontiguousarray(sig).view("u1").reshape(len(present), TREES * DEPTH * 4)
+            size = blob.shape[1]
             at = pa.py_buffer((np.arange(len(present) + 1, dtype=np.int32) * size).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[a:b][present], pa.int64()), pa.array(whole[present].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(present), [None, at, pa.py_buffer(blob.tobytes())])],
@@ -111,39 +112,87 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of rows sorted by label: up to REACH that follow and share the first ROOT values in the same tree."""
-    kept_label, kept_doc = np.zeros((0, 1 + DEPTH * 4), np.uint8), np.zeros(0, np.int64)
-    for batch in batches:
-        data, _ = C.utf8(batch.column("label"))
-        label = np.concatenate((kept_label, data.reshape(-1, 1 + DEPTH * 4)))
-        doc = np.concatenate((kept_doc, batch.column("doc").to_numpy()))
-        old = len(kept_doc)
-        root = np.ascontiguousarray(label[:, : 1 + ROOT * 4]).view(f"V{1 + ROOT * 4}").ravel()
-        same = root[1:] == root[:-1]
-        left, right, linked = [], [], np.ones(max(len(doc) - 1, 0), bool)
-        for step in range(1, min(REACH, len(doc) - 1) + 1):
-            linked = (linked[: len(doc) - step]) & same[step - 1 :]
-            new = np.flatnonzero(linked)
-            new = new[new + step >= old]
-            left.append(doc[new])
-            right.append(doc[new + step])
-        kept_label, kept_doc = label[-REACH:], doc[-REACH:]
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def _verify(threshold: float):
+def _alike(equal: np.ndarray) -> np.ndarray:
+    # a byte of each minimum is compared; 1 in 256 agrees by chance
+    return (equal / (TREES * DEPTH) - 1 / 256) / (1 - 1 / 256)
+
+
+def _joined(sig: np.ndarray, threshold: float) -> np.ndarray:
+    """For each row of a region, the first row that it is connected to by pairs of at least ``threshold``."""
+    _, first, copy = np.unique(np.ascontiguousarray(sig).view(f"V{sig.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    columns = np.ascontiguousarray(sig[first].T)
+    n = len(first)
+    root = np.arange(n)
+    step = 64
+    for at in range(0, n, step):
+        own = np.arange(at, min(at + step, n))
+        others = np.arange(at + 1, n)
+        if (root[own] == root[at]).all():
+            others = others[root[others] != root[at]]
+        for lead in range(0, len(others), 1 << 12):
+            with_ = others[lead : lead + (1 << 12)]
+            equal = np.zeros((len(own), len(with_)), np.uint8)
+            for c in columns:
+                equal += c[own][:, None] == c[with_][None, :]
+            near = _alike(equal) >= threshold
+            near &= root[own][:, None] != root[with_][None, :]
+            for i in np.flatnonzero(near.any(1)):
+                roots = np.unique(np.append(root[with_[near[i]]], root[own[i]]))
+                if len(roots) > 1:
+                    root[np.isin(root, roots)] = roots[0]
+    # the first row of each component, in the order of the input
+    least = np.full(n, len(sig))
+    np.minimum.at(least, root[copy], np.arange(len(sig)))
+    return least[root[copy]]
+
+
+def _meet(threshold: float):
+    """Edges within the regions of rows sorted by root."""
+
+    def pairs(root: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
+        size = np.diff(np.append(first, len(root)))
+        end = np.repeat(first + size, size)
+        small = np.repeat(size <= SMALL, size)
+        for step in range(1, SMALL):
+            left = np.flatnonzero(small & (np.arange(len(root)) + step < end))
+            for at in range(0, len(left), _PAIRS):
+                x = left[at : at + _PAIRS]
+                x = x[_alike((sig[x] == sig[x + step]).sum(1)) >= threshold]
+                yield doc[x], doc[x + step]
+        for k in np.flatnonzero(size > SMALL):
+            own = doc[first[k] : first[k] + size[k]]
+            to = own[_joined(sig[first[k] : first[k] + size[k]], threshold)]
+            yield own[own != to], to[own != to]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def done(parts) -> Iterator[pa.RecordBatch]:
+            for x, y in pairs(*(np.concatenate(v) for v in zip(*parts))):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
         for batch in batches:
-            if batch.num_rows:
-                x, y = (C.utf8(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("x", "y"))
-                like = (x == y).mean(1)
-                # a byte of each minimum is compared; 1 in 256 agrees by chance
-                like = (like - 1 / 256) / (1 - 1 / 256)
-                yes = like >= threshold
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(yes)), batch.column("b").filter(pa.array(yes)), pa.array(like[yes])], names=["a", "b", "likeness"])
+            if not batch.num_rows:
+                continue
+            data, _ = C.utf8(batch.column("root"))
+            root = np.ascontiguousarray(data.reshape(batch.num_rows, -1)).view(f"V{1 + ROOT * 4}").ravel()
+            sig = C.utf8(batch.column("sig"))[0].reshape(batch.num_rows, -1)
+            doc = batch.column("doc").to_numpy()
+            cut = 0
+            if held and root[0] != held[-1][0][-1]:
+                yield from done(held)
+                held = []
+            # what comes before the last region is whole
+            last = np.flatnonzero(root != root[-1])
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from done([*held, (root[:cut], doc[:cut], sig[:cut])])
+                held = []
+            held.append((root[cut:], doc[cut:].copy(), sig[cut:].copy()))
+        if held:
+            yield from done(held)
 
     return run
 
@@ -182,24 +231,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = Window.partitionBy("words")
     groups = signed.select("doc", F.min("doc").over(first).alias("rep"))
     reps = signed.groupBy("words").agg(F.min_by("sig", "doc").alias("sig"), F.min("doc").alias("doc")).select("doc", "sig")
-    rows = reps.select(
-        "doc",
-        F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("sig", t * DEPTH * 4 + 1, DEPTH * 4)) for t in range(TREES)])).alias("label"),
-    )
-    runs = rows.repartition(F.xxhash64(F.substring("label", 1, 1 + ROOT * 4))).sortWithinPartitions("label", "doc")
-    pairs = runs.mapInArrow(_meet, "a bigint, b bigint").where("a <> b").distinct()
-    short = reps.mapInArrow(_shorten, "doc bigint, sig binary")
-    both = pairs.join(short.select(F.col("doc").alias("a"), F.col("sig").alias("x")), "a").join(short.select(F.col("doc").alias("b"), F.col("sig").alias("y")), "b")
-    edges = both.mapInArrow(_verify(threshold), "a bigint, b bigint, likeness double")
+    short = reps.mapInArrow(_shorten, "doc bigint, roots binary, sig binary")
+    width = ROOT * 4
+    root = F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("roots", t * width + 1, width)) for t in range(TREES)])).alias("root")
+    runs = short.select(root, "doc", "sig").repartition("root").sortWithinPartitions("root", "doc")
+    edges = runs.mapInArrow(_meet(threshold), "a bigint, b bigint").where("a <> b")
     roots = components(edges)
     found = groups.join(roots, groups.rep == roots.node, "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "rep").alias("duplicate_of"))
     return found.where("doc_id <> duplicate_of").distinct()
 
 
 def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One byte of each minimum."""
+    """The first ROOT minima of each tree, and one byte of each minimum."""
+
+    def binary(rows: np.ndarray) -> pa.Array:
+        at = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]).tobytes())
+        return pa.Array.from_buffers(pa.binary(), len(rows), [None, at, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
     for batch in batches:
         n = batch.num_rows
-        sig = C.utf8(batch.column("sig"))[0].reshape(n, -1)[:, 3::4] if n else np.zeros((0, 0), np.uint8)
-        at = pa.py_buffer((np.arange(n + 1, dtype=np.int32) * sig.shape[1]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.Array.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(np.ascontiguousarray(sig).tobytes())])], names=["doc", "sig"])
+        sig = C.utf8(batch.column("sig"))[0].reshape(n, TREES * DEPTH * 4)
+        roots = sig.reshape(n, TREES, DEPTH * 4)[:, :, : ROOT * 4].reshape(n, TREES * ROOT * 4)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), binary(roots), binary(sig[:, 3::4])], names=["doc", "roots", "sig"])

@@ -33,6 +33,32 @@ def test_minhash(spark, docs):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_minhash_crowded(spark):
+    # 3 passages of 100 words, each shared by many documents of 100 more words, of which planted pairs have half in common
+    r = random.Random(11)
+    words = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passages, rows = [words(100) for _ in range(3)], []
+    for k in range(1500):
+        passage, both = passages[k % 3], words(50)
+        rows += [(2 * k + j, " ".join(passage + both + words(50))) for j in range(2)]
+    gone = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    data = "".join(x for _, x in rows).encode()
+    offsets = np.cumsum([0] + [len(x) for _, x in rows])
+    gram, of, _ = minhash.shingles(np.frombuffer(data, np.uint8), offsets)
+    _, sig = minhash.signatures(gram, of, len(rows))
+    sig = sig.astype(np.uint32)
+    # brute force: all pairs that share the first minima in any tree, verified
+    group = np.arange(len(rows))
+    for i in range(len(rows)):
+        same = (sig == sig[i]).reshape(-1, minhash.TREES, minhash.DEPTH)
+        met = np.flatnonzero(same[:, :, : minhash.ROOT].all(2).any(1))
+        like = (((sig[met] & 255) == (sig[i] & 255)).mean(1) - 1 / 256) / (1 - 1 / 256)
+        roots = np.unique(group[met[like >= minhash.THRESHOLD]])
+        group[np.isin(group, roots)] = roots[0]
+    assert {(x["doc_id"], x["duplicate_of"]) for x in gone} == {(k, int(g)) for k, g in enumerate(group) if k != g}
+    assert sum(group[2 * k] == group[2 * k + 1] for k in range(1500)) > 1350
+
+
 def test_line_dedup(spark):
     a, b = "this line is long enough to count", "this line is long enogh to count"
     rows = [(1, f"{a}\nshort\nshort"), (2, f"{a}\nshort"), (3, b), (4, None), (5, ""), (None, a)]
