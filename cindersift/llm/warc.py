@@ -90,21 +90,21 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """Headers, block and end of the plain record at a place, or what is wrong with it."""
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
     if not data.startswith((b"WARC/1.0\r\n", b"WARC/1.1\r\n"), at):
         return "no version line"
-    if end < 0:
-        return "headers without end"
-    headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    headers, place = {}, at + 10
+    while (end := data.find(b"\r\n", place)) != place:
+        if end < 0:
+            return "headers without end"
+        name, colon, value = data[place:end].partition(b":")
         if not colon:
             return "bad header line"
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        place = end + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         return "no length"
-    first, last = end + 4, end + 4 + int(length)
+    first, last = end + 2, end + 2 + int(length)
     if last + 4 > len(data):
         return "cut short"
     if data[last : last + 4] != b"\r\n\r\n":

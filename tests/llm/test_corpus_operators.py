@@ -182,6 +182,15 @@ def test_warc(spark):
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk")] == ["gap"]
 
 
+def test_warc_long_url():
+    url = "http://x/" + "a b" * 100_000
+    one = warc.record(1, url, b"page")
+    for data in (warc.member(one), one, one[:-9] + warc.member(one)):
+        found = list(warc.salvage(data))
+        assert [x[4] for x in found if x[0] == "record"] == [b"page"] and found[-1][3]["warc-target-uri"] == url.replace(" ", "%20")
+    assert [x[0] for x in warc.salvage(one[:200_000])] == ["gap"]
+
+
 def test_media(spark):
     for kind in range(1, 8):
         for n in (1, 2, 50):
