@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: What a Python worker gets at a time; Spark's own bound is many times that, for each worker and its task in the JVM.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by their bytes, unless the session says how; a longer row is a batch of its own."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
