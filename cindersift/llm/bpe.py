@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from . import columnar as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -349,6 +350,7 @@ def encoded(docs: DataFrame, text_col: str = "text", vocabulary_path: str = VOCA
 
     Without ``keep_text`` the text column is left out of the result.
     """
+    small_batches(docs.sparkSession)
     new = ["tokens", "n_tokens", *(["intact"] if check else [])]
     if clash := {c.lower() for c in docs.columns} & set(new):
         raise ValueError(f"the input has columns named {sorted(clash)}")
@@ -377,6 +379,7 @@ def _decode(blob: bytes, column: int):
 
 def decoded(tokens: DataFrame, tokens_col: str = "tokens", vocabulary_path: str = VOCABULARY) -> DataFrame:
     """The input with ``decoded``: the text of each row's tokens; null for null."""
+    small_batches(tokens.sparkSession)
     if "decoded" in {c.lower() for c in tokens.columns}:
         raise ValueError("the input has a column named decoded")
     schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())])

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 TRAIN_PAGES = 3000
 THRESHOLD = 0.5
 _BATCH_BYTES = 4 << 20
@@ -252,6 +254,7 @@ def _count(labels: Callable[[Page], np.ndarray | None]):
 
 def fit(pages: DataFrame, html_col: str = "html", labels: Callable[[Page], np.ndarray | None] = marked, train_pages: int = TRAIN_PAGES) -> Potentials | None:
     """Potentials from labelled pages; None if there is none."""
+    small_batches(pages.sparkSession)
     texts = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null and html <> ''")
     share = min(1.0, train_pages / max(texts.count(), 1))
     chosen = texts.where(F.xxhash64("html").bitwiseAND(F.lit((1 << 40) - 1)) < int(share * (1 << 40)))
@@ -280,5 +283,6 @@ def _extract(model: Potentials | None, threshold: float):
 
 def extract(pages: DataFrame, model: Potentials | None, id_col: str = "page_id", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, text, nodes, content_nodes) of each page."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extract(model, threshold), "page_id bigint, text string, nodes int, content_nodes int")

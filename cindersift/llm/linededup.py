@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import small_batches, written
 from . import columnar as C
 
 MIN_BYTES = 20
@@ -283,6 +283,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Line numbers begin at 0. Of several lines within the tolerance the earliest is named.
     """
+    small_batches(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
     seen = written(lines.select("doc", "no", "n", "h", "g", F.when(F.col("n") < MIN_BYTES, F.col("doc")).otherwise(F.lit(-1)).alias("own")), "lines")
     firsts = seen.groupBy("h", "g", "own").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"))

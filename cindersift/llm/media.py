@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 TILE = 32
 #: The largest picture that is decoded; what claims more is reported as an error.
 LARGEST = 1 << 28
@@ -208,6 +210,7 @@ def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pictures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, image): each text drawn byte by byte, in a kind that goes by its id; null for null."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("data"))
     return rows.mapInArrow(_draw, "id bigint, image binary")
 
@@ -232,5 +235,6 @@ def _decode(tile: int):
 
 def tiles(images: DataFrame, id_col: str = "id", image_col: str = "image", tile: int = TILE) -> DataFrame:
     """(id, width, height, planes, tile, dhash, error) of each encoded image."""
+    small_batches(images.sparkSession)
     rows = images.select(F.col(id_col).cast("bigint").alias("id"), F.col(image_col).alias("image"))
     return rows.mapInArrow(_decode(tile), "id bigint, width int, height int, planes int, tile binary, dhash bigint, error string")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import drop_written, written
+from ..session import drop_written, small_batches, written
 from . import columnar as C
 
 SHINGLE = 3
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents in no group and the smallest of each group have no row.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     pick = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
     signed = written(pick.mapInArrow(_sign, "doc bigint, words bigint, sig binary"), "signatures")
     # copies of the same words are one document from here on

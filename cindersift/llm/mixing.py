@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import small_batches, written
 from . import columnar as C
 
 BLOCK_TOKENS = 2048
@@ -184,6 +184,7 @@ def slots(spark, plan: list[tuple[int, int, np.ndarray, np.ndarray]], blocks: li
 def _plan(placed: DataFrame, totals, weights, alpha, block_tokens, max_epochs) -> tuple[DataFrame, DataFrame]:
     """The slots with (slot, idx, block, epoch), and (idx, source)."""
     spark = placed.sparkSession
+    small_batches(spark)
     blocks = [-(-t // block_tokens) for _, t in totals]
     plan = stretches(_parts(totals, weights, alpha), blocks, max_epochs)
     names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(totals)], "idx bigint, source string")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_batches
 from . import columnar as C
 
 #: The scorer is fitted on about this many documents, chosen by a hash of their text; everything else reads all.
@@ -213,6 +214,7 @@ def _train(table: dict[int, float]):
 
 def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -> np.ndarray:
     """The scorer's weights for these documents: votes counted over all of them, the scorer fitted on a bounded sample."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counted = texts.select(vote_code("text").alias("code")).where("code >= 0").groupBy("code").count().collect()
     if not counted:

@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fresh_path, written
+from ..session import fresh_path, small_batches, written
 
 SHARD_BYTES = 64 << 20
 _HEAD, _HEAD_BYTES = "<BBq", 10
@@ -149,6 +149,7 @@ def _write(folder: str, width: int, shard_bytes: int):
 
 def write_records(tokens: DataFrame, folder: str | None = None, id_col: str = "doc_id", tokens_col: str = "tokens", width: int = 2, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """Writes shards to ``folder`` and returns it with the index (doc_id, shard, offset, length), itself a written table."""
+    small_batches(tokens.sparkSession)
     folder = folder or fresh_path(tokens.sparkSession, "records")
     rows = tokens.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(tokens_col).alias("tokens")).where("tokens is not null")
     return folder, written(rows.mapInArrow(_write(folder, width, shard_bytes), "doc_id bigint, shard string, offset bigint, length bigint"), "record-index")
@@ -188,6 +189,7 @@ def _read(folder: str, strict: bool):
 
 def read_records(folder: str, index: DataFrame, seed: int | None = None, strict: bool = True) -> DataFrame:
     """(doc_id, tokens, n_tokens, length, ok) of each record of the index; with a seed in an order shuffled by it."""
+    small_batches(index.sparkSession)
     if seed is not None:
         index = index.orderBy(F.xxhash64(F.lit(seed), "shard", "offset"), "shard", "offset")
     return index.select("shard", "offset", "length").mapInArrow(_read(folder, strict), "doc_id bigint, tokens array<int>, n_tokens int, length bigint, ok boolean")

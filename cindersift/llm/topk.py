@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from . import columnar as C
 
 K = 10
@@ -154,6 +155,7 @@ def _search(vocabulary: np.ndarray, df: np.ndarray, docs: int, words: int, query
 
 def search(queries: DataFrame, docs: DataFrame, k: int = K, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each query."""
+    small_batches(docs.sparkSession)
     asked = queries.select(F.col(query_id).cast("bigint").alias("id"), F.lower(F.col(query_text).cast("string")).alias("text")).where("id is not null and text is not null")
     pairs = asked.mapInArrow(_query_words, "id bigint, word bigint").distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
+
 ARCHIVE_BYTES = 8 << 20
 #: After writing so many bytes of headers and body, a crashed writer leaves a record torn.
 TORN_EVERY = 50
@@ -84,6 +86,7 @@ def _write(limit: int, crash: tuple[int, int] | None):
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", archive_bytes: int = ARCHIVE_BYTES, crash: tuple[int, int] | None = None) -> DataFrame:
     """(archive, content). With ``crash`` (n, r) the writer stops in the middle of each record whose id is r modulo n, and writes it anew."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_write(archive_bytes, crash), "archive string, content binary")
 
@@ -192,6 +195,7 @@ def _salvage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(archives: DataFrame, archive_col: str = "archive", content_col: str = "content") -> DataFrame:
     """A row for each record and each gap: archive, kind, offset, length, type, record_id, url, date, block, reason."""
+    small_batches(archives.sparkSession)
     return archives.select(F.col(archive_col).cast("string").alias("archive"), F.col(content_col).alias("content")).mapInArrow(_salvage, _SALVAGED)
 
 
