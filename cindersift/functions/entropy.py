@@ -29,8 +29,8 @@ def hex_shannon(value: Column, charset: str | None = "0-9A-Fa-f") -> Column:
 
 def entropy_sql(v: str, of_hex: bool) -> str:
     """The same as SQL text, for a value all of whose characters are in the charset."""
-    p = f"((length({v}) - length(replace({v}, c, ''))) / length({v}))"
-    plain = f"aggregate(filter(array_distinct(split({v}, '')), c -> c <> ''), 0D, (a, c) -> a - {p} * log2({p}))"
+    n = f"transform(filter(array_distinct(split({v}, '')), c -> c <> ''), c -> length({v}) - length(replace({v}, c, '')))"
+    plain = f"aggregate({n}, 0D, (a, n) -> a + n * log2(n), a -> log2(length({v})) - a / length({v}))"
     return f"({plain} - if(length({v}) > 1 and {v} rlike '^[0-9]+$', 1.2D / log2(length({v})), 0D))" if of_hex else plain
 
 

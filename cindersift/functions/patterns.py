@@ -121,12 +121,12 @@ def _quoted(before: str, quotes: list[str], after: str = "", fold: bool = True)
 
 
 _EQUAL = f"{_K}{_C}\\s*(?:!==?|={{1,3}})\\s*"
-_COMPARED = [q + _S + q + f"\\s*[!=]{{2,3}}\\s*\\w*(?:{_KEYS})" for q in _LOOSE]
+_COMPARED = [q + _S + q + f"\\s*[!=]{{2,3}}\\s*\\w*(?:{_KEYS})" for q in _STRICT]
 _SEMICOLON = _quoted(f"{_K}[^\\s]{{0,50}}?\\s*", _STRICT, ";")
 #: Groups in order; of each group the first variant that matches yields one secret.
 KEYWORD_GROUPS: dict[str, list[list[str]]] = {
     "config": [_quoted(f"{_K}{_C}:\\s*", _LOOSE), _COMPARED, _quoted(_EQUAL, _LOOSE), _SEMICOLON],
-    "go": [_quoted(f"{_K}{_C}\\s*:=\\s*", _LOOSE), _COMPARED, _quoted(_EQUAL, _STRICT), _SEMICOLON],
+    "go": [_quoted(f"{_K}{_C}\\s*:=\\s*", _LOOSE), _COMPARED, _quoted(_EQUAL, _LOOSE), _SEMICOLON],
     "c": [_quoted(f"{_K}(?:\\[[0-9]*\\])?\\s*[!=]{{1,2}}\\s*@?", ['"'])],
     "cpp": [[f"{_K}(?:\\.assign)?\\(\"{_S}\""], _quoted(_EQUAL, _STRICT)],
     "quotes": [_quoted(f"{_K}{_C}:\\s*", _STRICT), _COMPARED, _quoted(_EQUAL, _STRICT), _SEMICOLON, _quoted(f"{_K}{_C}\\s*=>?\\s*", _STRICT)],

@@ -87,7 +87,8 @@ def _by_entropy(charset: str, limit: float, of_hex: bool):
             return quoted
         run = text(f"[{charset}]{{{least},}}")
         bare = f"if({line} rlike {run}, {strong(f'regexp_extract_all({line}, {run}, 0)')}, {NOTHING})"
-        return f"if(size({quoted}) > 0, {quoted}, {bare})"
+        # the quoted ones are bound, so that they are found once
+        return f"element_at(transform(array({quoted}), q -> if(size(q) > 0, q, {bare})), 1)"
 
     return find
 

@@ -73,6 +73,13 @@ LINES = [
     ("password_ini", "'a.ini'", "concat('api_key = m',substr(h,1,20))"),
     ("password_go", "'a.go'", "concat('secret := \"',h,'\"')"),
     ("password_go_if", "'a.go'", "concat('if \"',h,'\" == my_password {{')"),
+    ("password_go_tick_if", "'a.go'", "concat('if `',h,'` == my_password {{')"),
+    ("password_go_bare_if", "'a.go'", "'if userInput == myPassword {{'"),
+    ("password_go_bare", "'a.go'", "concat('password = m',substr(h,1,20))"),
+    ("password_go_single", "'a.go'", f"concat('secret = ',{_Q},h,{_Q})"),
+    ("password_py_if", "'a.py'", "'if user_input == my_password:'"),
+    ("password_py_tick_if", "'a.js'", "concat('if (`',h,'` !== db_password) {{')"),
+    ("password_yaml_if", "'a.yaml'", f"concat('when: ',{_Q},h,{_Q},' != the_secret')"),
     ("password_c", "'a.c'", "concat('passwd[10] = \"',h,'\";')"),
     ("password_cs", "'a.cs'", "concat('private_key == @\"',h,'\"')"),
     ("password_cpp", "'a.cpp'", "concat('pwd.assign(\"',h,'\")')"),

@@ -16,13 +16,14 @@ from .operators import detectors as D
 from .operators.lines import lines_of
 from .plans.scan import Scanner
 from .settings import Settings
+from .sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _docs(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
 
 
 def _add(name: str, sql: str | None):
