@@ -5,11 +5,12 @@ signs, white space; a single space before a piece belongs to it). Within a piece
 a segment tree that holds (rank, place) and each node the least of its children. The root is the leftmost pair of the
 lowest rank; merging it changes three leaves and the nodes above them, until no pair is in the vocabulary. Pieces of
 up to ``WIDE`` bytes go through their trees side by side, a numpy operation for each step of all trees; longer ones
-one by one. What pieces a worker has encoded it remembers, up to ``REMEMBERED`` of them.
+one by one. What pieces a worker has encoded it remembers, up to ``REMEMBERED`` of them, by a hash; the tokens found for
+a stretch of text are decoded again, and where that isn't the text (a hash has met another) it is encoded without hashes.
 
 Defined results: null has null tokens; an empty text has none; bytes that aren't UTF-8 are pieces of other signs;
 texts of any length are encoded whole. Rows pass through in place, so null ids, repeated rows and other columns stay.
-A clash of the new columns' names with the input's raises ValueError.
+New columns whose names the input has already get underscores at the end.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..session import small_batches
 from . import columnar as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-WIDE = 64
+WIDE = 512
 REMEMBERED = 500_000
 #: A vocabulary travels with every task, so its size is checked.
 LARGEST_VOCABULARY = 16 << 20
@@ -44,7 +45,8 @@ _classes: np.ndarray | None = None
 def _class_table() -> np.ndarray:
     global _classes
     if _classes is None:
-        major = "".join(unicodedata.category(chr(i))[0] for i in range(0x110000))
+        # no letter or number lies beyond the last plane of ideographs
+        major = "".join(unicodedata.category(chr(i))[0] for i in range(0x40000)).ljust(0x110000, "C")
         kinds = np.frombuffer(major.encode(), np.uint8)
         _classes = np.full(0x110000, _OTHER, np.uint8)
         _classes[kinds == ord("L")] = _LETTER
@@ -123,9 +125,19 @@ class Vocabulary:
                     pairs[a, b] = rank
         self.pairs = pairs
         keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.ranks = np.append(np.array(list(pairs.values()), np.int64)[order], -1) if pairs else np.array([-1])
+        ranks = np.array(list(pairs.values()), np.int64)
+        # hash tables, each for the pairs whose places were taken in those before
+        self.tables: list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]] = []
+        seed = 0x9E3779B97F4A7C15
+        while len(keys):
+            bits = max(10, int(len(keys)).bit_length() + 2)
+            shift, of_key, of_rank = np.uint64(64 - bits), np.full(1 << bits, -1), np.full(1 << bits, -1)
+            place = (keys.view(np.uint64) * np.uint64(seed | 1)) >> shift
+            _, first = np.unique(place, return_index=True)
+            of_key[place[first]], of_rank[place[first]] = keys[first], ranks[first]
+            self.tables.append((np.uint64(seed | 1), shift, of_key, of_rank))
+            keys, ranks = np.delete(keys, first), np.delete(ranks, first)
+            seed = seed * 0xBF58476D1CE4E5B9 % (1 << 64)
         self.forget()
 
     def forget(self) -> None:
@@ -135,8 +147,11 @@ class Vocabulary:
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that each pair makes; -1 for none."""
         key = a << 32 | b
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        out = np.full(key.shape, -1)
+        for factor, shift, of_key, of_rank in self.tables:
+            at = (key.view(np.uint64) * factor) >> shift
+            out = np.where(of_key[at] == key, of_rank[at], out)
+        return out
 
     def encode_narrow(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the rows of a matrix of bytes, padded to a power of two columns: all in a row, and how many each has."""
@@ -226,9 +241,11 @@ class Vocabulary:
         where, many = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
         found: list[np.ndarray] = []
         at = self.used
-        width, lower = 2, 0
+        width, lower, alone = 2, 0, np.zeros(0, np.int64)
         while width <= WIDE:
             own = np.flatnonzero((size > lower) & (size <= width))
+            if width > 64 and len(own) < 4:  # too few to go side by side
+                own, alone = own[:0], np.append(alone, own)
             lower, step = width, max(1, (1 << 19) // width)
             for k in range(0, len(own), step):
                 these = own[k : k + step]
@@ -239,7 +256,7 @@ class Vocabulary:
                 at += len(tokens)
                 found.append(tokens)
             width *= 2
-        for i in np.flatnonzero(size > WIDE):
+        for i in np.concatenate((alone, np.flatnonzero(size > WIDE))).astype(np.int64):
             tokens = self.encode_long(data[start[i] : start[i] + size[i]].tobytes())
             where[i], many[i] = at, len(tokens)
             at += len(tokens)
@@ -279,20 +296,31 @@ class Vocabulary:
             self._learn(data, start[first[new]], (end - start)[first[new]], unique[new])
             where, many = self._find(unique)
         counts = many[inverse]
-        tokens = self.store[_spread(where[inverse], counts)]
-        return tokens, np.bincount(row, counts, len(offsets) - 1).astype(np.int64)
+        tokens = self.store[C.spread(where[inverse], counts)]
+        of_row = np.bincount(row, counts, len(offsets) - 1).astype(np.int64)
+        back, ends = self.decode(tokens, of_row)
+        if not (np.array_equal(back, data) and np.array_equal(ends, offsets)):
+            each = self._exactly(data, start, end)
+            tokens = np.array([t for x in each for t in x], np.int32)
+            of_row = np.bincount(row, [len(x) for x in each], len(offsets) - 1).astype(np.int64)
+        return tokens, of_row
+
+    def _exactly(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+        """Tokens of each piece, told by its bytes."""
+        known: dict[bytes, list[int]] = {}
+        out = []
+        for a, b in zip(start.tolist(), end.tolist()):
+            piece = data[a:b].tobytes()
+            if piece not in known:
+                known[piece] = self.encode_long(piece)
+            out.append(known[piece])
+        return out
 
     def decode(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all rows, and the offsets of the rows in them."""
         size = self.lengths[tokens]
         ends = np.concatenate(([0], np.cumsum(size)))
-        return self.bytes[_spread(self.starts[tokens], size)], ends[np.concatenate(([0], np.cumsum(counts)))]
-
-
-def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... as many as count[0], then those of start[1], and so on."""
-    start, ends = start.astype(np.int64), np.cumsum(count, dtype=np.int64)
-    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+        return self.bytes[C.spread(self.starts[tokens], size)], ends[np.concatenate(([0], np.cumsum(counts)))]
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -321,7 +349,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, valid: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.list_(pa.int32()), len(counts), [mask, pa.py_buffer(ends.tobytes())], children=[items])
 
 
-def _encode(blob: bytes, column: int, check: bool):
+def _encode(blob: bytes, column: int, check: bool, new: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(blob)
         for batch in batches:
@@ -333,14 +361,12 @@ def _encode(blob: bytes, column: int, check: bool):
                 part = batch.slice(a, b - a)
                 ok = valid[a:b]
                 columns = [*part.columns, _lists(tokens, counts, ok), pa.array(counts, pa.int32(), mask=~ok)]
-                names = [*batch.schema.names, "tokens", "n_tokens"]
                 if check:
                     back, ends = words.decode(tokens, counts)
                     same = np.array_equal(back, own) and np.array_equal(ends, at)
                     intact = np.full(b - a, True) if same else np.array([back[ends[i] : ends[i + 1]].tobytes() == own[at[i] : at[i + 1]].tobytes() for i in range(b - a)])
                     columns.append(pa.array(intact, pa.bool_(), mask=~ok))
-                    names.append("intact")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *new])
 
     return run
 
@@ -351,12 +377,10 @@ def encoded(docs: DataFrame, text_col: str = "text", vocabulary_path: str = VOCA
     Without ``keep_text`` the text column is left out of the result.
     """
     small_batches(docs.sparkSession)
-    new = ["tokens", "n_tokens", *(["intact"] if check else [])]
-    if clash := {c.lower() for c in docs.columns} & set(new):
-        raise ValueError(f"the input has columns named {sorted(clash)}")
+    new = [C.free(n, docs.columns) for n in ("tokens", "n_tokens", *(["intact"] if check else []))]
     kinds = [T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds))])
-    made = docs.mapInArrow(_encode(read_vocabulary(vocabulary_path), docs.columns.index(text_col), check), schema)
+    made = docs.mapInArrow(_encode(read_vocabulary(vocabulary_path), docs.columns.index(text_col), check, new), schema)
     return made if keep_text else made.drop(text_col)
 
 
@@ -372,7 +396,7 @@ def _decode(blob: bytes, column: int):
                 raise ValueError("a token is not in the vocabulary")
             data, ends = words.decode(tokens, counts)
             texts = [data[ends[i] : ends[i + 1]].tobytes() if ok else None for i, ok in enumerate(valid)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, C.free("decoded", batch.schema.names)])
 
     return run
 
@@ -380,7 +404,5 @@ def _decode(blob: bytes, column: int):
 def decoded(tokens: DataFrame, tokens_col: str = "tokens", vocabulary_path: str = VOCABULARY) -> DataFrame:
     """The input with ``decoded``: the text of each row's tokens; null for null."""
     small_batches(tokens.sparkSession)
-    if "decoded" in {c.lower() for c in tokens.columns}:
-        raise ValueError("the input has a column named decoded")
-    schema = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.StringType())])
+    schema = T.StructType([*tokens.schema.fields, T.StructField(C.free("decoded", tokens.columns), T.StringType())])
     return tokens.mapInArrow(_decode(read_vocabulary(vocabulary_path), tokens.columns.index(tokens_col)), schema)

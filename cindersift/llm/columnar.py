@@ -89,6 +89,12 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = WORD) ->
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... as many as count[0], then those of start[1], and so on."""
+    start, ends = start.astype(np.int64), np.cumsum(count, dtype=np.int64)
+    return np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def free(name: str, columns: list[str]) -> str:
     """A column name that none of the columns has."""
     taken = {c.lower() for c in columns}
