@@ -11,22 +11,29 @@ by no more than t. So every line puts its segments into an index under (length,
 it with the substrings that could match a segment of a line of its own length or of up to t less. What meets is
 verified with a banded bit-parallel edit distance over whole lines.
 
+A segment that very many lines share (a licence's first words) would have all of them meet. What is left of two such
+lines without the segment is still within t edits, so a crowded key is split in the same way by the segments of the
+rest, and again up to ``LEVELS`` times; no pair is lost by that.
+
 Segment entries are many and small: Python packs them in blocks by hash bucket, so the shuffle moves a few thousand
 rows of bytes, and each bucket is sorted as one array.
 
-Defined results: a null or empty text has no lines; blank lines stay; lines are split at ``\\n`` alone; rows with a
-null id are left as they are; rows that repeat an id count as one document whose equal line numbers are the same
-line. Nothing else of the input is read by the search, so other columns can have any name.
+Defined results: a null or empty text has no lines; blank lines stay; lines are split at ``\\n`` alone. A document is an
+id, of any type that has an order, and a text: rows that repeat both are one document whose equal line numbers are the
+same line; of two texts with one id the order goes by a hash of the text; a null id is an id and comes after the others.
+Nothing else of the input is read by the search, so other columns can have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import small_batches, written
 from . import columnar as C
@@ -34,11 +41,18 @@ from . import columnar as C
 MIN_BYTES = 20
 MAX_EDITS = 2
 #: Entries to a bucket, about; there are as many buckets as the input needs.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 250_000
+#: Buckets are dealt out to no more tasks than this.
+MAX_TASKS = 20_000
 #: Up to so many candidate lines are broadcast to fetch their texts, about 50 MB; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
-_FLUSH = 1 << 20
-_PAIRS = 1 << 20
+#: A key of more entries than this is crowded, and split; of more when there could be over MAX_CROWDED of them.
+CROWD = 1000
+#: Crowded keys travel with each task, 8 bytes each.
+MAX_CROWDED = 2_000_000
+LEVELS = 3
+_FLUSH = 1 << 18
+_PAIRS = 1 << 18
 _INDEX, _PROBE = 1, 2
 
 
@@ -56,27 +70,67 @@ def probes(t: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key, row and role of every index and probe entry of some lines of at least MIN_BYTES."""
-    sums = C.prefix_hashes(data)
-    start, size = offsets[:-1], np.diff(offsets)
-    keys, rows, roles = [], [], []
+@dataclass
+class Strings:
+    """Strings to be cut into segments: where they are in ``data``, and of each the length n of the shorter one of a pair
+    (its own less ``less``), the edits t, the key of what has matched so far, its roles and its line."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    n: np.ndarray
+    less: np.ndarray
+    t: np.ndarray
+    key: np.ndarray
+    role: np.ndarray
+    line: np.ndarray
+
+
+def strings(data: np.ndarray, offsets: np.ndarray) -> Strings:
+    """Whole lines, as the longer or equal one of pairs with each length that the other could have."""
+    size = np.diff(offsets)
+    parts = []
+    for less in range(MAX_EDITS + 1):
+        t = tolerance(size - less)
+        own = np.flatnonzero((size - less >= MIN_BYTES) & (t >= less))
+        parts.append((own, np.full(len(own), less), t[own]))
+    line, less, t = (np.concatenate(x) for x in zip(*parts))
+    n = size[line] - less
+    role = np.where(less == 0, _INDEX | _PROBE, _PROBE).astype(np.uint8)
+    return Strings(data, offsets[:-1][line], size[line], n, less, t, C.mix(n.astype(np.uint64)), role, line)
+
+
+def entries(s: Strings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key and role of every index and probe entry, the string it is of, and the segment's place in that."""
+    sums = C.prefix_hashes(s.data)
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint8), *[np.zeros(0, np.int64)] * 3)]
     for t in range(1, MAX_EDITS + 1):
+        of = {less: np.flatnonzero((s.t == t) & (s.less == less)) for less in range(t + 1)}
         for less, i, shift in probes(t):
-            other = size - less
-            own = np.flatnonzero((other >= MIN_BYTES) & (tolerance(other) == t))
-            n = other[own]
+            own = of[less]
+            n = s.n[own]
             a, b = i * n // (t + 1) + shift, (i + 1) * n // (t + 1) + shift
-            fits = (a >= 0) & (b <= size[own])
-            own, n, a, b = own[fits], n[fits], a[fits], b[fits]
-            spans = C.span_hashes(sums, start[own] + a, start[own] + b)
-            keys.append(C.mix(spans + C.mix((n * 4 + i).astype(np.uint64))))
-            rows.append(own)
-            roles.append(np.full(len(own), _INDEX | _PROBE if less == shift == 0 else _PROBE, np.uint8))
-    return np.concatenate(keys), np.concatenate(rows), np.concatenate(roles)
-
-
-def _pack(buckets: int):
+            fits = (a >= 0) & (b <= s.size[own])
+            own, a, b = own[fits], a[fits], b[fits]
+            spans = C.span_hashes(sums, s.start[own] + a, s.start[own] + b)
+            role = s.role[own] if less == shift == 0 else np.full(len(own), _PROBE, np.uint8)
+            found.append((C.mix(spans + C.mix(s.key[own] + np.uint64(i + 1))), role, own, a, b))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def rests(s: Strings, crowded: np.ndarray) -> Strings:
+    """What is left of the strings without a segment whose key is crowded (a sorted array), for each such entry."""
+    key, role, of, a, b = entries(s)
+    at = np.minimum(np.searchsorted(crowded, key), len(crowded) - 1)
+    some = crowded[at] == key
+    key, role, of, a, b = key[some], role[some], of[some], a[some], b[some]
+    first, size = s.start[of], s.size[of]
+    both = np.stack((first, first + b), 1).ravel(), np.stack((a, size - b), 1).ravel()
+    left = size - (b - a)
+    return Strings(s.data[C.spread(*both)], np.cumsum(left) - left, left, s.n[of] - (b - a), s.less[of], s.t[of], key, role, s.line[of])
+
+
+def _pack(buckets: int, crowded: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
@@ -94,23 +148,29 @@ def _pack(buckets: int):
         for batch in batches:
             line = batch.column("h").to_numpy()
             _, once = np.unique(line, return_index=True)
-            batch, line = batch.take(pa.array(once)), line[once]
+            batch, line = batch.take(pa.array(once)), line[once].view(np.uint64)
             data, offsets = C.utf8(batch.column("line"))
             for a, b in C.chunks(offsets):
-                key, row, role = entries(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                held.append((key, line[a:b][row].view(np.uint64), role))
+                own = strings(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                for keys in crowded:
+                    own = rests(own, keys)
+                key, role, of, _, _ = entries(own)
+                held.append((key, line[a:b][own.line[of]], role))
                 count += len(key)
-            if count >= _FLUSH:
-                yield flush()
-                held, count = [], 0
+                if count >= _FLUSH:
+                    yield flush()
+                    held, count = [], 0
         if count:
             yield flush()
 
     return run
 
 
-def meetings(key: np.ndarray, line: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different lines of which one's index entry has the key of the other's probe, in pieces of bounded size."""
+def meetings(key: np.ndarray, line: np.ndarray, role: np.ndarray, crowd: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different lines of which one's index entry has the key of the other's probe, in pieces of bounded size.
+
+    Of a key that more than ``crowd`` lines have there are none, but (no lines, the keys).
+    """
     order = np.argsort(key)
     key = key[order]
     shared = np.zeros(len(key), bool)
@@ -129,6 +189,11 @@ def meetings(key: np.ndarray, line: np.ndarray, role: np.ndarray) -> Iterator[tu
     key, line = key[new], line[new]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
+    if (many := size > crowd).any():
+        yield np.zeros(0, np.uint64), key[first[many]]
+        few = np.repeat(~many, size)
+        key, line, role, size = key[few], line[few], role[few], size[~many]
+        first = np.cumsum(size) - size
     end = np.repeat(first + size, size)
     after = end - np.arange(len(key)) - 1  # how many of the group follow each entry
     at = 0
@@ -144,28 +209,36 @@ def meetings(key: np.ndarray, line: np.ndarray, role: np.ndarray) -> Iterator[tu
         at = stop
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of line hashes out of blocks sorted by bucket."""
-    now, held = None, []
+def _candidates(crowd: int):
+    """Pairs of line hashes out of blocks sorted by bucket; a crowded key comes with no second one."""
 
-    def done() -> Iterator[pa.RecordBatch]:
-        parts = []
-        for block in held:
-            n = len(block) // 17
-            parts.append((np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.uint64, n, 8 * n), np.frombuffer(block, np.uint8, n, 16 * n)))
-        for x, y in meetings(*(np.concatenate(p) for p in zip(*parts))):
-            pair = np.unique(np.rec.fromarrays([x.view(np.int64), y.view(np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair["f0"])), pa.array(np.ascontiguousarray(pair["f1"]))], names=["x", "y"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            parts = []
+            for block in held:
+                n = len(block) // 17
+                parts.append((np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.uint64, n, 8 * n), np.frombuffer(block, np.uint8, n, 16 * n)))
+            for x, y in meetings(*(np.concatenate(p) for p in zip(*parts)), crowd):
+                if len(x):
+                    pair = np.unique(np.rec.fromarrays([x.view(np.int64), y.view(np.int64)]))
+                    columns = [pa.array(np.ascontiguousarray(pair["f0"])), pa.array(np.ascontiguousarray(pair["f1"]))]
+                else:
+                    columns = [pa.array(y.view(np.int64)), pa.nulls(len(y), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["x", "y"])
 
-    for batch in batches:
-        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
-            if bucket != now:
-                if held:
-                    yield from done()
-                now, held = bucket, []
-            held.append(block)
-    if held:
-        yield from done()
+        for batch in batches:
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+                if bucket != now:
+                    if held:
+                        yield from done()
+                    now, held = bucket, []
+                held.append(block)
+        if held:
+            yield from done()
+
+    return run
 
 
 def banded(a: np.ndarray, b: np.ndarray, t: int = MAX_EDITS) -> np.ndarray:
@@ -269,42 +342,76 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edits = distances(left, right)
         most = tolerance(np.minimum([len(v) for v in left], [len(v) for v in right])) if left else edits
         yes = pa.array((edits <= most) & (edits > 0))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(yes) for c in ("xd", "xl", "yd", "yl")), pa.array(edits).filter(yes)], names=["xd", "xl", "yd", "yl", "edits"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(yes) for c in ("x", "y")), pa.array(edits).filter(yes)], names=["x", "y", "edits"])
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, no, line, n, h, g): the lines that aren't blank, with their bytes counted and hashed twice."""
-    split = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line")).where("doc is not null and trim(both ' \t\r' from line) <> ''")
-    return split.select("doc", "no", "line", F.octet_length("line").alias("n"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, of_doc_id, of_line_no, edits): each line to remove and the first line that it repeats.
+    """(at, line, n, h, g): the lines that aren't blank, with their place, their bytes counted and hashed twice.
 
-    Line numbers begin at 0. Of several lines within the tolerance the earliest is named.
+    A place is (whether the id is null, id, hash of the text, line number), so places have the order of lines.
     """
+    text = F.col(text_col).cast("string")
+    split = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("no", "line")).where("trim(both ' \t\r' from line) <> ''")
+    at = F.struct(F.col("doc").isNull().alias("last"), "doc", "mark", "no").alias("at")
+    return split.select(at, "line", F.octet_length("line").alias("n"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit("second"), "line").alias("g"))
+
+
+def candidate_pairs(texts: DataFrame, lines: int, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
+    """(x, y): hashes of lines (h, line) that share a segment, each pair once; ``lines`` is about how many there are."""
+    total = lines * len(probes(MAX_EDITS))
+    buckets, crowd = max(16, -(-total // BUCKET_ENTRIES)), max(crowd, total // MAX_CROWDED)
+    parts: list[DataFrame] = []
+    crowded: list[np.ndarray] = []
+    while True:
+        last = len(crowded) == levels
+        blocks = texts.select("h", "line").mapInArrow(_pack(buckets, crowded), "bucket bigint, block binary")
+        made = blocks.repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(1 << 62 if last else crowd), "x bigint, y bigint")
+        found = written(made.distinct(), "line-pairs")
+        parts.append(found.where("y is not null"))
+        keys = found.where("y is null").select("x").toArrow()["x"].to_numpy() if not last else []
+        if not len(keys):
+            break
+        crowded.append(np.sort(keys.view(np.uint64)))
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.union(part)
+    return pairs.distinct() if parts[1:] else pairs
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """(at, of, edits): the place of each line to remove, and of the first line that it repeats."""
     small_batches(docs.sparkSession)
     lines = lines_of(docs, id_col, text_col)
-    seen = written(lines.select("doc", "no", "n", "h", "g", F.when(F.col("n") < MIN_BYTES, F.col("doc")).otherwise(F.lit(-1)).alias("own")), "lines")
-    firsts = seen.groupBy("h", "g", "own").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"))
+    seen = written(lines.select("at", "n", "h", "g", F.when(F.col("n") < MIN_BYTES, F.xxhash64("at.doc", "at.mark")).otherwise(F.lit(-1)).alias("own")), "lines")
+    firsts = seen.groupBy("h", "g", "own").agg(F.min("at").alias("of"), F.count("*").alias("times"), F.first("n").alias("n"))
     firsts = written(firsts, "line-firsts")
-    heads = firsts.where("times > 1").select("h", "g", "own", "first")
-    exact = seen.select("doc", "no", "h", "g", "own").join(heads, ["h", "g", "own"]).where("doc <> first.doc or no <> first.no").select("doc", "no", F.col("first.doc").alias("of_doc"), F.col("first.no").alias("of_no"), F.lit(0).alias("edits"))
+    heads = firsts.where("times > 1").select("h", "g", "own", "of")
+    exact = seen.select("at", "h", "g", "own").join(heads, ["h", "g", "own"]).where("at <> of").select("at", "of", F.lit(0).alias("edits"))
     long = firsts.where(F.col("n") >= MIN_BYTES)
-    buckets = max(16, -(-long.count() * len(probes(MAX_EDITS)) // BUCKET_ENTRIES))
     texts = lines.where(F.col("n") >= MIN_BYTES)
-    blocks = texts.select("h", "line").mapInArrow(_pack(buckets), "bucket bigint, block binary")
-    pairs = written(blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates, "x bigint, y bigint").distinct(), "line-pairs")
-    wanted = written(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct().join(long.select("h", "first"), "h").select("h", F.col("first.doc").alias("doc"), F.col("first.no").alias("no")), "line-wanted")
+    pairs = candidate_pairs(texts, long.count(), crowd)
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct().join(long.select("h", "g", "of"), "h")
+    # a text and a line number say which line it is, whoever has the text
+    wanted = written(wanted.select("h", "g", "of", F.col("of.mark").alias("mark"), F.col("of.no").alias("no")), "line-wanted")
     small = wanted.count() <= BROADCAST_LINES
-    texts = written(texts.select("doc", "no", "h", "line").join(F.broadcast(wanted) if small else wanted, ["doc", "no", "h"]).distinct(), "line-texts")
-    x = texts.select(F.col("h").alias("x"), F.col("doc").alias("xd"), F.col("no").alias("xl"), F.col("line").alias("xt"))
-    y = texts.select(F.col("h").alias("y"), F.col("doc").alias("yd"), F.col("no").alias("yl"), F.col("line").alias("yt"))
-    met = pairs.join(x, "x").join(y, "y").select("xd", "xl", "xt", "yd", "yl", "yt").mapInArrow(_verify, "xd bigint, xl int, yd bigint, yl int, edits int")
-    x, y = F.struct(F.col("xd").alias("doc"), F.col("xl").alias("no")), F.struct(F.col("yd").alias("doc"), F.col("yl").alias("no"))
-    near = met.select(F.greatest(x, y).alias("late"), F.struct(F.least(x, y).alias("at"), "edits").alias("early")).groupBy("late").agg(F.min("early").alias("early"))
-    near = near.select("late.doc", "late.no", F.col("early.at.doc").alias("of_doc"), F.col("early.at.no").alias("of_no"), F.col("early.edits").alias("edits"))
-    return exact.union(near).select(F.col("doc").alias("doc_id"), F.col("no").cast("int").alias("line_no"), F.col("of_doc").alias("of_doc_id"), F.col("of_no").cast("int").alias("of_line_no"), "edits").distinct()
+    found = texts.select("h", "g", F.col("at.mark").alias("mark"), F.col("at.no").alias("no"), "line").join(F.broadcast(wanted) if small else wanted, ["h", "g", "mark", "no"])
+    found = written(found.groupBy("h", "of").agg(F.first("line").alias("line")), "line-texts")
+    x = found.select(F.col("h").alias("xh"), F.col("of").alias("x"), F.col("line").alias("xt"))
+    y = found.select(F.col("h").alias("yh"), F.col("of").alias("y"), F.col("line").alias("yt"))
+    met = pairs.toDF("xh", "yh").join(x, "xh").join(y, "yh").select("x", "y", "xt", "yt")
+    place = firsts.schema["of"].dataType
+    met = met.mapInArrow(_verify, T.StructType([T.StructField("x", place), T.StructField("y", place), T.StructField("edits", T.IntegerType())]))
+    near = met.select(F.greatest("x", "y").alias("at"), F.struct(F.least("x", "y").alias("of"), "edits").alias("early")).groupBy("at").agg(F.min("early").alias("early"))
+    return exact.union(near.select("at", "early.of", "early.edits")).distinct()
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
+    """(doc_id, line_no, of_doc_id, of_line_no, edits): each line to remove and the first line that it repeats.
+
+    Line numbers begin at 0. Of several lines within the tolerance the earliest is named.
+    """
+    found = repeats(docs, id_col, text_col, crowd)
+    return found.select(F.col("at.doc").alias("doc_id"), F.col("at.no").cast("int").alias("line_no"), F.col("of.doc").alias("of_doc_id"), F.col("of.no").cast("int").alias("of_line_no"), "edits")
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -312,29 +419,26 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A document that loses every line it had goes; one that had none stays as it is.
     """
-    ids, drops = (C.free(f"__cs_{n}", docs.columns) for n in ("id", "drop"))
-    found = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias(ids)).agg(F.collect_list("line_no").alias(drops))
-    joined = docs.join(found, docs[id_col].cast("bigint") == F.col(ids), "left").drop(ids)
-    at = docs.columns.index(text_col)
-    new = joined.mapInArrow(_rewrite(at), joined.drop(drops).schema)
-    if count_col:
-        new = new.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
-    return new
-
-
-def _rewrite(at: int):
-    """Takes the numbered lines out of column ``at``, and out of the batch the rows that lose all they had."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, drops = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
-            stay = np.ones(batch.num_rows, bool)
-            for i in np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False)):
-                gone = set(drops[int(i)].as_py())
-                left = [line for k, line in enumerate(texts[i].split("\n")) if k not in gone]
-                texts[i] = "\n".join(left)
-                stay[i] = any(line.strip(" \t\r") for line in left)
-            columns = [*batch.columns[:at], pa.array(texts, batch.schema.field(at).type), *batch.columns[at + 1 : -1]]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(stay))
-
-    return run
+    drops, own, mark, doc, lines = (C.free(f"__cs_{n}", docs.columns) for n in ("drops", "own", "mark", "doc", "lines"))
+    gone = repeats(docs, id_col, text_col).groupBy(F.col("at.doc").alias(doc), F.col("at.mark").alias(mark)).agg(F.collect_set("at.no").alias(drops))
+    marked = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    joined = marked.join(gone, (F.col(own) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(doc)), "left").withColumn(lines, F.when(F.col(drops).isNotNull(), F.split(F.col(text_col).cast("string"), "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drops)), lambda i: F.get(F.col(lines), i))
+    new = joined.withColumn(lines, F.when(F.col(drops).isNotNull(), kept)).where(F.col(lines).isNull() | F.exists(lines, lambda x: F.trim(x, F.lit(" \t\r")) != ""))
+    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
+    out = new.withColumn(text_col, text.cast(docs.schema[text_col].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col else out
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL for :func:`repeated_lines`, where ids are not null and don't repeat: all pairs of lines, none by segments."""
+    most = f"least(least(a.n, b.n) // {MIN_BYTES}, {MAX_EDITS})"
+    return f"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {table} WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line, strlen(ls[i]) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s) WHERE trim(ls[i], concat(' ', chr(9), chr(13))) <> ''),
+f AS MATERIALIZED (SELECT line, n, CASE WHEN n < {MIN_BYTES} THEN doc_id END AS own, min({{'d': doc_id, 'k': no}}) AS p FROM l GROUP BY ALL),
+exact AS (SELECT l.doc_id, l.no, f.p.d AS of_doc, f.p.k AS of_no, 0 AS edits FROM l JOIN f ON l.line = f.line AND f.own IS NOT DISTINCT FROM CASE WHEN l.n < {MIN_BYTES} THEN l.doc_id END WHERE l.doc_id <> f.p.d OR l.no <> f.p.k),
+m AS (SELECT a.p AS p, b.p AS late, levenshtein(a.line, b.line) AS edits, {most} AS most FROM f a JOIN f b ON b.n BETWEEN a.n - {MAX_EDITS} AND a.n + {MAX_EDITS} AND a.p < b.p WHERE a.n >= {MIN_BYTES} AND b.n >= {MIN_BYTES}),
+near AS (SELECT late, min({{'d': p.d, 'k': p.k, 'e': edits}}) AS early FROM m WHERE edits <= most GROUP BY late)
+SELECT doc_id, CAST(no AS INTEGER) AS line_no, of_doc AS of_doc_id, CAST(of_no AS INTEGER) AS of_line_no, edits FROM exact
+UNION ALL SELECT late.d, CAST(late.k AS INTEGER), early.d, CAST(early.k AS INTEGER), CAST(early.e AS INTEGER) FROM near"""

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
 from . import bpe, htmltree, linededup, media, minhash, mixing, quality, records, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_topk": op1_topk, "op2_html": op2_html, "op3_mixing": op3_mixing, "op4_quality": op4_quality, "op5_bpe": op5_bpe, "op6_warc": op6_warc, "op7_media": op7_media, "op8_records": op8_records, "op9_minhash": op9_minhash, "op10_line_dedup": op10_line_dedup}
 
-ORACLES: dict[str, str] = {"op1_topk": topk.oracle(), "op3_mixing": mixing.oracle(), "op6_warc": warc.oracle()}
+ORACLES: dict[str, str] = {"op1_topk": topk.oracle(), "op3_mixing": mixing.oracle(), "op6_warc": warc.oracle(), "op10_line_dedup": linededup.oracle()}
