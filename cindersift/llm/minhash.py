@@ -3,24 +3,30 @@
 Each document is the set of its word ``SHINGLE``-grams (lower case, punctuation dropped). Its signature holds
 ``TREES * DEPTH`` minima. Every tree of the forest orders all documents by ``DEPTH`` of them, so those whose labels
 begin with the same ``ROOT`` values lie side by side, as a region. All members of a region meet, however many they
-are, and are verified there by the share of equal minima, so no candidates are shuffled. Equal signatures are one
-member, and what is connected already isn't compared again: copies take work in proportion to their number, while a
-region of many documents that share a passage without being copies takes work in proportion to its pairs. A region
-gives edges that connect what all its verified pairs would. Groups are the connected components.
+are, and are verified there by the share of equal minima, so no candidates are shuffled. What travels with a member is
+a byte of each minimum (b-bit minwise hashing), whose chance agreements the estimate takes off. Equal signatures are one
+member, and what is connected already isn't compared again: copies take work in proportion to their number. A region
+gives edges that connect what all its verified pairs would. One of more than ``CROWD`` members is dealt out in blocks,
+every two of which meet in a task of their own. Groups are the connected components.
+
+Documents with the same words in the same order are one from the start; they are told by a 128-bit BLAKE2 hash of those.
 
 Defined results: a document that is null, empty or white space is in no group. One without a word but with other
-characters is in a group with its exact copies. Rows with a null id are ignored. Rows that repeat an id are one
-document when their text agrees. Other columns of the input are never read, so their names can't clash.
+characters is in a group with its exact copies. Ids are of any type that has an order; a null id is one, after the
+others. Rows that repeat id and text are one document; of two texts with one id the order goes by a hash of the text.
+Other columns of the input are never read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import drop_written, small_batches, written
 from . import columnar as C
@@ -31,6 +37,8 @@ DEPTH = 8
 ROOT = 2
 #: Regions of up to so many members are worked on together, larger ones each on its own.
 SMALL = 16
+#: Regions of more members than this are split into blocks of about half as many.
+CROWD = 4096
 _PAIRS = 1 << 15
 THRESHOLD = 0.5
 
@@ -39,26 +47,35 @@ _MUL = _rng.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.u
 _ADD = _rng.integers(0, 1 << 63, TREES * DEPTH, np.uint64)
 
 
+def _whole(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    """Hashes of 16 bytes: of each row's words in order, or of all its bytes where it has none but isn't blank."""
+    size = end - start + 1
+    text = data[np.minimum(C.spread(start, size), len(data) - 1)] if len(start) else np.zeros(0, np.uint8)
+    text[np.cumsum(size) - 1] = 32
+    ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(count)))].tolist()
+    view, out = memoryview(text.tobytes()), bytearray(16 * len(count))
+    for i in np.flatnonzero(count).tolist():
+        out[16 * i : 16 * i + 16] = hashlib.blake2b(view[ends[i] : ends[i + 1]], digest_size=16).digest()
+    for i in bare.tolist():
+        out[16 * i : 16 * i + 16] = hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=16, person=b"bytes").digest()
+    return np.frombuffer(bytes(out), np.uint8).reshape(-1, 16)
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of word n-grams, the row of each, and a 64-bit hash of each row's words (0 without content).
+    """Hashes of word n-grams, the row of each, and a 128-bit hash of each row's words (0 without content).
 
     A row of fewer than n words has one shingle of all its words; one without words has one of its bytes,
     unless they are white space.
     """
     data = C.LOWER[data]
     rows = len(offsets) - 1
-    sums = C.prefix_hashes(data)
     start, end, row = C.words(data, offsets)
-    each = C.span_hashes(sums, start, end)
+    each = C.span_hashes(C.prefix_hashes(data), start, end)
     count = np.bincount(row, minlength=rows)
-    first = np.concatenate(([0], np.cumsum(count)))
-    place = np.arange(len(each), dtype=np.uint64) - first[row].astype(np.uint64)
-    whole = np.zeros(rows, np.uint64)
-    np.add.at(whole, row, C.mix(each + C.mix(place + np.uint64(1))))
     bare = np.flatnonzero((count == 0) & (np.diff(offsets) > 0))
     blank = np.array([not data[offsets[i] : offsets[i + 1]].tobytes().strip() for i in bare], bool)
     bare = bare[~blank]
-    whole[bare] = C.span_hashes(sums, offsets[bare], offsets[bare + 1])
+    whole = _whole(data, offsets, start, end, count, bare)
     if len(each) >= n:
         gram = each[: len(each) - n + 1].copy()
         for i in range(1, n):
@@ -68,7 +85,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[n
     else:
         gram, of = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     short = np.concatenate((np.flatnonzero((count > 0) & (count < n)), bare))
-    gram, of = np.concatenate((gram, C.mix(whole[short]))), np.concatenate((of, short))
+    gram, of = np.concatenate((gram, np.ascontiguousarray(whole[short, :8]).view(np.uint64).ravel())), np.concatenate((of, short))
     order = np.argsort(of, kind="stable")
     return gram[order], of[order], whole
 
@@ -92,24 +109,22 @@ def signatures(gram: np.ndarray, of: np.ndarray, rows: int) -> tuple[np.ndarray,
     return present, out
 
 
-_SIGNED = pa.schema([("doc", pa.int64()), ("words", pa.int64()), ("sig", pa.binary())])
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of bytes as a binary column."""
+    at = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, at, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = C.utf8(batch.column("text"))
-        ids = batch.column("doc").to_numpy(zero_copy_only=False)
         for a, b in C.chunks(offsets):
             own = offsets[a : b + 1] - offsets[a]
             gram, of, whole = shingles(data[offsets[a] : offsets[b]], own)
             present, sig = signatures(gram, of, b - a)
-            blob = np.ascontiguousarray(sig).view("u1").reshape(len(present), TREES * DEPTH * 4)
-            size = blob.shape[1]
-            at = pa.py_buffer((np.arange(len(present) + 1, dtype=np.int32) * size).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[a:b][present], pa.int64()), pa.array(whole[present].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(present), [None, at, pa.py_buffer(blob.tobytes())])],
-                schema=_SIGNED,
-            )
+            some = pa.array(present + a)
+            columns = [batch.column("doc").take(some), batch.column("mark").take(some), _binary(whole[present]), _binary(sig.view("u1").reshape(len(present), -1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "words", "sig"])
 
 
 def _alike(equal: np.ndarray) -> np.ndarray:
@@ -146,12 +161,14 @@ def _joined(sig: np.ndarray, threshold: float) -> np.ndarray:
     return least[root[copy]]
 
 
-def _meet(threshold: float):
-    """Edges within the regions of rows sorted by root."""
+def _meet(threshold: float, crowd: int):
+    """Edges (a, b) within the regions of rows sorted by root; of a region with more than ``crowd`` rows only its root and size n."""
 
-    def pairs(root: np.ndarray, doc: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def edges(root: np.ndarray, node: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole regions."""
         first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
         size = np.diff(np.append(first, len(root)))
+        yield from crowds([root[first[k]].tobytes() for k in np.flatnonzero(size > crowd)], size[size > crowd])
         end = np.repeat(first + size, size)
         small = np.repeat(size <= SMALL, size)
         for step in range(1, SMALL):
@@ -159,40 +176,49 @@ def _meet(threshold: float):
             for at in range(0, len(left), _PAIRS):
                 x = left[at : at + _PAIRS]
                 x = x[_alike((sig[x] == sig[x + step]).sum(1)) >= threshold]
-                yield doc[x], doc[x + step]
-        for k in np.flatnonzero(size > SMALL):
-            own = doc[first[k] : first[k] + size[k]]
-            to = own[_joined(sig[first[k] : first[k] + size[k]], threshold)]
-            yield own[own != to], to[own != to]
+                yield joined(node[x], node[x + step])
+        for k in np.flatnonzero((size > SMALL) & (size <= crowd)):
+            own = np.arange(first[k], first[k] + size[k])
+            to = own[_joined(sig[own], threshold)]
+            yield joined(node[own[own != to]], node[to[own != to]])
+
+    def joined(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_binary(x), _binary(y), pa.nulls(len(x), pa.int64())], names=["a", "b", "n"])
+
+    def crowds(roots: list[bytes], sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if roots:
+            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.nulls(len(roots), pa.binary()), pa.array(sizes, pa.int64())], names=["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # the region that the rows so far end with: its root, its size and, unless it is crowded, its rows
+        now, count, held = None, 0, []
 
-        def done(parts) -> Iterator[pa.RecordBatch]:
-            for x, y in pairs(*(np.concatenate(v) for v in zip(*parts))):
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        def done() -> Iterator[pa.RecordBatch]:
+            if count > crowd:
+                yield from crowds([now.tobytes()], np.array([count]))
+            elif count:
+                yield from edges(*(np.concatenate(v) for v in zip(*held)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data, _ = C.utf8(batch.column("root"))
-            root = np.ascontiguousarray(data.reshape(batch.num_rows, -1)).view(f"V{1 + ROOT * 4}").ravel()
-            sig = C.utf8(batch.column("sig"))[0].reshape(batch.num_rows, -1)
-            doc = batch.column("doc").to_numpy()
-            cut = 0
-            if held and root[0] != held[-1][0][-1]:
-                yield from done(held)
-                held = []
-            # what comes before the last region is whole
-            last = np.flatnonzero(root != root[-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from done([*held, (root[:cut], doc[:cut], sig[:cut])])
-                held = []
-            held.append((root[cut:], doc[cut:].copy(), sig[cut:].copy()))
-        if held:
-            yield from done(held)
+            data = C.utf8(batch.column("root"))[0].reshape(batch.num_rows, -1)
+            root = np.ascontiguousarray(data).view(f"V{data.shape[1]}").ravel()
+            rows = root, *(C.utf8(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("node", "sig"))
+            begins = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(root))
+            lead, last = int(begins[0]), int(begins[-2]) if len(begins) > 1 else 0
+            for a, b in ((0, lead), (last, len(root))) if last else ((0, lead),):
+                if root[a] != now:
+                    yield from done()
+                    now, count, held = root[a], 0, []
+                count += b - a
+                held = [*held, tuple(x[a:b].copy() for x in rows)] if count <= crowd else []
+                if last and a == 0:
+                    yield from done()
+                    now, count, held = None, 0, []
+                    if last > lead:
+                        yield from edges(*(x[lead:last] for x in rows))
+        yield from done()
 
     return run
 
@@ -200,16 +226,16 @@ def _meet(threshold: float):
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): every node of ``edges`` (a, b) with the smallest node of its component.
 
-    Alternates large-star and small-star, each a window over one end of the edges, until nothing changes;
-    every round is written to the shared folder.
+    Alternates large-star and small-star, each a minimum by one end of the edges joined to them again, until nothing
+    changes; every round is written to the shared folder.
     """
     now, mark = written(edges.select("a", "b").where("a <> b").distinct(), name), None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        large = both.select("a", "b", low.alias("m")).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+        least = down.join(down.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = least.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct()
         after = written(small, name)
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
@@ -219,37 +245,70 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         now, mark = after, sign
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, duplicate_of): each document that repeats another, with the smallest id of its group.
+def linked(reps: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """(a, b): edges that connect the documents (words, sig) which are alike and meet in some tree."""
+    short = reps.mapInArrow(_shorten, "node binary, roots binary, sig binary")
+    width = ROOT * 4
+    root = F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("roots", t * width + 1, width)) for t in range(TREES)])).alias("root")
+    rows = short.select(root, "node", "sig")
 
-    Documents in no group and the smallest of each group have no row.
-    """
+    def met(rows: DataFrame, crowd: int) -> DataFrame:
+        return rows.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_meet(threshold, crowd), "a binary, b binary, n bigint")
+
+    found = written(met(rows, crowd), "minhash-edges")
+    edges, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
+    if crowded.isEmpty():
+        return edges
+    # every two blocks of a crowded region meet, as a region of their own
+    blocks = (F.floor(F.col("n") / (crowd // 2)) + 1).cast("int")
+    member = rows.join(crowded.select(F.col("a").alias("root"), blocks.alias("of")), "root").withColumn("own", F.pmod(F.xxhash64("node"), "of").cast("int"))
+    each = member.select("root", "node", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    part = F.concat("root", F.unhex(F.lpad(F.hex(F.least("own", "other")), 8, "0")), F.unhex(F.lpad(F.hex(F.greatest("own", "other")), 8, "0")))
+    return edges.union(met(each.select(part.alias("root"), "node", "sig"), 1 << 62).select("a", "b"))
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """(doc, mark, first, first_mark): each document that repeats another, and the first of its group; mark is a hash of the text."""
     small_batches(docs.sparkSession)
-    pick = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
-    signed = written(pick.mapInArrow(_sign, "doc bigint, words bigint, sig binary"), "signatures")
+    text = F.col(text_col).cast("string")
+    pick = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("mark"), F.lower(text).alias("text")).where("text is not null")
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("sig", T.BinaryType())])
+    signed = written(pick.mapInArrow(_sign, schema), "signatures")
     # copies of the same words are one document from here on
-    first = Window.partitionBy("words")
-    groups = signed.select("doc", F.min("doc").over(first).alias("rep"))
-    reps = signed.groupBy("words").agg(F.min_by("sig", "doc").alias("sig"), F.min("doc").alias("doc")).select("doc", "sig")
-    short = reps.mapInArrow(_shorten, "doc bigint, roots binary, sig binary")
-    width = ROOT * 4
-    root = F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("roots", t * width + 1, width)) for t in range(TREES)])).alias("root")
-    runs = short.select(root, "doc", "sig").repartition("root").sortWithinPartitions("root", "doc")
-    edges = runs.mapInArrow(_meet(threshold), "a bigint, b bigint").where("a <> b")
-    roots = components(edges)
-    found = groups.join(roots, groups.rep == roots.node, "left").select(F.col("doc").alias("doc_id"), F.coalesce("root", "rep").alias("duplicate_of"))
-    return found.where("doc_id <> duplicate_of").distinct()
+    roots = components(linked(signed.groupBy("words").agg(F.first("sig").alias("sig")), threshold, crowd))
+    keyed = signed.select("words", F.struct(F.col("doc").isNull().alias("last"), "doc", "mark").alias("own")).join(roots, F.col("words") == F.col("node"), "left").select("own", F.coalesce("root", "words").alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("own").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = keyed.join(firsts, "key").where("own <> first")
+    return found.select("own.doc", "own.mark", F.col("first.doc").alias("first"), F.col("first.mark").alias("first_mark")).distinct()
 
 
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first ROOT minima of each tree, and one byte of each minimum."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, duplicate_of): each document that repeats another, with the first id of its group.
+
+    Documents in no group and the first of each group have no row.
+    """
+    found = copies(docs, id_col, text_col, threshold, crowd).where("not (doc <=> first)")
+    return found.select(F.col("doc").alias("doc_id"), F.col("first").alias("duplicate_of")).distinct()
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The input without documents that repeat another, and with one of the rows that repeat an id and a text."""
+    mark, doc, own = (C.free(f"__cs_{n}", docs.columns) for n in ("mark", "doc", "own"))
+    text = F.xxhash64(F.col(text_col).cast("string"))
+    gone = copies(docs, id_col, text_col, threshold).select(F.col("doc").alias(doc), F.col("mark").alias(mark))
+    rows = docs.withColumn(own, text)
+    same = (F.col(own) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(doc))
+    kept = rows.join(gone, same, "left_anti")
+    twice = written(docs.select(F.col(id_col).alias(doc), text.alias(mark)).where(F.col(text_col).isNotNull()).groupBy(doc, mark).count().where("count > 1").drop("count"), "minhash-twice")
+    if not twice.isEmpty():
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([own, id_col]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
-    def binary(rows: np.ndarray) -> pa.Array:
-        at = pa.py_buffer((np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]).tobytes())
-        return pa.Array.from_buffers(pa.binary(), len(rows), [None, at, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
+def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first ROOT minima of each tree, and one byte of each minimum."""
     for batch in batches:
         n = batch.num_rows
         sig = C.utf8(batch.column("sig"))[0].reshape(n, TREES * DEPTH * 4)
         roots = sig.reshape(n, TREES, DEPTH * 4)[:, :, : ROOT * 4].reshape(n, TREES * ROOT * 4)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), binary(roots), binary(sig[:, 3::4])], names=["doc", "roots", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("words"), _binary(roots), _binary(sig[:, 3::4])], names=["node", "roots", "sig"])
