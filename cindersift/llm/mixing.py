@@ -4,14 +4,16 @@ The documents of a source stand in a shuffled order (by the MD5 of seed and id)
 into blocks of ``BLOCK_TOKENS``; only the last block of a source is shorter. Slot i of the schedule has the point
 ``i * GOLDEN mod 2**31``, the golden-ratio sequence in integers; the cumulative weights, scaled to 2**31, say whose slot
 it is. The r-th slot of a source takes its block ``r mod blocks``, so shares are met closely in every stretch of the
-schedule and a source that runs out begins again. A source that has had ``max_epochs`` passes is out: its later points
-are passed over, and the slots go to the others by their weights. The schedule ends as soon as every block has had a
-slot. Without given weights a source weighs tokens ** ``ALPHA``.
+schedule and a source that runs out begins again. The schedule ends as soon as every block has had a slot. Without
+given weights a source weighs tokens ** ``ALPHA``.
+
+While the source that lasts longest has its one pass, the others have as many as their weights say, and none more than
+``max_epochs``: a larger weight is lowered to what gives so many, and points beyond them are passed over. No weight
+above 0 is so small that it gets no points at all.
 
 The running count of tokens is a two-level prefix sum: within a bucket, and over the few buckets' totals. So no task
-has a whole source, however large. The running count of slots is a sum of floors, which has a closed form, so the
-driver finds each source's end without drawing the slots. When half of the weight is out, the sequence begins anew
-with the weights of the rest (a stretch), so a schedule draws little more than twice the points it keeps.
+has a whole source, however large. The running count of points in a range has a closed form, a sum of floors, so the
+driver finds the end without drawing the slots, and tasks draw theirs without the ones before.
 
 Defined results: null is a source like any other; documents without tokens have no place in the schedule; rows that
 repeat id, source and text are one document; a null id is an id. An empty table gives an empty schedule. Weights name
@@ -35,13 +37,13 @@ BLOCK_TOKENS = 2048
 ALPHA = 0.8
 MAX_EPOCHS = 4
 SEED = "mix"
-#: Sources are planned on the driver and broadcast, so their number is checked.
-MAX_SOURCES = 100_000
+#: Sources are planned on the driver, some 100 bytes each, so their number is checked; up to BROADCAST_SOURCES are broadcast.
+MAX_SOURCES = 2_000_000
+BROADCAST_SOURCES = 100_000
 BUCKET_DOCS = 50_000
 CHUNK_SLOTS = 1 << 16
 UNIT = 1 << 31
 GOLDEN = 1327217885
-_SLACK = 4
 TOKEN = "[^ \\t\\n\\r]+"
 
 
@@ -125,71 +127,59 @@ def _ranks(own: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _edges(parts: list[int]) -> np.ndarray:
-    whole, run, out = sum(parts), 0, []
-    for p in parts:
-        run += p
-        out.append(run * UNIT // whole)
-    return np.array(out, np.int64)
-
-
-def stretches(parts: list[int], blocks: list[int], max_epochs: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first slot, points, cumulative weights, slots of each source before) until every block of a source with weight has a slot."""
-    size = np.array(blocks, np.int64)
-    most, had = size * max_epochs, np.zeros(len(blocks), np.int64)
-    weight = np.array([p > 0 for p in parts], bool)
-    out, slot = [], 0
-    while (undone := weight & (had < size)).any():
-        live = weight & (had < most)
-        for some in (live, undone):
-            edges = _edges([p if x else 0 for p, x in zip(parts, some)])
-            low = np.append(0, edges[:-1])
-            if (undone & (edges > low)).any():  # a weight can be too small for the scale while large ones are live
-                break
-        wide = np.flatnonzero(edges > low)
-        ends = _reach(most[wide] - had[wide], low[wide], edges[wide])
-        left = wide[undone[wide]]
-        points = int(_reach(size[left] - 1 - had[left], low[left], edges[left]).max()) + 1
-        order = np.argsort(ends, kind="stable")
-        half = int(np.searchsorted(np.cumsum((edges - low)[wide][order]), UNIT // 2))
-        points = min(points, int(ends[order[half]]))
-        out.append((slot, points, edges, had))
-        after = np.minimum(had + counts(np.full(len(edges), points), low, edges), most)
-        slot, had = slot + int((after - had).sum()), after
-    return out
+def lowered(parts: list[int], blocks: list[int], max_epochs: int) -> list[int]:
+    """The weights, none of them more than ``max_epochs`` times what a source of its size has that is never repeated."""
+    some = [k for k, p in enumerate(parts) if p]
+    if not some:
+        return parts
+    least = min(some, key=lambda k: (parts[k] / blocks[k], k))
+    return [min(p, max(1, max_epochs * b * parts[least] // blocks[least])) if p else 0 for p, b in zip(parts, blocks)]
+
+
+def edges(parts: list[int]) -> np.ndarray:
+    """Where the range of points of each source ends; ranges are of at least 1, and the first heaviest source has the rest."""
+    some, whole = sum(p > 0 for p in parts), sum(parts)
+    wide = np.array([max(1, p * (UNIT - some) // whole) if p else 0 for p in parts], np.int64)
+    if some:
+        wide[max(range(len(parts)), key=lambda k: (parts[k], -k))] += UNIT - int(wide.sum())
+    return np.cumsum(wide)
 
 
-def slots(spark, plan: list[tuple[int, int, np.ndarray, np.ndarray]], blocks: list[int], max_epochs: int) -> DataFrame:
-    """(slot, idx, block, epoch) of the stretches."""
-    size = np.array(blocks, np.int64)
-    firsts = np.cumsum([0] + [-(-points // CHUNK_SLOTS) for _, points, _, _ in plan])
+def points_needed(ends: np.ndarray, blocks: np.ndarray) -> int:
+    """How many points until every block of a source with a range has had a slot."""
+    low = np.append(0, ends[:-1])
+    own = np.flatnonzero(ends > low)
+    return int(_reach(blocks[own] - 1, low[own], ends[own]).max()) + 1 if len(own) else 0
+
+
+def slots(spark, points: int, ends: np.ndarray, blocks: np.ndarray, max_epochs: int) -> DataFrame:
+    """(slot, idx, block, epoch) of the first points."""
+    low, most = np.append(0, ends[:-1]), blocks * max_epochs
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                k = int(np.searchsorted(firsts, c, "right")) - 1
-                slot, points, edges, had = plan[k]
-                first = (c - int(firsts[k])) * CHUNK_SLOTS
-                own = owners(first, min(first + CHUNK_SLOTS, points), edges)
-                seen = had + counts(np.full(len(edges), first), np.append(0, edges[:-1]), edges)
-                begin = slot + int((np.minimum(seen, size * max_epochs) - had).sum())
+                first = c * CHUNK_SLOTS
+                own = owners(first, min(first + CHUNK_SLOTS, points), ends)
+                seen = counts(np.full(len(ends), first), low, ends)
+                begin = int(np.minimum(seen, most).sum())
                 rank = seen[own] + _ranks(own)
-                kept = rank < size[own] * max_epochs
+                kept = rank < most[own]
                 own, rank = own[kept], rank[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(begin + np.arange(len(own), dtype=np.int64)), pa.array(own.astype(np.int64)), pa.array(rank % size[own]), pa.array(rank // size[own])], names=["slot", "idx", "block", "epoch"])
+                yield pa.RecordBatch.from_arrays([pa.array(begin + np.arange(len(own), dtype=np.int64)), pa.array(own.astype(np.int64)), pa.array(rank % blocks[own]), pa.array(rank // blocks[own])], names=["slot", "idx", "block", "epoch"])
 
-    return spark.range(int(firsts[-1])).mapInArrow(lay, "slot bigint, idx bigint, block bigint, epoch bigint")
+    return spark.range(-(-points // CHUNK_SLOTS)).mapInArrow(lay, "slot bigint, idx bigint, block bigint, epoch bigint")
 
 
 def _plan(placed: DataFrame, totals, weights, alpha, block_tokens, max_epochs) -> tuple[DataFrame, DataFrame]:
-    """The slots with (slot, idx, block, epoch), and (idx, source)."""
+    """The slots with (slot, idx, block, epoch), and (idx, s) with the sources' names."""
     spark = placed.sparkSession
     small_batches(spark)
     blocks = [-(-t // block_tokens) for _, t in totals]
-    plan = stretches(_parts(totals, weights, alpha), blocks, max_epochs)
-    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(totals)], "idx bigint, source string")
+    ends, size = edges(lowered(_parts(totals, weights, alpha), blocks, max_epochs)), np.array(blocks, np.int64)
+    names = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(totals)], "idx bigint, s string")
     # written, as Spark would take the slots for as few as their chunks and broadcast them
-    return written(slots(spark, plan, blocks, max_epochs), "mix-slots"), names
+    return written(slots(spark, points_needed(ends, size), ends, size, max_epochs), "mix-slots"), F.broadcast(names) if len(blocks) <= BROADCAST_SOURCES else names
 
 
 def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_tokens: int = BLOCK_TOKENS, alpha: float = ALPHA, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -200,7 +190,7 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, id
     cut = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("first_token") / b), F.floor((F.col("first_token") + F.col("tokens") - 1) / b))))
     start, end = F.greatest("first_token", F.col("block") * b), F.least(F.col("first_token") + F.col("tokens"), (F.col("block") + 1) * b)
     cut = cut.select("source", "block", "doc_id", (start - F.col("first_token")).alias("from_token"), (end - start).alias("tokens"))
-    cut = cut.join(F.broadcast(names.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    cut = cut.join(names, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return drawn.join(cut, ["idx", "block"]).select("slot", "source", "block", "epoch", "doc_id", "from_token", "tokens")
 
 
@@ -208,7 +198,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
     """The input's rows in the order of the schedule, each with the slots of the block in which it begins; again in each epoch."""
     placed, totals = positions(docs, id_col, text_col, source_col)
     drawn, names = _plan(placed, totals, weights, alpha, block_tokens, max_epochs)
-    at = placed.join(F.broadcast(names.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
+    at = placed.join(names, F.col("source").eqNullSafe(F.col("s")))
     ids, sources, marks, md5, places = (C.free(f"__cs_{n}", docs.columns) for n in ("id", "source", "mark", "md5", "at"))
     at = at.select("idx", F.floor(F.col("first_token") / block_tokens).alias("block"), F.col("doc_id").alias(ids), F.col("source").alias(sources), F.col("mark").alias(marks), "first_token")
     order = drawn.join(at, ["idx", "block"]).groupBy(ids, sources, marks).agg(F.collect_list(F.struct("slot", "first_token")).alias(places))
@@ -219,25 +209,25 @@ def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_co
 
 
 def oracle(table: str = "documents", block: int = BLOCK_TOKENS, alpha: float = ALPHA, epochs: int = MAX_EPOCHS) -> str:
-    """DuckDB SQL for :func:`schedule` with its default weights, where every block has a slot before any source has used its epochs.
-
-    Beyond that it isn't the same: the SQL ends the schedule there and loses the blocks that are left.
-    """
+    """DuckDB SQL for :func:`schedule` with its default weights."""
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, source, md5('{SEED}/' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, md5(text) AS mark,
              len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS tokens FROM {table} WHERE len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) > 0),
 p AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, mark ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM d),
 t AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM d GROUP BY source),
 w AS (SELECT source, (total + {block} - 1) // {block} AS blocks, CAST(floor(pow(total, {alpha}) * 1000) AS BIGINT) AS part FROM t),
-c AS (SELECT *, CAST(sum(part) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING) AS HUGEINT) * {UNIT} // CAST(sum(part) OVER () AS HUGEINT) AS hi FROM w),
-s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY source NULLS FIRST), 0) AS lo FROM c),
-most AS (SELECT least(max(((blocks + {_SLACK}) * {UNIT} + hi - lo - 1) // (hi - lo)), min(({epochs} * blocks + {_SLACK}) * {UNIT} // (hi - lo) + 1)) AS n FROM s WHERE hi > lo),
-i AS (SELECT unnest(range(CAST((SELECT n FROM most) AS BIGINT))) AS slot),
-o AS (SELECT i.slot, s.source, s.blocks, row_number() OVER (PARTITION BY s.source ORDER BY i.slot) - 1 AS rank
-      FROM i JOIN s ON (i.slot % {UNIT} * {GOLDEN}) % {UNIT} >= s.lo AND (i.slot % {UNIT} * {GOLDEN}) % {UNIT} < s.hi),
-e AS (SELECT least(coalesce(max(slot) FILTER (WHERE rank = blocks - 1) + 1, 1000000000000), coalesce(min(slot) FILTER (WHERE rank = blocks * {epochs}), 1000000000000)) AS n FROM o),
+least AS (SELECT CAST(part AS HUGEINT) AS p, CAST(blocks AS HUGEINT) AS b FROM w ORDER BY part::DOUBLE / blocks, source NULLS FIRST LIMIT 1),
+v AS (SELECT source, blocks, least(CAST(part AS HUGEINT), greatest(1, {epochs} * blocks * p // b)) AS part FROM w, least),
+n AS (SELECT source, blocks, greatest(1, part * ({UNIT} - count(*) OVER ()) // sum(part) OVER ()) AS wide, row_number() OVER (ORDER BY part DESC, source NULLS FIRST) AS heavy FROM v),
+c AS (SELECT source, blocks, wide + CASE WHEN heavy = 1 THEN {UNIT} - sum(wide) OVER () ELSE 0 END AS wide FROM n),
+h AS (SELECT source, blocks, CAST(sum(wide) OVER (ORDER BY source NULLS FIRST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, CAST(wide AS BIGINT) AS wide FROM c),
+s AS (SELECT source, blocks, hi, hi - wide AS lo, wide FROM h),
+i AS (SELECT unnest(range(CAST((SELECT max(((blocks + 4) * {UNIT} + wide - 1) // wide) FROM s) AS BIGINT))) AS i),
+o AS (SELECT i.i, s.source, s.blocks, row_number() OVER (PARTITION BY s.source ORDER BY i.i) - 1 AS rank
+      FROM i JOIN s ON (i.i % {UNIT} * {GOLDEN}) % {UNIT} >= s.lo AND (i.i % {UNIT} * {GOLDEN}) % {UNIT} < s.hi),
+e AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS slot FROM o WHERE rank < {epochs} * blocks AND i <= (SELECT max(i) FROM o WHERE rank = blocks - 1)),
 x AS (SELECT doc_id, source, first, tokens, unnest(range(first // {block}, (first + tokens - 1) // {block} + 1)) AS block FROM p)
-SELECT o.slot, o.source, x.block, CAST(o.rank // o.blocks AS BIGINT) AS epoch, x.doc_id,
+SELECT e.slot, e.source, x.block, CAST(e.rank // e.blocks AS BIGINT) AS epoch, x.doc_id,
        CAST(greatest(x.first, x.block * {block}) - x.first AS BIGINT) AS from_token,
        CAST(least(x.first + x.tokens, (x.block + 1) * {block}) - greatest(x.first, x.block * {block}) AS BIGINT) AS tokens
-FROM o JOIN x ON o.source IS NOT DISTINCT FROM x.source AND o.rank % o.blocks = x.block WHERE o.slot < (SELECT n FROM e)"""
+FROM e JOIN x ON e.source IS NOT DISTINCT FROM x.source AND e.rank % e.blocks = x.block"""

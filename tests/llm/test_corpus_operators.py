@@ -41,7 +41,9 @@ def test_minhash_crowded(spark):
     for k in range(1500):
         passage, both = passages[k % 3], words(50)
         rows += [(2 * k + j, " ".join(passage + both + words(50))) for j in range(2)]
-    gone = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    gone = minhash.near_duplicates(table).collect()
+    assert sorted(minhash.near_duplicates(table, crowd=60).collect()) == sorted(gone)
     data = "".join(x for _, x in rows).encode()
     offsets = np.cumsum([0] + [len(x) for _, x in rows])
     gram, of, _ = minhash.shingles(np.frombuffer(data, np.uint8), offsets)
@@ -64,7 +66,7 @@ def test_line_dedup(spark):
     rows = [(1, f"{a}\nshort\nshort"), (2, f"{a}\nshort"), (3, b), (4, None), (5, ""), (None, a)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = {(r["doc_id"], r["line_no"]) for r in linededup.repeated_lines(d).collect()}
-    assert found == {(1, 2), (2, 0), (3, 0)}
+    assert found == {(1, 2), (2, 0), (3, 0), (None, 0)}
     assert linededup.repeated_lines(d.limit(0)).count() == 0
     left = [bytes(random.Random(i).choices(b"abc", k=30)) for i in range(40)]
     right = [x[:7] + x[8:] + bytes([97 + i % 3]) * (i % 4) for i, x in enumerate(left)]
@@ -118,18 +120,17 @@ def test_mixing_unfinished_source(spark):
 
 
 def test_mixing_keeps_all(spark):
-    # stretches against drawing the points one by one
-    for parts, blocks in (([5, 90, 400, 7], [1, 40, 900, 2]), ([1, 10**9, 3], [2, 3, 50]), ([1, 10**12], [5, 7]), ([7], [3]), ([0, 3], [4, 5])):
-        plan = mixing.stretches(parts, blocks, 4)
-        had, slot = [0] * len(parts), 0
-        for first, points, edges, before in plan:
-            assert (first, list(before)) == (slot, had)
-            if points < 10**6:
-                for k in mixing.owners(0, points, edges).tolist():
-                    slot, had[k] = (slot + 1, had[k] + 1) if had[k] < 4 * blocks[k] else (slot, had[k])
-            else:
-                assert False, "too many points"
-        assert all(b <= h <= 4 * b for h, b, p in zip(had, blocks, parts) if p)
+    for parts, blocks in (([5, 90, 400, 7], [1, 40, 900, 2]), ([1, 10**9, 3], [2, 3, 50]), ([1, 10**12], [5, 7]), ([7], [3]), ([0, 3], [4, 5]), ([3, 10**9], [1, 10**5])):
+        ends = mixing.edges(mixing.lowered(parts, blocks, 4))
+        points = mixing.points_needed(ends, np.array(blocks))
+        own, had, drawn = mixing.owners(0, points, ends), [0] * len(parts), []
+        for k in own.tolist():
+            if had[k] < 4 * blocks[k]:
+                drawn.append((len(drawn), k, had[k] % blocks[k], had[k] // blocks[k]))
+                had[k] += 1
+        assert ends[-1] == mixing.UNIT and all(b <= h <= 4 * b if p else not h for h, b, p in zip(had, blocks, parts))
+        laid = mixing.slots(spark, points, ends, np.array(blocks), 4)
+        assert sorted(tuple(r) for r in laid.collect()) == drawn
     d = spark.createDataFrame([(1, "w w", "tiny"), (2, "w " * 40, None), *((k, f"w{k} " * 100, "hot") for k in range(10, 1210))], "doc_id bigint, text string, source string")
     out = mixing.schedule(d, block_tokens=2).select("doc_id", "source", "slot", "epoch", "block").distinct().collect()
     assert {r["doc_id"] for r in out} == {1, 2, *range(10, 1210)} and max(r["epoch"] for r in out) < mixing.MAX_EPOCHS
