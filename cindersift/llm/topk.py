@@ -13,6 +13,7 @@ documents. Queries whose words don't fit ``MAX_TERMS`` are answered in groups, a
 Defined results: words are runs of letters and digits, lower case. Documents with a null id or text don't count;
 repeated rows count each. Only documents that share a word with the query have a rank; equal scores are ranked by
 id. Null, empty and wordless queries have no result. Rows with equal query ids are one query of all their words.
+Ids are of any type that has an order; other columns are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import small_batches
+from ..session import small_batches, written
 from . import columnar as C
 
 K = 10
@@ -48,19 +50,18 @@ def _terms(data: np.ndarray, offsets: np.ndarray, vocabulary: np.ndarray) -> tup
     return key // len(vocabulary), key % len(vocabulary), count, length
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _stretches(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = C.utf8(batch.column("text"))
-        ids = batch.column(name).to_numpy()
         for a, b in C.chunks(offsets, _STRETCH):
-            yield ids[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            yield batch.column(name).slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
 def _query_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, data, offsets in _stretches(batches, "id"):
         low = C.LOWER[data]
         start, end, row = C.words(low, offsets)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(C.span_hashes(C.prefix_hashes(low), start, end).view(np.int64))], names=["id", "word"])
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(C.span_hashes(C.prefix_hashes(low), start, end).view(np.int64))], names=["id", "word"])
 
 
 def _tally(vocabulary: np.ndarray):
@@ -95,17 +96,15 @@ def aggregate(doc: np.ndarray, share: np.ndarray, starts: np.ndarray, n: int, k:
     order = np.argsort(depth, kind="stable")  # the order in which entries are read, a row of all lists at a time
     doc_r, share_r, which_r, depth_r = doc[order], share[order].astype(float), which[order], depth[order]
     low = np.zeros(n)
-    shown = np.zeros((m, n), np.float32)
     at, deep, longest = 0, _FIRST_READ, int(size.max(initial=0))
     while True:
         stop = int(np.searchsorted(depth_r, deep))
         low += np.bincount(doc_r[at:stop], share_r[at:stop], n)
-        shown[which_r[at:stop], doc_r[at:stop]] = 1
         at = stop
         if deep >= longest:
             break
         heads = np.where(size > deep, share[np.minimum(starts + deep - 1, len(share) - 1)], 0).astype(float)
-        high = low + heads.sum() - heads @ shown.astype(float)
+        high = low + heads.sum() - np.bincount(doc_r[:at], heads[which_r[:at]], n)  # of lists that have shown it nothing more comes
         best = max(float(floor), np.partition(low, n - k)[n - k] if n >= k else 0.0)
         if best > 0 and np.count_nonzero(high >= best) <= k and heads.sum() < best:
             break
@@ -120,13 +119,20 @@ def aggregate(doc: np.ndarray, share: np.ndarray, starts: np.ndarray, n: int, k:
     return found, low[found].astype(np.int64)
 
 
-def _search(vocabulary: np.ndarray, df: np.ndarray, docs: int, words: int, query: np.ndarray, query_words: np.ndarray, k: int):
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    by_id = np.argsort(ids, kind="stable")
+    return by_id[np.argsort(-score[by_id], kind="stable")][:k]
+
+
+def _search(vocabulary: np.ndarray, df: np.ndarray, docs: int, words: int, query: np.ndarray, query_words: np.ndarray, k: int, asked: pa.DataType):
     first = np.append(np.flatnonzero(np.append(True, query[1:] != query[:-1])), len(query))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_ids: list[np.ndarray] = [np.zeros(0, np.int64)] * (len(first) - 1)
         best: list[np.ndarray] = [np.zeros(0, np.int64)] * (len(first) - 1)
+        kind = pa.int64()
         for ids, data, offsets in _stretches(batches, "doc"):
+            kind, names = ids.type, ids.to_numpy(zero_copy_only=False)
             row, term, tf, length = _terms(data, offsets, vocabulary)
             share = shares(tf, df[term], length[row], docs, words)
             order = np.lexsort((-share, term))
@@ -143,12 +149,14 @@ def _search(vocabulary: np.ndarray, df: np.ndarray, docs: int, words: int, query
                 entry = np.repeat(edge[own] - starts, size) + np.arange(size.sum())
                 found, score = aggregate(row[entry], share[entry], starts, len(ids), k, floor)
                 reach = score >= floor
-                some_ids, some = np.concatenate((best_ids[q], ids[found[reach]])), np.concatenate((best[q], score[reach]))
-                top = np.lexsort((some_ids, -some))[:k]
+                new = names[found[reach]]
+                some_ids, some = np.concatenate((best_ids[q], new)) if len(best[q]) else new, np.concatenate((best[q], score[reach]))
+                top = _best(some_ids, some, k)
                 best_ids[q], best[q] = some_ids[top], some[top]
-        who = np.repeat(query[first[:-1]], [len(x) for x in best])
-        if len(who):
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate(best_ids)), pa.array(np.concatenate(best))], names=["query", "doc", "score"])
+        some = [q for q in range(len(best)) if len(best[q])]
+        if some:
+            who = np.repeat(query[first[some]], [len(best[q]) for q in some])
+            yield pa.RecordBatch.from_arrays([pa.array(who, asked), pa.array(np.concatenate([best_ids[q] for q in some]), kind), pa.array(np.concatenate([best[q] for q in some]))], names=["query", "doc", "score"])
 
     return run
 
@@ -156,28 +164,32 @@ def _search(vocabulary: np.ndarray, df: np.ndarray, docs: int, words: int, query
 def search(queries: DataFrame, docs: DataFrame, k: int = K, query_id: str = "item_id", query_text: str = "text", id_col: str = "doc_id", text_col: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each query."""
     small_batches(docs.sparkSession)
-    asked = queries.select(F.col(query_id).cast("bigint").alias("id"), F.lower(F.col(query_text).cast("string")).alias("text")).where("id is not null and text is not null")
-    pairs = asked.mapInArrow(_query_words, "id bigint, word bigint").distinct()
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
-    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sizes = pairs.groupBy("id").count()
-    groups = sizes.withColumn("part", F.floor(F.sum("count").over(before) / max_terms)).groupBy("part").agg(F.min("id").alias("low"), F.max("id").alias("high")).orderBy("part").collect()
+    query_type, doc_type = queries.schema[query_id].dataType, docs.schema[id_col].dataType
+    asked = queries.select(F.col(query_id).alias("id"), F.lower(F.col(query_text).cast("string")).alias("text")).where("id is not null and text is not null")
+    pairs = asked.mapInArrow(_query_words, T.StructType([T.StructField("id", query_type), T.StructField("word", T.LongType())])).distinct()
+    pairs = written(pairs, "topk-queries")
+    texts = docs.select(F.col(id_col).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
+    groups = -(-pairs.count() // max_terms)
+    found_type = T.StructType([T.StructField("query", query_type), T.StructField("doc", doc_type), T.StructField("score", T.LongType())])
     parts = []
-    for group in groups:
-        own = pairs.where(F.col("id").between(group["low"], group["high"])).toArrow()
+    for group in range(groups):
+        own = pairs.where(F.pmod(F.xxhash64("id"), F.lit(groups)) == group).toArrow()
+        if not own.num_rows:
+            continue
         ids, hashes = own["id"].to_numpy(), own["word"].to_numpy().view(np.uint64)
         vocabulary, at = np.unique(hashes, return_inverse=True)
-        order = np.lexsort((at, ids))
-        ids, at = ids[order], at[order]
+        asking, which = np.unique(ids, return_inverse=True)
+        order = np.lexsort((at, which))
+        ids, at = asking[which[order]], at[order]
         counted = {r["term"]: r["n"] for r in texts.mapInArrow(_tally(vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         total_words, total = counted.pop(-2, 0), counted.pop(-1, 0)
         if not total or not total_words:
             continue
         df = np.zeros(len(vocabulary), np.int64)
         df[list(counted)] = list(counted.values())
-        parts.append(texts.mapInArrow(_search(vocabulary, df, total, total_words, ids, at, k), "query bigint, doc bigint, score bigint"))
+        parts.append(texts.mapInArrow(_search(vocabulary, df, total, total_words, ids, at, k, own["id"].type), found_type))
     if not parts:
-        return docs.sparkSession.createDataFrame([], "item_id bigint, rank int, doc_id bigint, score bigint")
+        return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("item_id", query_type), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", doc_type), T.StructField("score", T.LongType())]))
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)
