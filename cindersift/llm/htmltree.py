@@ -11,7 +11,8 @@ call those elements ``div``, so the model learns what content looks like without
 pages, chosen by a hash of the page.
 
 Defined results: null and empty pages, and such without text, have an empty text and no nodes; what isn't well-formed
-is parsed as browsers would about do; null ids and repeated rows stay. With no labelled page all visible text is kept.
+is parsed as browsers would about do; ids are passed through, whatever their type; null ids and repeated rows stay.
+With no labelled page all visible text is kept. Time is in proportion to a page's length, however it is nested or broken.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import small_batches
 
@@ -43,7 +45,6 @@ _KINDS = {t: i + 2 for i, t in enumerate("a article aside b blockquote body br b
 for _t in ("article", "main"):
     _KINDS[_t] = _KINDS["div"]
 _TEXT, _OTHER_TAG = 0, 1
-_HIDDEN = frozenset("script style noscript template iframe svg head".split())
 #: Levels of each feature: kind, kind of the parent, text under it, link share, punctuation, place, depth, class or id (of the parent for text).
 LEVELS = (64, 64, 18, 6, 6, 10, 12, 64)
 
@@ -71,10 +72,19 @@ def parse(source: str) -> Page:
     """The tree of a page. Hidden text (scripts and the like) has no node."""
     page = Page()
     stack = [page.add(-1, "html")]
-    tags = page.tag
-    at, end = 0, len(source)
+    open_at: dict[str, list[int]] = {}  # places in the stack of each open tag
+    scopes = [0]  # and of those that tags outside don't close
+    at, end, last = 0, len(source), source.rfind(">")
+
+    def close_from(k: int) -> None:
+        for node in stack[k:]:
+            open_at[page.tag[node]].pop()
+        del stack[k:]
+        while scopes[-1] >= k:
+            scopes.pop()
+
     while at < end:
-        found = _TAG.search(source, at)
+        found = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
         upto = found.start() if found else end
         if upto > at and not (text := source[at:upto]).isspace():
             page.add(stack[-1], "", text)
@@ -86,24 +96,15 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if found[1] or found[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    del stack[k:]
-                    break
-                if name not in _SCOPE and tags[stack[k]] in _SCOPE:
-                    break
+            if (places := open_at.get(name)) and (name in _SCOPE or places[-1] >= scopes[-1]):
+                close_from(places[-1])
             continue
         if name == "html":
             continue
-        closes = _SIBLING.get(name) or ({"p"} if name in _CLOSES_P else None)
-        if closes:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = tags[stack[k]]
-                if tag in closes:
-                    del stack[k:]
-                    break
-                if tag in _SCOPE:
-                    break
+        closes = _SIBLING.get(name) or ({"p"} if name in _CLOSES_P else ())
+        k = max((places[-1] for t in closes if (places := open_at.get(t))), default=-1)
+        if k > 0 and k >= scopes[-1]:
+            close_from(k)
         named = _NAME.search(found[3] or found[6] or "")
         node = page.add(stack[-1], name, "", zlib.crc32(named[1].lower().encode("utf-8", "replace")) % 63 + 1 if named else 0)
         if name in _RAW:
@@ -112,6 +113,9 @@ def parse(source: str) -> Page:
                 page.add(node, "", text)
             at = close.end() if close else end
         elif name not in _VOID and not (found[3] or found[6] or "").endswith("/"):
+            open_at.setdefault(name, []).append(len(stack))
+            if name in _SCOPE:
+                scopes.append(len(stack))
             stack.append(node)
     return page
 
@@ -153,7 +157,7 @@ class Forest:
         sums = np.stack((size, np.where(in_link, size, 0), marks))
         for level in self.levels[:0:-1]:
             for row in sums:
-                row += np.bincount(self.parent[level], row[level], n)
+                np.add.at(row, self.parent[level], row[level])
         total = np.maximum(sums[0][first[self.page]], 1) if n else size
         offset = before - (before[first[self.page]] if n else 0)
         some = np.maximum(sums[0], 1)
@@ -198,7 +202,7 @@ def marginals(parent: np.ndarray, root: np.ndarray, levels: list[np.ndarray], ow
         for y in range(2):
             up[level, y] = np.logaddexp(step[y, 0] + below[level, 0], step[y, 1] + below[level, 1])
         for y in range(2):
-            below[:, y] += np.bincount(parent[level], up[level, y], n)
+            np.add.at(below[:, y], parent[level], up[level, y])
     belief = below.copy()
     for level in levels[1:]:
         rest = belief[parent[level]] - up[level]  # what the parent knows apart from this child
@@ -284,5 +288,6 @@ def _extract(model: Potentials | None, threshold: float):
 def extract(pages: DataFrame, model: Potentials | None, id_col: str = "page_id", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, text, nodes, content_nodes) of each page."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(_extract(model, threshold), "page_id bigint, text string, nodes int, content_nodes int")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html"))
+    kinds = [("text", T.StringType()), ("nodes", T.IntegerType()), ("content_nodes", T.IntegerType())]
+    return rows.mapInArrow(_extract(model, threshold), T.StructType([rows.schema["page_id"], *(T.StructField(n, k) for n, k in kinds)]))
