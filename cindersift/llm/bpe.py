@@ -5,8 +5,8 @@ signs, white space; a single space before a piece belongs to it). Within a piece
 a segment tree that holds (rank, place) and each node the least of its children. The root is the leftmost pair of the
 lowest rank; merging it changes three leaves and the nodes above them, until no pair is in the vocabulary. Pieces of
 up to ``WIDE`` bytes go through their trees side by side, a numpy operation for each step of all trees; longer ones
-one by one. What pieces a worker has encoded it remembers, up to ``REMEMBERED`` of them, by a hash; the tokens found for
-a stretch of text are decoded again, and where that isn't the text (a hash has met another) it is encoded without hashes.
+one by one. What pieces a worker has encoded it remembers by a hash, in two tables of ``SLOTS``; the tokens found for a
+stretch of text are decoded again, and where that isn't the text (a hash has met another) it is encoded without hashes.
 
 Defined results: null has null tokens; an empty text has none; bytes that aren't UTF-8 are pieces of other signs;
 texts of any length are encoded whole. Rows pass through in place, so null ids, repeated rows and other columns stay.
@@ -31,7 +31,9 @@ from . import columnar as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WIDE = 512
-REMEMBERED = 500_000
+SLOTS = 1 << 20
+#: Tokens of remembered pieces; beyond that a worker begins to remember anew.
+REMEMBERED = 6_000_000
 #: A vocabulary travels with every task, so its size is checked.
 LARGEST_VOCABULARY = 16 << 20
 _CHUNK = 1 << 19
@@ -141,7 +143,7 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, where their tokens are, how many
+        self.slots = [(np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)) for _ in range(2)]  # hash, place, number of tokens
         self.store, self.used = np.zeros(1 << 16, np.int32), 0
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,8 +238,8 @@ class Vocabulary:
                     k >>= 1
         return [t for t in token if t >= 0]
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> None:
-        """Encodes pieces that aren't known and remembers them."""
+    def _learn(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces and puts their tokens in store: where, and how many."""
         where, many = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
         found: list[np.ndarray] = []
         at = self.used
@@ -266,44 +268,55 @@ class Vocabulary:
         for tokens in found:
             self.store[self.used : self.used + len(tokens)] = tokens
             self.used += len(tokens)
-        new = (hashes, where, many)
-        while self.known and len(self.known[-1][0]) <= 2 * len(new[0]):
-            both = [np.concatenate(x) for x in zip(self.known.pop(), new)]
-            order = np.argsort(both[0], kind="stable")
-            new = tuple(x[order] for x in both)
-        self.known.append(new)
-
-    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where, many = np.full(len(hashes), -1, np.int32), np.zeros(len(hashes), np.int32)
-        for known, place, count in self.known:
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = known[at] == hashes
-            where[hit], many[hit] = place[at[hit]], count[at[hit]]
+        return where, many
+
+    @staticmethod
+    def _slot(hashes: np.ndarray, second: bool) -> np.ndarray:
+        if second:
+            hashes = hashes * np.uint64(0xD6E8FEB86659FD93)
+        return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+    def _places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in store the tokens of each piece are, and how many; pieces that aren't known are learnt."""
+        if self.used > REMEMBERED:
+            self.forget()
+        hashes = C.span_hashes(C.prefix_hashes(data), start, end)
+        (key, place, number), other = self.slots
+        slot = self._slot(hashes, False)
+        where, many = place[slot], number[slot]
+        miss = np.flatnonzero(key[slot] != hashes)
+        if len(miss):
+            own = hashes[miss]
+            slot = self._slot(own, True)
+            where[miss], many[miss] = other[1][slot], other[2][slot]
+            miss = miss[other[0][slot] != own]
+        if len(miss):
+            unique, first, inverse = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            first = miss[first]
+            new = self._learn(data, start[first], (end - start)[first])
+            where[miss], many[miss] = new[0][inverse], new[1][inverse]
+            slot = self._slot(unique, False)
+            free = key[slot] == 0
+            for table, at, some in ((self.slots[0], slot[free], free), (other, self._slot(unique[~free], True), ~free)):
+                at, last = np.unique(at[::-1], return_index=True)  # of several for a slot one stays
+                for part, value in zip(table, (unique, *new)):
+                    part[at] = value[some][::-1][last]
         return where, many
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all rows, and how many each row has."""
         start = pieces(data, offsets)
-        row = np.searchsorted(offsets, start, "right") - 1
         end = np.append(start[1:], len(data))
-        hashes = C.span_hashes(C.prefix_hashes(data), start, end)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        where, many = self._find(unique)
-        if len(new := np.flatnonzero(where < 0)):
-            if sum(len(k[0]) for k in self.known) + len(new) > REMEMBERED:
-                self.forget()
-                new = np.arange(len(unique))
-            self._learn(data, start[first[new]], (end - start)[first[new]], unique[new])
-            where, many = self._find(unique)
-        counts = many[inverse]
-        tokens = self.store[C.spread(where[inverse], counts)]
-        of_row = np.bincount(row, counts, len(offsets) - 1).astype(np.int64)
-        back, ends = self.decode(tokens, of_row)
+        first = np.searchsorted(start, offsets)  # piece of each row
+        where, many = self._places(data, start, end)
+        tokens = self.store[C.spread(where, many)]
+        counts = np.diff(np.concatenate(([0], np.cumsum(many, dtype=np.int64)))[first])
+        back, ends = self.decode(tokens, counts)
         if not (np.array_equal(back, data) and np.array_equal(ends, offsets)):
             each = self._exactly(data, start, end)
             tokens = np.array([t for x in each for t in x], np.int32)
-            of_row = np.bincount(row, [len(x) for x in each], len(offsets) - 1).astype(np.int64)
-        return tokens, of_row
+            counts = np.diff(np.concatenate(([0], np.cumsum([len(x) for x in each], dtype=np.int64)))[first])
+        return tokens, counts
 
     def _exactly(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
         """Tokens of each piece, told by its bytes."""
