@@ -1,14 +1,19 @@
 """Token ids as length-delimited binary records with masked checksums, and a separate offset index.
 
 A record is framed as the length in 8 bytes, the masked CRC-32C of those, the payload, and its masked CRC-32C, all
-little-endian. A payload is a flag byte (1: the id is null), a byte with the width of a token (2 or 4), the id in 8
-bytes, and the tokens. Tasks write shards of about ``SHARD_BYTES`` straight to the shared folder, under names of their
-own, so a task that runs again leaves whole files; the index, an ordinary table, names only those of tasks that counted.
-A reader orders the index by a hash of seed and place and fetches each record by its offset.
+little-endian. A payload is a flag byte (0: the id is an integer in 8 bytes; 1: it is null; 2: it is a text, its length
+in 8 bytes and then its bytes), a byte with the width of a token (2, or 4 where one needs it), the id, and the tokens.
+Tasks write shards of about ``SHARD_BYTES`` straight to the shared folder, under names of their own, so a task that runs
+again leaves whole files; the index, an ordinary table, names only those of tasks that counted.
+
+A shuffled read cuts shards into stretches of ``STRETCH_BYTES``, deals these out to windows of ``WINDOW_BYTES`` by a hash
+of the seed, and orders the records of a window by another. A task reads the stretches of a window whole, from wherever
+they are, so it makes few reads, of neighbouring records, however many records and shards there are.
 
 Defined results: a row without tokens (null) has no record; an empty list has a record without tokens; null ids come
-back as null; repeated rows are records of their own. A record whose length, checksum or frame is wrong raises
-ValueError, with ``strict=False`` it comes back with ``ok`` false and null tokens.
+back as null, ids that aren't integers as the texts that Spark casts them to; repeated rows are records of their own;
+other columns are never read. A record whose length, checksum or frame is wrong raises ValueError, with
+``strict=False`` it comes back with ``ok`` false and null tokens.
 """
 
 from __future__ import annotations
@@ -22,10 +27,17 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import fresh_path, small_batches, written
 
 SHARD_BYTES = 64 << 20
+STRETCH_BYTES = 1 << 20
+#: A shuffled read holds so many bytes of records at a time; they are checked and passed on so many at a time.
+WINDOW_BYTES, READ_BYTES = 16 << 20, 4 << 20
+MAX_TASKS = 20_000
+#: Records with less than this between them are fetched together.
+_NEAR = 4 << 10
 _HEAD, _HEAD_BYTES = "<BBq", 10
 _CELLS = 1 << 23
 
@@ -90,11 +102,11 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(0xA282EAD8)
 
 
-def frame(payloads: list[bytes]) -> list[bytes]:
+def frame(bodies: list[bytes]) -> list[bytes]:
     """Each payload with its lengths and masked checksums."""
-    lengths = [struct.pack("<Q", len(p)) for p in payloads]
-    a, b = masked(crc32c(lengths)), masked(crc32c(payloads))
-    return [n + struct.pack("<I", x) + p + struct.pack("<I", y) for n, x, p, y in zip(lengths, a.tolist(), payloads, b.tolist())]
+    lengths = [struct.pack("<Q", len(p)) for p in bodies]
+    a, b = masked(crc32c(lengths)), masked(crc32c(bodies))
+    return [n + struct.pack("<I", x) + p + struct.pack("<I", y) for n, x, p, y in zip(lengths, a.tolist(), bodies, b.tolist())]
 
 
 def unframe(frames: list[bytes]) -> list[bytes | None]:
@@ -106,9 +118,33 @@ def unframe(frames: list[bytes]) -> list[bytes | None]:
     return [None if f is None else next(good) for f in whole]
 
 
-def _write(folder: str, width: int, shard_bytes: int):
-    kind = "<u2" if width == 2 else "<u4"
+def payloads(ids: list, values: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """What the records of some ids hold, the tokens of row k being values[ends[k]:ends[k + 1]]."""
+    if len(values) and (values.min() < 0 or values.max() >= 1 << 32):
+        raise ValueError("a token does not fit 4 bytes")
+    narrow, wide = values.astype("<u2").tobytes(), None
+    out = []
+    for k, i in enumerate(ids):
+        a, b = int(ends[k]), int(ends[k + 1])
+        if a == b or values[a:b].max() < 1 << 16:
+            width, body = 2, narrow[2 * a : 2 * b]
+        else:
+            wide = wide or values.astype("<u4").tobytes()
+            width, body = 4, wide[4 * a : 4 * b]
+        text = i.encode() if isinstance(i, str) else b""
+        out.append(struct.pack(_HEAD, 1 if i is None else 2 if isinstance(i, str) else 0, width, len(text) if isinstance(i, str) else i or 0) + text + body)
+    return out
+
+
+def payload_parts(payload: bytes) -> tuple[int | str | None, np.ndarray]:
+    """Id and tokens."""
+    flag, width, number = struct.unpack_from(_HEAD, payload)
+    at = _HEAD_BYTES + (number if flag == 2 else 0)
+    i = None if flag == 1 else payload[_HEAD_BYTES:at].decode() if flag == 2 else number
+    return i, np.frombuffer(payload, "<u2" if width == 2 else "<u4", offset=at)
+
 
+def _write(folder: str, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
@@ -119,15 +155,10 @@ def _write(folder: str, width: int, shard_bytes: int):
                     part = batch.slice(first, 2000)
                     lists = part.column("tokens")
                     ids = part.column("doc_id").to_pylist()
-                    counts = np.diff(lists.offsets.to_numpy())
-                    ends = np.concatenate(([0], np.cumsum(counts)))
+                    ends = np.concatenate(([0], np.cumsum(np.diff(lists.offsets.to_numpy()))))
                     values = lists.flatten().to_numpy(zero_copy_only=False)
-                    if len(values) and (values.min() < 0 or values.max() >= 1 << 8 * width):
-                        raise ValueError(f"a token does not fit {width} bytes")
-                    data = values.astype(kind).tobytes()
-                    payloads = [struct.pack(_HEAD, i is None, width, i or 0) + data[ends[k] * width : ends[k + 1] * width] for k, i in enumerate(ids)]
                     names, offsets, lengths = [], [], []
-                    for record in frame(payloads):
+                    for record in frame(payloads(ids, values, ends)):
                         if out is None:
                             name, at = f"{uuid.uuid4().hex}.rec", 0
                             out = fs.open_output_stream(f"{root}/{name}")
@@ -147,42 +178,88 @@ def _write(folder: str, width: int, shard_bytes: int):
     return run
 
 
-def write_records(tokens: DataFrame, folder: str | None = None, id_col: str = "doc_id", tokens_col: str = "tokens", width: int = 2, shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
+def _id_type(kind: T.DataType) -> T.DataType:
+    return T.LongType() if isinstance(kind, T.IntegralType) else T.StringType()
+
+
+def write_records(tokens: DataFrame, folder: str | None = None, id_col: str = "doc_id", tokens_col: str = "tokens", shard_bytes: int = SHARD_BYTES) -> tuple[str, DataFrame]:
     """Writes shards to ``folder`` and returns it with the index (doc_id, shard, offset, length), itself a written table."""
     small_batches(tokens.sparkSession)
     folder = folder or fresh_path(tokens.sparkSession, "records")
-    rows = tokens.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(tokens_col).alias("tokens")).where("tokens is not null")
-    return folder, written(rows.mapInArrow(_write(folder, width, shard_bytes), "doc_id bigint, shard string, offset bigint, length bigint"), "record-index")
+    kind = _id_type(tokens.schema[id_col].dataType)
+    rows = tokens.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(tokens_col).alias("tokens")).where("tokens is not null")
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
+    return folder, written(rows.mapInArrow(_write(folder, shard_bytes), schema), "record-index")
+
+
+def _fetch(fs: pafs.FileSystem, root: str, shards: list[str], offsets: list[int], lengths: list[int]) -> list[bytes]:
+    """The frames at some places, by stretches of each shard."""
+    out: list[bytes] = [b""] * len(shards)
+    order = sorted(range(len(shards)), key=lambda i: (shards[i], offsets[i]))
+    at = 0
+    now, source = None, None
+    while at < len(order):
+        first = order[at]
+        stop, end = at + 1, offsets[first] + lengths[first]
+        while stop < len(order) and shards[order[stop]] == shards[first] and offsets[order[stop]] <= end + _NEAR:
+            end = max(end, offsets[order[stop]] + lengths[order[stop]])
+            stop += 1
+        if shards[first] != now:
+            if source:
+                source.close()
+            now, source = shards[first], fs.open_input_file(f"{root}/{shards[first]}")
+        data = source.read_at(end - offsets[first], offsets[first])
+        for i in order[at:stop]:
+            a = offsets[i] - offsets[first]
+            out[i] = data[a : a + lengths[i]]
+        at = stop
+    if source:
+        source.close()
+    return out
 
 
-def _read(folder: str, strict: bool):
+def _read(folder: str, strict: bool, kind: pa.DataType, shuffled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            shards, offsets, lengths = (batch.column(c).to_pylist() for c in ("shard", "offset", "length"))
-            frames: list[bytes] = [b""] * len(shards)
-            now, source = None, None
-            for i in sorted(range(len(shards)), key=lambda i: (shards[i], offsets[i])):
-                if shards[i] != now:
-                    if source:
-                        source.close()
-                    now, source = shards[i], fs.open_input_file(f"{root}/{shards[i]}")
-                frames[i] = source.read_at(lengths[i], offsets[i])
-            if source:
-                source.close()
-            found = unframe(frames)
-            if strict and None in found:
-                i = found.index(None)
-                raise ValueError(f"record at {offsets[i]} of {shards[i]} is damaged")
-            heads = [None if p is None else struct.unpack_from(_HEAD, p) for p in found]
-            ids = [None if h is None or h[0] else h[2] for h in heads]
-            parts = [None if p is None else np.frombuffer(p, "<u2" if h[1] == 2 else "<u4", offset=_HEAD_BYTES) for p, h in zip(found, heads)]
-            counts = np.array([0 if p is None else len(p) for p in parts])
-            values = np.concatenate([p.astype(np.int32) for p in parts if p is not None] or [np.zeros(0, np.int32)])
-            ok = np.array([p is not None for p in parts], bool)
-            ends = pa.py_buffer(np.concatenate(([0], np.cumsum(counts))).astype(np.int32).tobytes())
-            lists = pa.Array.from_buffers(pa.list_(pa.int32()), len(ok), [None if ok.all() else pa.array(ok).buffers()[1], ends], children=[pa.array(values, pa.int32())])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists, pa.array(counts, pa.int32(), mask=~ok), batch.column("length"), pa.array(ok)], names=["doc_id", "tokens", "n_tokens", "length", "ok"])
+            window = batch.column("window").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(window[1:] != window[:-1]) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and (not shuffled or held[-1].column("window")[-1] != batch.column("window")[a]):
+                    yield from pieces(fs, root, held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from pieces(fs, root, held)
+
+    def pieces(fs: pafs.FileSystem, root: str, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        size = np.cumsum(rows.column("length").to_numpy())
+        whole = _fetch(fs, root, *(rows.column(c).to_pylist() for c in ("shard", "offset", "length"))) if shuffled else None
+        first = 0
+        while first < rows.num_rows:
+            before = int(size[first - 1]) if first else 0
+            stop = max(first + 1, int(np.searchsorted(size, before + READ_BYTES, "right")))
+            yield one(fs, root, rows.slice(first, stop - first), whole[first:stop] if whole else None)
+            first = stop
+
+    def one(fs: pafs.FileSystem, root: str, batch: pa.RecordBatch, frames: list[bytes] | None) -> pa.RecordBatch:
+        shards, offsets, lengths = (batch.column(c).to_pylist() for c in ("shard", "offset", "length"))
+        found = unframe(_fetch(fs, root, shards, offsets, lengths) if frames is None else frames)
+        if strict and None in found:
+            i = found.index(None)
+            raise ValueError(f"record at {offsets[i]} of {shards[i]} is damaged")
+        both = [(None, None) if p is None else payload_parts(p) for p in found]
+        parts = [p for _, p in both]
+        counts = np.array([0 if p is None else len(p) for p in parts])
+        values = np.concatenate([p.astype(np.int32) for p in parts if p is not None] or [np.zeros(0, np.int32)])
+        ok = np.array([p is not None for p in parts], bool)
+        ends = pa.py_buffer(np.concatenate(([0], np.cumsum(counts))).astype(np.int32).tobytes())
+        lists = pa.Array.from_buffers(pa.list_(pa.int32()), len(ok), [None if ok.all() else pa.array(ok).buffers()[1], ends], children=[pa.array(values, pa.int32())])
+        return pa.RecordBatch.from_arrays([pa.array([i for i, _ in both], kind), lists, pa.array(counts, pa.int32(), mask=~ok), batch.column("length"), pa.array(ok)], names=["doc_id", "tokens", "n_tokens", "length", "ok"])
 
     return run
 
@@ -190,6 +267,14 @@ def _read(folder: str, strict: bool):
 def read_records(folder: str, index: DataFrame, seed: int | None = None, strict: bool = True) -> DataFrame:
     """(doc_id, tokens, n_tokens, length, ok) of each record of the index; with a seed in an order shuffled by it."""
     small_batches(index.sparkSession)
+    kind = index.schema["doc_id"].dataType
     if seed is not None:
-        index = index.orderBy(F.xxhash64(F.lit(seed), "shard", "offset"), "shard", "offset")
-    return index.select("shard", "offset", "length").mapInArrow(_read(folder, strict), "doc_id bigint, tokens array<int>, n_tokens int, length bigint, ok boolean")
+        windows = int(-(-(index.agg(F.sum("length").alias("n")).first()["n"] or 0) // WINDOW_BYTES)) or 1
+        window = F.pmod(F.xxhash64(F.lit(seed), "shard", F.floor(F.col("offset") / STRETCH_BYTES)), F.lit(windows))
+        order = F.xxhash64(F.lit(seed + 1), "shard", "offset")
+        tasks = min(windows, MAX_TASKS)
+        index = index.select("*", window.alias("window"), order.alias("order")).repartitionById(tasks, F.pmod(F.col("window"), F.lit(tasks)).cast("int")).sortWithinPartitions("window", "order", "shard", "offset")
+    else:
+        index = index.withColumn("window", F.lit(0))
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("length", T.LongType()), T.StructField("ok", T.BooleanType())])
+    return index.select("shard", "offset", "length", "window").mapInArrow(_read(folder, strict, pa.int64() if kind == T.LongType() else pa.string(), seed is not None), schema)
