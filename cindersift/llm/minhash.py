@@ -3,11 +3,12 @@
 Each document is the set of its word ``SHINGLE``-grams (lower case, punctuation dropped). Its signature holds
 ``TREES * DEPTH`` minima. Every tree of the forest orders all documents by ``DEPTH`` of them, so those whose labels
 begin with the same ``ROOT`` values lie side by side, as a region. All members of a region meet, however many they
-are, and are verified there by the share of equal minima, so no candidates are shuffled. What travels with a member is
-a byte of each minimum (b-bit minwise hashing), whose chance agreements the estimate takes off. Equal signatures are one
-member, and what is connected already isn't compared again: copies take work in proportion to their number. A region
-gives edges that connect what all its verified pairs would. One of more than ``CROWD`` members is dealt out in blocks,
-every two of which meet in a task of their own. Groups are the connected components.
+are, and are verified there by the share of equal minima, so no pairs are shuffled. Only members of regions of two and
+more get there; what travels with one is a byte of each minimum (b-bit minwise hashing, Li and König 2010), whose chance
+agreements the estimate takes off. Equal signatures are one member, and what is connected already isn't compared again:
+copies take work in proportion to their number. A region gives edges that connect what all its verified pairs would. One
+of more than ``CROWD`` members is dealt out in blocks, every two of which meet in a task of their own. Groups are the
+connected components.
 
 Documents with the same words in the same order are one from the start; they are told by a 128-bit BLAKE2 hash of those.
 
@@ -161,14 +162,13 @@ def _joined(sig: np.ndarray, threshold: float) -> np.ndarray:
     return least[root[copy]]
 
 
-def _meet(threshold: float, crowd: int):
-    """Edges (a, b) within the regions of rows sorted by root; of a region with more than ``crowd`` rows only its root and size n."""
+def _meet(threshold: float):
+    """Edges (a, b) within the regions of rows sorted by root."""
 
     def edges(root: np.ndarray, node: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Of whole regions."""
         first = np.flatnonzero(np.append(True, root[1:] != root[:-1]))
         size = np.diff(np.append(first, len(root)))
-        yield from crowds([root[first[k]].tobytes() for k in np.flatnonzero(size > crowd)], size[size > crowd])
         end = np.repeat(first + size, size)
         small = np.repeat(size <= SMALL, size)
         for step in range(1, SMALL):
@@ -177,48 +177,34 @@ def _meet(threshold: float, crowd: int):
                 x = left[at : at + _PAIRS]
                 x = x[_alike((sig[x] == sig[x + step]).sum(1)) >= threshold]
                 yield joined(node[x], node[x + step])
-        for k in np.flatnonzero((size > SMALL) & (size <= crowd)):
+        for k in np.flatnonzero(size > SMALL):
             own = np.arange(first[k], first[k] + size[k])
             to = own[_joined(sig[own], threshold)]
             yield joined(node[own[own != to]], node[to[own != to]])
 
     def joined(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_binary(x), _binary(y), pa.nulls(len(x), pa.int64())], names=["a", "b", "n"])
-
-    def crowds(roots: list[bytes], sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if roots:
-            yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.nulls(len(roots), pa.binary()), pa.array(sizes, pa.int64())], names=["a", "b", "n"])
+        return pa.RecordBatch.from_arrays([_binary(x), _binary(y)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the region that the rows so far end with: its root, its size and, unless it is crowded, its rows
-        now, count, held = None, 0, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if count > crowd:
-                yield from crowds([now.tobytes()], np.array([count]))
-            elif count:
-                yield from edges(*(np.concatenate(v) for v in zip(*held)))
-
+        now, held = None, []  # the region that the rows so far end with
         for batch in batches:
             if not batch.num_rows:
                 continue
             data = C.utf8(batch.column("root"))[0].reshape(batch.num_rows, -1)
             root = np.ascontiguousarray(data).view(f"V{data.shape[1]}").ravel()
             rows = root, *(C.utf8(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("node", "sig"))
-            begins = np.append(np.flatnonzero(root[1:] != root[:-1]) + 1, len(root))
-            lead, last = int(begins[0]), int(begins[-2]) if len(begins) > 1 else 0
-            for a, b in ((0, lead), (last, len(root))) if last else ((0, lead),):
-                if root[a] != now:
-                    yield from done()
-                    now, count, held = root[a], 0, []
-                count += b - a
-                held = [*held, tuple(x[a:b].copy() for x in rows)] if count <= crowd else []
-                if last and a == 0:
-                    yield from done()
-                    now, count, held = None, 0, []
-                    if last > lead:
-                        yield from edges(*(x[lead:last] for x in rows))
-        yield from done()
+            other = np.flatnonzero(root != root[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and root[0] != now:
+                yield from edges(*(np.concatenate(v) for v in zip(*held)))
+                held = []
+            if cut:
+                yield from edges(*(np.concatenate(v) for v in zip(*held, tuple(x[:cut] for x in rows))))
+                held = []
+            now = root[-1]
+            held.append(tuple(x[cut:].copy() for x in rows))
+        if held:
+            yield from edges(*(np.concatenate(v) for v in zip(*held)))
 
     return run
 
@@ -247,24 +233,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def linked(reps: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """(a, b): edges that connect the documents (words, sig) which are alike and meet in some tree."""
-    short = reps.mapInArrow(_shorten, "node binary, roots binary, sig binary")
+    short = written(reps.mapInArrow(_shorten, "node binary, roots binary, sig binary"), "minhash-short")
     width = ROOT * 4
     root = F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("roots", t * width + 1, width)) for t in range(TREES)])).alias("root")
-    rows = short.select(root, "node", "sig")
-
-    def met(rows: DataFrame, crowd: int) -> DataFrame:
-        return rows.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_meet(threshold, crowd), "a binary, b binary, n bigint")
-
-    found = written(met(rows, crowd), "minhash-edges")
-    edges, crowded = found.where("b is not null").select("a", "b"), found.where("b is null")
-    if crowded.isEmpty():
-        return edges
+    rows = short.select(root, "node")
+    sizes = rows.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     # every two blocks of a crowded region meet, as a region of their own
     blocks = (F.floor(F.col("n") / (crowd // 2)) + 1).cast("int")
-    member = rows.join(crowded.select(F.col("a").alias("root"), blocks.alias("of")), "root").withColumn("own", F.pmod(F.xxhash64("node"), "of").cast("int"))
-    each = member.select("root", "node", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    part = F.concat("root", F.unhex(F.lpad(F.hex(F.least("own", "other")), 8, "0")), F.unhex(F.lpad(F.hex(F.greatest("own", "other")), 8, "0")))
-    return edges.union(met(each.select(part.alias("root"), "node", "sig"), 1 << 62).select("a", "b"))
+    met = rows.join(sizes, "root").withColumn("of", F.when(F.col("n") <= crowd, 1).otherwise(blocks)).withColumn("own", F.pmod(F.xxhash64("node"), "of").cast("int"))
+
+    def region(other: F.Column) -> F.Column:
+        return F.concat("root", *(F.unhex(F.lpad(F.hex(f("own", other)), 8, "0")) for f in (F.least, F.greatest)))
+
+    members = met.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), region)).alias("root"), "node")
+    signed = members.join(short.select("node", "sig"), "node")
+    return signed.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_meet(threshold), "a binary, b binary")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
