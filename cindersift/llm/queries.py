@@ -40,8 +40,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages and gaps found in archives of the pages whose writer crashed now and then."""
-    archives = warc.write_archives(_table(spark, sf_dir, "pages"), crash=(warc.TORN_EVERY, warc.TORN_AT))
+    """All pages and gaps found in archives of the pages, among which there are torn, flipped and cut records."""
+    damage = {"torn": (warc.DAMAGED_EVERY, warc.TORN_AT), "flipped": (warc.DAMAGED_EVERY, warc.FLIPPED_AT), "cut": (warc.DAMAGED_EVERY, warc.CUT_AT)}
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"), damage=damage)
     return warc.pages_of(warc.read_archives(archives))
 
 

@@ -178,7 +178,7 @@ def test_html(spark):
 
 def test_warc(spark):
     pages = spark.createDataFrame([(7, "http://x/%41 b", "<p>é</p>" * 50), (8, None, None), (None, "u", "t"), (7, "http://x", "again")], "page_id bigint, url string, html string").coalesce(1)
-    out = warc.pages_of(warc.read_archives(warc.write_archives(pages, crash=(50, 7)))).collect()
+    out = warc.pages_of(warc.read_archives(warc.write_archives(pages, damage={"torn": (50, 7)}))).collect()
     assert sorted((x["kind"], str(x["page_id"]), str(x["url"])) for x in out) == sorted([("gap", "None", "None")] * 2 + [("record", "7", "http://x/%41 b"), ("record", "8", "None"), ("record", "None", "u"), ("record", "7", "http://x")])
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"junk")] == ["gap"]
 
