@@ -6,26 +6,33 @@ everything is in integers, so results are exact: tiles are rounded half up, hash
 a whole NPY file of ``TILE`` x ``TILE`` grey values. The hash has a bit for each of 8 x 8 cells: whether the cell is
 darker than the one to its right.
 
+Large pictures go through in bands of rows, of which only the sums at the edges of cells are kept.
+
 Defined results: null, empty or damaged images, and such of no pixels or a kind that isn't known, have null results
-and the reason in ``error``; so no row is lost. Equal images have equal results; ids are passed through.
+and the reason in ``error``; so no row is lost. Equal images have equal results; ids are passed through, whatever
+their type. Of a Netpbm file that holds several pictures the first counts. BMP may have 1, 4, 8, 16, 24 or 32 bits,
+run lengths, colour masks and the short header; transparency is ignored.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import small_batches
 
 TILE = 32
-#: The largest picture that is decoded; what claims more is reported as an error.
-LARGEST = 1 << 28
+#: Samples of the largest picture that is decoded, those of a cell of 2 GiB; what claims more is reported as an error.
+LARGEST = (1 << 31) - 1
+_BAND = 1 << 22
 _SPACE = b" \t\r\n\x0b\x0c"
 _TOKEN = re.compile(rb"(?:[ \t\r\n\x0b\x0c]|#[^\n]*(?:\n|$))*([0-9]+)")
 _COMMENT = re.compile(rb"#[^\n]*")
@@ -92,12 +99,20 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 
 def _bmp(data: bytes) -> np.ndarray:
-    if len(data) < 54:
+    if len(data) < 26:
+        raise BadImage("bad header")
+    start, size = struct.unpack_from("<II", data, 10)
+    if size == 12:
+        width, height, planes, bits = struct.unpack_from("<HHHH", data, 18)
+        packed, entry, used = 0, 3, 0
+    elif size >= 40 and len(data) >= 54:
+        width, height, planes, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+        entry, used = 4, struct.unpack_from("<I", data, 46)[0]
+    else:
         raise BadImage("bad header")
-    start, size, width, height, planes, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if size < 40 or planes != 1:
+    if planes != 1:
         raise BadImage("bad header")
-    if bits not in (1, 4, 8, 24, 32) or packed not in ((0, 3) if bits == 32 else (0,)):
+    if (bits, packed) not in {*((b, 0) for b in (1, 4, 8, 16, 24, 32)), (8, 1), (4, 2), (16, 3), (32, 3), (16, 6), (32, 6)}:
         raise BadImage("unsupported BMP")
     upward, height = height > 0, abs(height)
     if width <= 0 or not height:
@@ -105,23 +120,64 @@ def _bmp(data: bytes) -> np.ndarray:
     if width * height * 3 > LARGEST:
         raise BadImage("too large")
     row = (width * bits + 31) // 32 * 4
-    if len(data) < start + row * height:
+    if packed not in (1, 2) and len(data) < start + row * height:
         raise BadImage("cut short")
-    raw = np.frombuffer(data, np.uint8, row * height, start).reshape(height, row)
-    raw = raw[::-1] if upward else raw
+    if packed not in (1, 2):
+        raw = np.frombuffer(data, np.uint8, row * height, start).reshape(height, row)
+        raw = raw[::-1] if upward else raw
+    if bits == 16 or packed in (3, 6):
+        masks = struct.unpack_from("<III", data, 54) if packed and len(data) >= 66 else (0x7C00, 0x03E0, 0x001F)
+        words = np.ascontiguousarray(raw[:, : width * bits // 8]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+        return np.stack([_channel(words, m) for m in masks], 2)
     if bits >= 24:
         return np.ascontiguousarray(raw[:, : width * bits // 8].reshape(height, width, bits // 8)[:, :, 2::-1])
-    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    used = used or 1 << bits
     at = 14 + size
-    if used > 1 << bits or at + 4 * used > len(data):
+    if used > 1 << bits or at + entry * used > len(data):
         raise BadImage("bad palette")
-    palette = np.frombuffer(data, np.uint8, 4 * used, at).reshape(used, 4)[:, 2::-1]
-    index = raw[:, :width] if bits == 8 else np.unpackbits(raw, axis=1)[:, :width] if bits == 1 else np.stack((raw >> 4, raw & 15), 2).reshape(height, -1)[:, :width]
+    palette = np.frombuffer(data, np.uint8, entry * used, at).reshape(used, entry)[:, 2::-1]
+    index = _runs(data, start, width, height, bits)[:: -1 if upward else 1] if packed else raw[:, :width] if bits == 8 else np.unpackbits(raw, axis=1)[:, :width] if bits == 1 else np.stack((raw >> 4, raw & 15), 2).reshape(height, -1)[:, :width]
     if int(index.max()) >= used:
         raise BadImage("bad palette")
     return palette[index]
 
 
+def _channel(words: np.ndarray, mask: int) -> np.ndarray:
+    """The bits under a mask, scaled to a byte."""
+    if not mask:
+        return np.zeros(words.shape, np.uint8)
+    low = mask & -mask
+    top = mask // low
+    return (((words & mask) // low * 255 * 2 + top) // (2 * top)).astype(np.uint8)
+
+
+def _runs(data: bytes, at: int, width: int, height: int, bits: int) -> np.ndarray:
+    """Palette indices out of run lengths, the first row first; what isn't set is 0."""
+    out = np.zeros((height, width), np.uint8)
+    x = y = 0
+    while at + 1 < len(data) and y < height:
+        n, c = data[at], data[at + 1]
+        at += 2
+        if n or c > 2:
+            if n:
+                cells = np.full(n, c, np.uint8) if bits == 8 else np.resize(np.array([c >> 4, c & 15], np.uint8), n)
+            else:
+                size = c if bits == 8 else (c + 1) // 2
+                raw = np.frombuffer(data[at : at + size], np.uint8)
+                cells = (raw if bits == 8 else np.stack((raw >> 4, raw & 15), 1).ravel())[:c]
+                at += size + size % 2
+            cells = cells[: max(0, width - x)]
+            out[y, x : x + len(cells)] = cells
+            x += n or c
+        elif c == 0:
+            x, y = 0, y + 1
+        elif c == 1:
+            break
+        elif at + 1 < len(data):
+            x, y, at = x + data[at], y + data[at + 1], at + 2
+    return out
+
+
 def decode(data: bytes | None) -> np.ndarray:
     """Rows by columns of grey, or with red, green and blue, as bytes."""
     if not data:
@@ -161,11 +217,33 @@ def integral(image: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_sums(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The same as :func:`box_sums` of the integral image, of which no more than a band is there at a time."""
+    n, columns = image.shape
+    whole, part = np.divmod(np.arange(height + 1, dtype=np.int64) * n, height)
+    need = np.unique(np.concatenate((whole, np.minimum(whole + 1, n))))
+    sums, total, step = np.zeros((len(need), width + 1), np.int64), np.zeros(width + 1, np.int64), max(1, _BAND // columns)
+    for first in range(0, n, step):
+        band = image[first : first + step]
+        across = np.zeros((columns + 1, len(band)), np.int64)
+        np.cumsum(band.T, axis=0, dtype=np.int64, out=across[1:])
+        run = total + np.concatenate((np.zeros((1, width + 1), np.int64), np.cumsum(_between(across, width).T, axis=0)))
+        inside = (need >= first) & (need <= first + len(band))
+        sums[inside] = run[need[inside] - first]
+        total = run[-1]
+    low, high = (sums[np.searchsorted(need, x)] for x in (whole, np.minimum(whole + 1, n)))
+    return np.diff(np.diff(low * height + (high - low) * part[:, None], axis=0), axis=1)
+
+
 def tile_and_hash(image: np.ndarray, tile: int = TILE) -> tuple[np.ndarray, int]:
     plain = grey(image)
-    sums, pixels = integral(plain), plain.size
-    small = ((2 * box_sums(sums, tile, tile) + pixels) // (2 * pixels)).astype(np.uint8)
-    cells = box_sums(sums, 8, 9)
+    pixels = plain.size
+    if pixels <= _BAND:
+        sums = integral(plain)
+        cells, boxes = box_sums(sums, 8, 9), box_sums(sums, tile, tile)
+    else:
+        cells, boxes = band_sums(plain, 8, 9), band_sums(plain, tile, tile)
+    small = ((2 * boxes + pixels) // (2 * pixels)).astype(np.uint8)
     bits = np.packbits(cells[:, :-1] < cells[:, 1:])
     return small, int.from_bytes(bits.tobytes(), "big", signed=True)
 
@@ -204,31 +282,31 @@ def _draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("data")
         for first in range(0, batch.num_rows, 200):
             ids = batch.column("id").slice(first, 200)
-            made = [None if x is None else picture(x, (i or 0) % 7 + 1) for i, x in zip(ids.to_pylist(), texts.slice(first, 200).to_pylist())]
+            made = [None if x is None else picture(x, (i if isinstance(i, int) else 0 if i is None else zlib.crc32(str(i).encode())) % 7 + 1) for i, x in zip(ids.to_pylist(), texts.slice(first, 200).to_pylist())]
             yield pa.RecordBatch.from_arrays([ids, pa.array(made, pa.binary())], names=["id", "image"])
 
 
 def pictures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, image): each text drawn byte by byte, in a kind that goes by its id; null for null."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("data"))
-    return rows.mapInArrow(_draw, "id bigint, image binary")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
+    return rows.mapInArrow(_draw, T.StructType([rows.schema["id"], T.StructField("image", T.BinaryType())]))
 
 
 def _decode(tile: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, data in zip(batch.column("id").to_pylist(), batch.column("image")):
+            for data in batch.column("image"):
                 try:
                     image = decode(data.as_py())
                     small, code = tile_and_hash(image, tile)
-                    rows.append((i, image.shape[1], image.shape[0], 1 if image.ndim == 2 else 3, npy(small), code, None))
+                    rows.append((image.shape[1], image.shape[0], 1 if image.ndim == 2 else 3, npy(small), code, None))
                 except BadImage as error:
-                    rows.append((i, None, None, None, None, None, str(error)))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
+                    rows.append((None, None, None, None, None, str(error)))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string()]
             columns = list(zip(*rows)) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "width", "height", "planes", "tile", "dhash", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "width", "height", "planes", "tile", "dhash", "error"])
 
     return run
 
@@ -236,5 +314,6 @@ def _decode(tile: int):
 def tiles(images: DataFrame, id_col: str = "id", image_col: str = "image", tile: int = TILE) -> DataFrame:
     """(id, width, height, planes, tile, dhash, error) of each encoded image."""
     small_batches(images.sparkSession)
-    rows = images.select(F.col(id_col).cast("bigint").alias("id"), F.col(image_col).alias("image"))
-    return rows.mapInArrow(_decode(tile), "id bigint, width int, height int, planes int, tile binary, dhash bigint, error string")
+    rows = images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
+    kinds = [*((n, T.IntegerType()) for n in ("width", "height", "planes")), ("tile", T.BinaryType()), ("dhash", T.LongType()), ("error", T.StringType())]
+    return rows.mapInArrow(_decode(tile), T.StructType([rows.schema["id"], *(T.StructField(n, k) for n, k in kinds)]))
