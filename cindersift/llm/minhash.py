@@ -3,12 +3,11 @@
 Each document is the set of its word ``SHINGLE``-grams (lower case, punctuation dropped). Its signature holds
 ``TREES * DEPTH`` minima. Every tree of the forest orders all documents by ``DEPTH`` of them, so those whose labels
 begin with the same ``ROOT`` values lie side by side, as a region. All members of a region meet, however many they
-are, and are verified there by the share of equal minima, so no pairs are shuffled. Only members of regions of two and
-more get there; what travels with one is a byte of each minimum (b-bit minwise hashing, Li and König 2010), whose chance
-agreements the estimate takes off. Equal signatures are one member, and what is connected already isn't compared again:
-copies take work in proportion to their number. A region gives edges that connect what all its verified pairs would. One
-of more than ``CROWD`` members is dealt out in blocks, every two of which meet in a task of their own. Groups are the
-connected components.
+are, and are verified there by the share of equal minima, so no pairs are shuffled; only members of regions of two and
+more get there with their signatures. Equal signatures are one member, and what is connected already isn't compared
+again: copies take work in proportion to their number. A region gives edges that connect what all its verified pairs
+would. One of more than ``CROWD`` members is dealt out in blocks, every two of which meet in a task of their own. Groups
+are the connected components.
 
 Documents with the same words in the same order are one from the start; they are told by a 128-bit BLAKE2 hash of those.
 
@@ -40,7 +39,7 @@ ROOT = 2
 SMALL = 16
 #: Regions of more members than this are split into blocks of about half as many.
 CROWD = 4096
-_PAIRS = 1 << 15
+_PAIRS = 1 << 13
 THRESHOLD = 0.5
 
 _rng = np.random.default_rng(20240229)
@@ -129,13 +128,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(equal: np.ndarray) -> np.ndarray:
-    # a byte of each minimum is compared; 1 in 256 agrees by chance
-    return (equal / (TREES * DEPTH) - 1 / 256) / (1 - 1 / 256)
+    return equal / (TREES * DEPTH)
 
 
 def _joined(sig: np.ndarray, threshold: float) -> np.ndarray:
     """For each row of a region, the first row that it is connected to by pairs of at least ``threshold``."""
-    _, first, copy = np.unique(np.ascontiguousarray(sig).view(f"V{sig.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    _, first, copy = np.unique(np.ascontiguousarray(sig).view(f"V{4 * sig.shape[1]}").ravel(), return_index=True, return_inverse=True)
     columns = np.ascontiguousarray(sig[first].T)
     n = len(first)
     root = np.arange(n)
@@ -192,7 +190,8 @@ def _meet(threshold: float):
                 continue
             data = C.utf8(batch.column("root"))[0].reshape(batch.num_rows, -1)
             root = np.ascontiguousarray(data).view(f"V{data.shape[1]}").ravel()
-            rows = root, *(C.utf8(batch.column(c))[0].reshape(batch.num_rows, -1) for c in ("node", "sig"))
+            node, sig = (np.ascontiguousarray(C.utf8(batch.column(c))[0].reshape(batch.num_rows, -1)) for c in ("node", "sig"))
+            rows = root, node, sig.view(np.uint32)
             other = np.flatnonzero(root != root[-1])
             cut = int(other[-1]) + 1 if len(other) else 0
             if held and root[0] != now:
@@ -233,7 +232,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def linked(reps: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """(a, b): edges that connect the documents (words, sig) which are alike and meet in some tree."""
-    short = written(reps.mapInArrow(_shorten, "node binary, roots binary, sig binary"), "minhash-short")
+    short = written(reps.mapInArrow(_rooted, "node binary, roots binary, sig binary"), "minhash-short")
     width = ROOT * 4
     root = F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("roots", t * width + 1, width)) for t in range(TREES)])).alias("root")
     rows = short.select(root, "node")
@@ -288,10 +287,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first ROOT minima of each tree, and one byte of each minimum."""
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first ROOT minima of each tree beside the signature."""
     for batch in batches:
         n = batch.num_rows
         sig = C.utf8(batch.column("sig"))[0].reshape(n, TREES * DEPTH * 4)
         roots = sig.reshape(n, TREES, DEPTH * 4)[:, :, : ROOT * 4].reshape(n, TREES * ROOT * 4)
-        yield pa.RecordBatch.from_arrays([batch.column("words"), _binary(roots), _binary(sig[:, 3::4])], names=["node", "roots", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("words"), _binary(roots), batch.column("sig")], names=["node", "roots", "sig"])

@@ -54,7 +54,7 @@ def test_minhash_crowded(spark):
     for i in range(len(rows)):
         same = (sig == sig[i]).reshape(-1, minhash.TREES, minhash.DEPTH)
         met = np.flatnonzero(same[:, :, : minhash.ROOT].all(2).any(1))
-        like = (((sig[met] & 255) == (sig[i] & 255)).mean(1) - 1 / 256) / (1 - 1 / 256)
+        like = (sig[met] == sig[i]).mean(1)
         roots = np.unique(group[met[like >= minhash.THRESHOLD]])
         group[np.isin(group, roots)] = roots[0]
     assert {(x["doc_id"], x["duplicate_of"]) for x in gone} == {(k, int(g)) for k, g in enumerate(group) if k != g}
