@@ -57,47 +57,84 @@ def _tables() -> np.ndarray:
 _T = _tables()
 
 
+def _linear(images: np.ndarray) -> np.ndarray:
+    """Four tables of 256 for the linear map of 32 bits that takes bit k to images[k]."""
+    tables = np.zeros((4, 256), np.uint32)
+    for k in range(32):
+        own = np.arange(256) >> (k % 8) & 1 == 1
+        tables[k // 8, own] ^= images[k]
+    return tables
+
+
+def _apply(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return tables[0][x & np.uint32(255)] ^ tables[1][x >> np.uint32(8) & np.uint32(255)] ^ tables[2][x >> np.uint32(16) & np.uint32(255)] ^ tables[3][x >> np.uint32(24)]
+
+
+_shifts: dict[int, np.ndarray] = {}
+
+
+def _shift(size: int) -> np.ndarray:
+    """What ``size`` (a power of two) zero bytes after a message do to its checksum, as tables."""
+    if size not in _shifts:
+        bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
+        if size == 1:
+            one = _T[3][(bits & np.uint32(255)).astype(np.int64) << 8]
+            _shifts[size] = _linear(bits >> np.uint32(8) ^ one)
+        else:
+            half = _shift(size // 2)
+            _shifts[size] = _linear(_apply(half, _apply(half, bits)))
+    return _shifts[size]
+
+
 def crc32c(blobs: list[bytes]) -> np.ndarray:
-    """CRC-32C of each: all rows of like length advance together, eight bytes a step.
+    """CRC-32C of each: all blocks of all of them advance together, eight bytes a step, and are joined two by two.
 
-    Zeros ahead of a message don't change a checksum that begins with 0, so rows are padded in front; beginning with
+    Zeros ahead of a message don't change a checksum that begins with 0, so messages are padded in front; beginning with
     all ones is the same as the first four bytes inverted.
     """
-    size = np.array([len(b) for b in blobs], np.int64)
     out = np.zeros(len(blobs), np.uint32)
-    order = np.argsort(size, kind="stable")
+    size = np.array([len(b) for b in blobs], np.int64)
+    for i in np.flatnonzero(size < 4):
+        crc = 0xFFFFFFFF
+        for byte in blobs[i]:
+            crc ^= byte
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        out[i] = crc ^ 0xFFFFFFFF
+    todo = np.flatnonzero(size >= 4)
+    ends = np.cumsum(size[todo])
     at = 0
-    while at < len(order):
-        stop, base = at + 1, int(size[order[at]])
-        while stop < len(order) and size[order[stop]] <= 2 * base + 64 and (stop - at + 1) * size[order[stop]] <= _CELLS:
-            stop += 1
-        own = order[at:stop]
-        width = max(8, -(-int(size[own[-1]]) // 8) * 8)
-        cells = np.zeros((len(own), width), np.uint8)
-        short = []
-        for r, i in enumerate(own):
-            n = len(blobs[i])
-            if n < 4:
-                short.append(r)
-                continue
-            cells[r, width - n :] = np.frombuffer(blobs[i], np.uint8)
-            cells[r, width - n : width - n + 4] ^= 0xFF
-        pairs = np.ascontiguousarray(cells.view("<u2").T)
-        state = np.zeros(len(own), np.uint32)
-        for k in range(0, len(pairs), 4):
-            state = _T[0][pairs[k] ^ (state & np.uint32(0xFFFF)).astype(np.uint16)] ^ _T[1][pairs[k + 1] ^ (state >> np.uint32(16)).astype(np.uint16)] ^ _T[2][pairs[k + 2]] ^ _T[3][pairs[k + 3]]
-        out[own] = ~state
-        for r in short:
-            crc = 0xFFFFFFFF
-            for byte in blobs[own[r]]:
-                crc ^= byte
-                for _ in range(8):
-                    crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
-            out[own[r]] = crc ^ 0xFFFFFFFF
+    while at < len(todo):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CELLS, "right")))
+        out[todo[at:stop]] = _crc([blobs[i] for i in todo[at:stop]], size[todo[at:stop]])
         at = stop
     return out
 
 
+def _crc(blobs: list[bytes], size: np.ndarray) -> np.ndarray:
+    block = 8 if size.max() <= 64 else 128
+    count = -(-size // block)
+    zeros = bytes(block)
+    cells = np.frombuffer(bytearray().join(x for b, n in zip(blobs, (count * block - size).tolist()) for x in (zeros[:n], b)), np.uint8)
+    begin = np.cumsum(count * block) - size
+    cells[begin[:, None] + np.arange(4)] ^= 0xFF
+    pairs = np.ascontiguousarray(cells.view("<u2").reshape(-1, block // 2).T)
+    state = np.zeros(pairs.shape[1], np.uint32)
+    for k in range(0, len(pairs), 4):
+        state = _T[0][pairs[k] ^ (state & np.uint32(0xFFFF)).astype(np.uint16)] ^ _T[1][pairs[k + 1] ^ (state >> np.uint32(16)).astype(np.uint16)] ^ _T[2][pairs[k + 2]] ^ _T[3][pairs[k + 3]]
+    while count.max() > 1:
+        # the last two blocks of each, and so on; the first alone where their number is odd
+        half = (count + 1) // 2
+        first = np.cumsum(count) - count
+        place = np.arange(int(half.sum())) - np.repeat(np.cumsum(half) - half, half)
+        right = np.repeat(first + count - 1, half) - 2 * (np.repeat(half, half) - 1 - place)
+        both = right > np.repeat(first, half)
+        joined = state[right]
+        joined[both] ^= _apply(_shift(block), state[right[both] - 1])
+        state, count, block = joined, half, 2 * block
+    return ~state
+
+
 def masked(crc: np.ndarray) -> np.ndarray:
     return (crc >> np.uint32(15) | crc << np.uint32(17)) + np.uint32(0xA282EAD8)
 
