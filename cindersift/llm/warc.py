@@ -39,6 +39,7 @@ DAMAGED_EVERY = 50
 TORN_AT, FLIPPED_AT, CUT_AT = 7, 19, 31
 WINDOW = 8 << 20
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_NAME, _CONTROL = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+[ \t]*"), re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _LIMIT, _PIECE = (1 << 31) - 1, 1 << 14
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -178,9 +179,13 @@ def parse(data: bytes | Window, at: int) -> tuple[dict[str, str], bytes, int] |
         if end < 0:
             return "headers without end"
         name, colon, value = data[place:end].partition(b":")
-        if not colon:
+        # what was cut off runs into the next record: its bytes or its headers would be taken for this one's
+        if not colon or not _NAME.fullmatch(name) or _CONTROL.search(value):
             return "bad header line"
-        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        known = name.strip().lower().decode()
+        if known in headers and known != "warc-concurrent-to":
+            return "repeated header"
+        headers[known] = value.strip().decode("utf-8", "replace")
         place = end + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
