@@ -31,9 +31,9 @@ from . import columnar as C
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 WIDE = 512
-SLOTS = 1 << 20
+SLOTS = 1 << 19
 #: Tokens of remembered pieces; beyond that a worker begins to remember anew.
-REMEMBERED = 6_000_000
+REMEMBERED = 3_000_000
 #: A vocabulary travels with every task, so its size is checked.
 LARGEST_VOCABULARY = 16 << 20
 _CHUNK = 1 << 19
@@ -393,7 +393,7 @@ def encoded(docs: DataFrame, text_col: str = "text", vocabulary_path: str = VOCA
     new = [C.free(n, docs.columns) for n in ("tokens", "n_tokens", *(["intact"] if check else []))]
     kinds = [T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds))])
-    made = docs.mapInArrow(_encode(read_vocabulary(vocabulary_path), docs.columns.index(text_col), check, new), schema)
+    made = docs.mapInArrow(C.tidy(_encode(read_vocabulary(vocabulary_path), docs.columns.index(text_col), check, new)), schema)
     return made if keep_text else made.drop(text_col)
 
 
@@ -418,4 +418,4 @@ def decoded(tokens: DataFrame, tokens_col: str = "tokens", vocabulary_path: str
     """The input with ``decoded``: the text of each row's tokens; null for null."""
     small_batches(tokens.sparkSession)
     schema = T.StructType([*tokens.schema.fields, T.StructField(C.free("decoded", tokens.columns), T.StringType())])
-    return tokens.mapInArrow(_decode(read_vocabulary(vocabulary_path), tokens.columns.index(tokens_col)), schema)
+    return tokens.mapInArrow(C.tidy(_decode(read_vocabulary(vocabulary_path), tokens.columns.index(tokens_col))), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,27 @@ def powers(n: int, which: str) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker stays for the next stage, and what it kept would stay with it."""
+    for which, have in _powers.items():
+        _powers[which] = have[: CHUNK_BYTES * 2].copy() if len(have) > CHUNK_BYTES * 2 else have
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def tidy(run):
+    """A function of Arrow batches that trims memory at the end."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return trimmed
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

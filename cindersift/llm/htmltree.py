@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import small_batches
+from . import columnar as C
 
 TRAIN_PAGES = 3000
 THRESHOLD = 0.5
@@ -262,7 +263,7 @@ def fit(pages: DataFrame, html_col: str = "html", labels: Callable[[Page], np.nd
     texts = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null and html <> ''")
     share = min(1.0, train_pages / max(texts.count(), 1))
     chosen = texts.where(F.xxhash64("html").bitwiseAND(F.lit((1 << 40) - 1)) < int(share * (1 << 40)))
-    found = chosen.mapInArrow(_count(labels), "counts array<bigint>").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    found = chosen.mapInArrow(C.tidy(_count(labels)), "counts array<bigint>").select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
     row = np.zeros(6 + 2 * sum(LEVELS), np.int64)
     for r in found:
         row[r["k"]] = r["n"]
@@ -290,4 +291,4 @@ def extract(pages: DataFrame, model: Potentials | None, id_col: str = "page_id",
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).cast("string").alias("html"))
     kinds = [("text", T.StringType()), ("nodes", T.IntegerType()), ("content_nodes", T.IntegerType())]
-    return rows.mapInArrow(_extract(model, threshold), T.StructType([rows.schema["page_id"], *(T.StructField(n, k) for n, k in kinds)]))
+    return rows.mapInArrow(C.tidy(_extract(model, threshold)), T.StructType([rows.schema["page_id"], *(T.StructField(n, k) for n, k in kinds)]))

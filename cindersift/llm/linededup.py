@@ -364,8 +364,8 @@ def candidate_pairs(texts: DataFrame, lines: int, crowd: int = CROWD, levels: in
     crowded: list[np.ndarray] = []
     while True:
         last = len(crowded) == levels
-        blocks = texts.select("h", "line").mapInArrow(_pack(buckets, crowded), "bucket bigint, block binary")
-        made = blocks.repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(1 << 62 if last else crowd), "x bigint, y bigint")
+        blocks = texts.select("h", "line").mapInArrow(C.tidy(_pack(buckets, crowded)), "bucket bigint, block binary")
+        made = blocks.repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions("bucket").mapInArrow(C.tidy(_candidates(1 << 62 if last else crowd)), "x bigint, y bigint")
         found = written(made.distinct(), "line-pairs")
         parts.append(found.where("y is not null"))
         keys = found.where("y is null").select("x").toArrow()["x"].to_numpy() if not last else []
@@ -400,7 +400,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cro
     y = found.select(F.col("h").alias("yh"), F.col("of").alias("y"), F.col("line").alias("yt"))
     met = pairs.toDF("xh", "yh").join(x, "xh").join(y, "yh").select("x", "y", "xt", "yt")
     place = firsts.schema["of"].dataType
-    met = met.mapInArrow(_verify, T.StructType([T.StructField("x", place), T.StructField("y", place), T.StructField("edits", T.IntegerType())]))
+    met = met.mapInArrow(C.tidy(_verify), T.StructType([T.StructField("x", place), T.StructField("y", place), T.StructField("edits", T.IntegerType())]))
     near = met.select(F.greatest("x", "y").alias("at"), F.struct(F.least("x", "y").alias("of"), "edits").alias("early")).groupBy("at").agg(F.min("early").alias("early"))
     return exact.union(near.select("at", "early.of", "early.edits")).distinct()
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import small_batches
+from . import columnar as C
 
 TILE = 32
 #: Samples of the largest picture that is decoded, those of a cell of 2 GiB; what claims more is reported as an error.
@@ -290,7 +291,7 @@ def pictures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, image): each text drawn byte by byte, in a kind that goes by its id; null for null."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"))
-    return rows.mapInArrow(_draw, T.StructType([rows.schema["id"], T.StructField("image", T.BinaryType())]))
+    return rows.mapInArrow(C.tidy(_draw), T.StructType([rows.schema["id"], T.StructField("image", T.BinaryType())]))
 
 
 def _decode(tile: int):
@@ -316,4 +317,4 @@ def tiles(images: DataFrame, id_col: str = "id", image_col: str = "image", tile:
     small_batches(images.sparkSession)
     rows = images.select(F.col(id_col).alias("id"), F.col(image_col).alias("image"))
     kinds = [*((n, T.IntegerType()) for n in ("width", "height", "planes")), ("tile", T.BinaryType()), ("dhash", T.LongType()), ("error", T.StringType())]
-    return rows.mapInArrow(_decode(tile), T.StructType([rows.schema["id"], *(T.StructField(n, k) for n, k in kinds)]))
+    return rows.mapInArrow(C.tidy(_decode(tile)), T.StructType([rows.schema["id"], *(T.StructField(n, k) for n, k in kinds)]))

@@ -232,7 +232,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def linked(reps: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """(a, b): edges that connect the documents (words, sig) which are alike and meet in some tree."""
-    short = written(reps.mapInArrow(_rooted, "node binary, roots binary, sig binary"), "minhash-short")
+    short = written(reps.mapInArrow(C.tidy(_rooted), "node binary, roots binary, sig binary"), "minhash-short")
     width = ROOT * 4
     root = F.explode(F.array([F.concat(F.lit(bytes([t])), F.substring("roots", t * width + 1, width)) for t in range(TREES)])).alias("root")
     rows = short.select(root, "node")
@@ -246,7 +246,7 @@ def linked(reps: DataFrame, threshold: float = THRESHOLD, crowd: int = CROWD) ->
 
     members = met.select(F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), region)).alias("root"), "node")
     signed = members.join(short.select("node", "sig"), "node")
-    return signed.repartition("root").sortWithinPartitions("root", "node").mapInArrow(_meet(threshold), "a binary, b binary")
+    return signed.repartition("root").sortWithinPartitions("root", "node").mapInArrow(C.tidy(_meet(threshold)), "a binary, b binary")
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, crowd: int = CROWD) -> DataFrame:
@@ -255,7 +255,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     text = F.col(text_col).cast("string")
     pick = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("mark"), F.lower(text).alias("text")).where("text is not null")
     schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("mark", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("sig", T.BinaryType())])
-    signed = written(pick.mapInArrow(_sign, schema), "signatures")
+    signed = written(pick.mapInArrow(C.tidy(_sign), schema), "signatures")
     # copies of the same words are one document from here on
     roots = components(linked(signed.groupBy("words").agg(F.first("sig").alias("sig")), threshold, crowd))
     keyed = signed.select("words", F.struct(F.col("doc").isNull().alias("last"), "doc", "mark").alias("own")).join(roots, F.col("words") == F.col("node"), "left").select("own", F.coalesce("root", "words").alias("key"))

@@ -168,7 +168,7 @@ def slots(spark, points: int, ends: np.ndarray, blocks: np.ndarray, max_epochs:
                 own, rank = own[kept], rank[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(begin + np.arange(len(own), dtype=np.int64)), pa.array(own.astype(np.int64)), pa.array(rank % blocks[own]), pa.array(rank // blocks[own])], names=["slot", "idx", "block", "epoch"])
 
-    return spark.range(-(-points // CHUNK_SLOTS)).mapInArrow(lay, "slot bigint, idx bigint, block bigint, epoch bigint")
+    return spark.range(-(-points // CHUNK_SLOTS)).mapInArrow(C.tidy(lay), "slot bigint, idx bigint, block bigint, epoch bigint")
 
 
 def _plan(placed: DataFrame, totals, weights, alpha, block_tokens, max_epochs) -> tuple[DataFrame, DataFrame]:

@@ -122,7 +122,9 @@ def _codes(texts: pa.Array) -> np.ndarray:
 @F.arrow_udf(T.LongType())
 def vote_code(texts: pa.Array) -> pa.Array:
     """The votes of all labellers as one number in base 3; -1 for a text without content."""
-    return pa.array(_codes(texts), pa.int64())
+    codes = pa.array(_codes(texts), pa.int64())
+    C.trim()
+    return codes
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -240,7 +242,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS) -
     chosen = texts.where((F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1))) < int(share * (1 << 40)))
     # each text once: copies, however many, are one task's partial result
     coded = chosen.distinct().select("text", vote_code("text").alias("code")).where("code >= 0")
-    found = coded.repartition(1).mapInArrow(_train(table), "weights binary").collect()
+    found = coded.repartition(1).mapInArrow(C.tidy(_train(table)), "weights binary").collect()
     return np.frombuffer(found[0]["weights"]) if found else np.append(np.zeros(SIZE), 40.0)
 
 
@@ -249,7 +251,9 @@ def scorer(weights: np.ndarray):
 
     @F.arrow_udf(T.DoubleType())
     def quality(texts: pa.Array) -> pa.Array:
-        return pa.array(score_texts(weights, texts), pa.float64())
+        scores = pa.array(score_texts(weights, texts), pa.float64())
+        C.trim()
+        return scores
 
     return quality
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import fresh_path, small_batches, written
+from . import columnar as C
 
 SHARD_BYTES = 64 << 20
 STRETCH_BYTES = 1 << 20
@@ -226,7 +227,7 @@ def write_records(tokens: DataFrame, folder: str | None = None, id_col: str = "d
     kind = _id_type(tokens.schema[id_col].dataType)
     rows = tokens.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(tokens_col).alias("tokens")).where("tokens is not null")
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
-    return folder, written(rows.mapInArrow(_write(folder, shard_bytes), schema), "record-index")
+    return folder, written(rows.mapInArrow(C.tidy(_write(folder, shard_bytes)), schema), "record-index")
 
 
 def _fetch(fs: pafs.FileSystem, root: str, shards: list[str], offsets: list[int], lengths: list[int]) -> list[bytes]:
@@ -314,4 +315,4 @@ def read_records(folder: str, index: DataFrame, seed: int | None = None, strict:
     else:
         index = index.withColumn("window", F.lit(0))
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("length", T.LongType()), T.StructField("ok", T.BooleanType())])
-    return index.select("shard", "offset", "length", "window").mapInArrow(_read(folder, strict, pa.int64() if kind == T.LongType() else pa.string(), seed is not None), schema)
+    return index.select("shard", "offset", "length", "window").mapInArrow(C.tidy(_read(folder, strict, pa.int64() if kind == T.LongType() else pa.string(), seed is not None)), schema)

@@ -166,7 +166,7 @@ def search(queries: DataFrame, docs: DataFrame, k: int = K, query_id: str = "ite
     small_batches(docs.sparkSession)
     query_type, doc_type = queries.schema[query_id].dataType, docs.schema[id_col].dataType
     asked = queries.select(F.col(query_id).alias("id"), F.lower(F.col(query_text).cast("string")).alias("text")).where("id is not null and text is not null")
-    pairs = asked.mapInArrow(_query_words, T.StructType([T.StructField("id", query_type), T.StructField("word", T.LongType())])).distinct()
+    pairs = asked.mapInArrow(C.tidy(_query_words), T.StructType([T.StructField("id", query_type), T.StructField("word", T.LongType())])).distinct()
     pairs = written(pairs, "topk-queries")
     texts = docs.select(F.col(id_col).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text")).where("doc is not null and text is not null")
     groups = -(-pairs.count() // max_terms)
@@ -181,13 +181,13 @@ def search(queries: DataFrame, docs: DataFrame, k: int = K, query_id: str = "ite
         asking, which = np.unique(ids, return_inverse=True)
         order = np.lexsort((at, which))
         ids, at = asking[which[order]], at[order]
-        counted = {r["term"]: r["n"] for r in texts.mapInArrow(_tally(vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        counted = {r["term"]: r["n"] for r in texts.mapInArrow(C.tidy(_tally(vocabulary)), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         total_words, total = counted.pop(-2, 0), counted.pop(-1, 0)
         if not total or not total_words:
             continue
         df = np.zeros(len(vocabulary), np.int64)
         df[list(counted)] = list(counted.values())
-        parts.append(texts.mapInArrow(_search(vocabulary, df, total, total_words, ids, at, k, own["id"].type), found_type))
+        parts.append(texts.mapInArrow(C.tidy(_search(vocabulary, df, total, total_words, ids, at, k, own["id"].type)), found_type))
     if not parts:
         return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("item_id", query_type), T.StructField("rank", T.IntegerType()), T.StructField("doc_id", doc_type), T.StructField("score", T.LongType())]))
     found = parts[0]

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import small_batches
+from . import columnar as C
 
 ARCHIVE_BYTES = 8 << 20
 #: Of so many ids the query damages three: it tears a plain record, flips a sign of a member, and cuts one off.
@@ -125,7 +126,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     damaged one: of the kinds of DAMAGES, each with its (n, r)."""
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_write(archive_bytes, damage or {}), "archive string, content binary")
+    return rows.mapInArrow(C.tidy(_write(archive_bytes, damage or {})), "archive string, content binary")
 
 
 class Window:
@@ -319,13 +320,13 @@ def _salvage_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def read_files(spark: SparkSession, uris: list[str]) -> DataFrame:
     """The same as :func:`read_archives` for files, a task for each, whatever their size; URIs that all executors can read."""
     small_batches(spark)
-    return spark.createDataFrame([(u,) for u in uris], "archive string").repartition(max(1, len(uris))).mapInArrow(_salvage_files, _SALVAGED)
+    return spark.createDataFrame([(u,) for u in uris], "archive string").repartition(max(1, len(uris))).mapInArrow(C.tidy(_salvage_files), _SALVAGED)
 
 
 def read_archives(archives: DataFrame, archive_col: str = "archive", content_col: str = "content") -> DataFrame:
     """A row for each record and each gap: archive, kind, offset, length, type, record_id, url, date, block, reason."""
     small_batches(archives.sparkSession)
-    return archives.select(F.col(archive_col).cast("string").alias("archive"), F.col(content_col).alias("content")).mapInArrow(_salvage, _SALVAGED)
+    return archives.select(F.col(archive_col).cast("string").alias("archive"), F.col(content_col).alias("content")).mapInArrow(C.tidy(_salvage), _SALVAGED)
 
 
 def pages_of(found: DataFrame, id_type: str = "bigint") -> DataFrame:
