@@ -12,9 +12,10 @@ from pyspark.sql import SparkSession
 from . import __version__, baseline
 from .operators import audit, collection, custom
 from .operators import detectors as D
+from .operators.lines import lines_of, with_context
 from .plans.scan import Scanner
 from .settings import Settings, patterns_of
-from .sources.files import files_to_scan, relative
+from .sources.files import files_to_scan, read_texts, relative
 
 
 def _settings(args: argparse.Namespace, document: dict | None) -> Settings:
@@ -102,6 +103,39 @@ def _hook(spark: SparkSession, args: argparse.Namespace) -> int:
     return 3
 
 
+def _interactive(spark: SparkSession, args: argparse.Namespace, document: dict, known) -> int:
+    """Asks for a label of each finding that has none, with the lines around it; what was said is saved at the end."""
+    entries = [(name, e) for name in sorted(document["results"]) for e in document["results"][name] if e.get("is_secret") is None]
+    if not entries:
+        print("Nothing to audit!")
+        return 0
+    names = sorted({n for n, _ in entries})
+    around = with_context(lines_of(read_texts(spark.createDataFrame([(n,) for n in names], "filename string"), args.root)), 2)
+    wanted = audit.unlabelled(known).select("filename", "line_number").distinct()
+    shown = {(r["filename"], r["line_number"]): (r["line"], r["context"]) for r in around.join(wanted, ["filename", "line_number"]).collect()}
+    at, changed = 0, False
+    while 0 <= at < len(entries):
+        name, entry = entries[at]
+        line, context = shown.get((name, entry.get("line_number", 0)), (None, []))
+        print(f"Secret:      {at + 1} of {len(entries)}\nFilename:    {name}\nSecret Type: {entry['type']}")
+        print("\n".join(("> " if x == line else "  ") + x for x in context) if line is not None else "ERROR: the secret's line is not there")
+        said = input("Should this string be committed? (y)es, (n)o, (s)kip, (b)ack, (q)uit: " if line is not None else "(s)kip, (b)ack, (q)uit: ").strip().lower()
+        if said == "q":
+            break
+        if said in ("y", "n") and line is not None:
+            entry["is_secret"], changed = said == "n", True
+        elif said == "s":
+            entry["is_secret"] = None
+        elif said == "b":
+            at = max(at - 2, -1)
+        else:
+            continue
+        at += 1
+    if changed:
+        baseline.save_to_file(document, args.path[0])
+    return 0
+
+
 def _audit(spark: SparkSession, args: argparse.Namespace) -> int:
     document = baseline.upgrade(baseline.load_from_file(args.path[0]))
     known = baseline.load(spark, document)
@@ -114,8 +148,10 @@ def _audit(spark: SparkSession, args: argparse.Namespace) -> int:
         settings = Settings().configure_from_baseline(document)
         values = Scanner(spark, settings, keep_value=True).scan_files([r["filename"] for r in collection.files(known).collect()], args.root)
         found = audit.recover(found, values).orderBy("filename", "lines")
-    else:
+    elif args.list:
         found = audit.unlabelled(known)
+    else:
+        return _interactive(spark, args, document, known)
     for row in found.toLocalIterator():
         print(json.dumps(row.asDict(recursive=True), default=str))
     return 0
@@ -131,7 +167,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         sub.add_argument("path", nargs="*")
         sub.add_argument("--root", default=".")
         if name == "audit":
-            for flag in ("stats", "report", "diff", "only-real", "only-false"):
+            for flag in ("stats", "report", "diff", "list", "only-real", "only-false"):
                 sub.add_argument(f"--{flag}", action="store_true")
             continue
         sub.add_argument("--baseline", default="")

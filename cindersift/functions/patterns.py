@@ -18,6 +18,25 @@ def java(pattern: str) -> str:
     return "(?dU)" + pattern.replace(_S, _S_JAVA)
 
 
+def wrong(pattern: str) -> str | None:
+    """What is wrong with a pattern for the engine that will run it, which is asked; without a session Python's is."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is None:
+            re.compile(pattern)
+        else:
+            spark._jvm.java.util.regex.Pattern.compile(java(pattern))
+    except re.error as error:
+        return str(error)
+    except (Py4JJavaError, PySparkException) as error:
+        return str(error).splitlines()[0]
+    return None
+
+
 def re2(pattern: str) -> str:
     """The same for RE2, whose classes are ASCII and whose counts end at 1000."""
     out, inside, i = [], False, 0

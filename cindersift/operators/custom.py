@@ -6,10 +6,13 @@ import importlib
 import importlib.util
 import inspect
 import logging
+import pickle
+import sys
 from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +39,25 @@ def _secrets(plugin: Any, line: str, filename: str, eager: bool) -> list[str]:
         return []
 
 
+def _shipped(thing: Any) -> bytes:
+    """A plugin or filter with the code of its module, which executors needn't have."""
+    module = sys.modules.get(getattr(thing, "__module__", ""))
+    if module is None:
+        return cloudpickle.dumps(thing)
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        return cloudpickle.dumps(thing)
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
 def _column(plugin: Any):
+    code = _shipped(plugin)
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def analyze(lines: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([_secrets(plugin, x, n, True) for x, n in zip(lines, names)])
+        own = pickle.loads(code)
+        return pd.Series([_secrets(own, x, n, True) for x, n in zip(lines, names)])
 
     return lambda line, filename, eager=True: analyze(line, filename)
 
@@ -108,13 +126,14 @@ def load_filter(path: str) -> str:
 
 def _call(function: Callable, takes: list[str]):
     """A boolean column of what the function says; an error means that the row stays."""
+    code = _shipped(function)
 
     @F.pandas_udf("boolean")
     def excluded(*columns: pd.Series) -> pd.Series:
-        out = []
+        own, out = pickle.loads(code), []
         for row in zip(*columns):
             try:
-                out.append(bool(function(**dict(zip(takes, row)))))
+                out.append(bool(own(**dict(zip(takes, row)))))
             except Exception:
                 out.append(False)
         return pd.Series(out, dtype=bool)

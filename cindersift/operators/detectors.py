@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from enum import IntEnum
 from typing import Any
 
 from pyspark.sql import Column
@@ -120,6 +121,14 @@ def _keyword(exclude: str | None = None):
     return find
 
 
+class Verified(IntEnum):
+    """What is known of a secret from elsewhere."""
+
+    FALSE = 1
+    UNVERIFIED = 2
+    TRUE = 3
+
+
 @dataclass(frozen=True)
 class Detector:
     """A detector with its parameters. ``sql(line, filename, eager)`` is, for columns of those names, an array of secrets;
@@ -139,6 +148,17 @@ class Detector:
         return "High Entropy" not in self.kind and self.kind != P.KEYWORD_KIND
 
 
+    def verify(self, secret: str) -> Verified:
+        """Nothing is asked over a network, so no secret is verified."""
+        return Verified.UNVERIFIED
+
+    def json(self) -> dict[str, Any]:
+        """Its name and its parameters, those that it has by default too."""
+        return {"name": self.name} | DEFAULTS.get(self.name, {}) | self.params
+
+
+#: Parameters that a detector has when none are given.
+DEFAULTS: dict[str, dict[str, Any]] = {P.BASE64_NAME: {"limit": P.BASE64_LIMIT}, P.HEX_NAME: {"limit": P.HEX_LIMIT}, P.KEYWORD_NAME: {"keyword_exclude": ""}}
 KINDS = {r.name: r.kind for r in P.RULES} | {P.IP_NAME: P.IP_KIND, P.BASE64_NAME: P.BASE64_KIND, P.HEX_NAME: P.HEX_KIND, P.KEYWORD_NAME: P.KEYWORD_KIND}
 ALIASES = {"IPPublicDetector": P.IP_NAME}
 #: Custom detectors by class name, see :mod:`cindersift.operators.custom`.

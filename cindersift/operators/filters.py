@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import operator
-import re
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -23,10 +22,8 @@ def compiled(patterns: Iterable[str]) -> list[str]:
     """The patterns, each checked here rather than in a task. ValueError for the first that isn't one."""
     out = list(patterns)
     for p in out:
-        try:
-            re.compile(p)
-        except re.error as error:
-            raise ValueError(f"not a pattern: {p!r}: {error}") from error
+        if wrong := P.wrong(p):
+            raise ValueError(f"not a pattern: {p!r}: {wrong}")
     return out
 
 

@@ -1,10 +1,13 @@
-"""Lines with secrets made from document ids, for data that has next to none; in SQL that Spark and DuckDB share."""
+"""Lines with secrets made from document ids, for data that has next to none, beside its own; in SQL that Spark and DuckDB share."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import oracles
+from .operators.lines import lines_of
+
 _Q = "chr(39)"
 #: name, file, line: h and g are two SHA-1 hex strings of the row, {b64} is Base64 of both.
 LINES = [
@@ -130,9 +133,11 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, filename, line_number, line, previous) for each document and template; it reads the ids alone."""
+    """(doc_id, template, filename, line_number, line, previous) for each document and template, and for each line of its text."""
     each = F.expr("array(" + ", ".join(f"named_struct('template', '{n}', 'filename', {f}, 'line_number', {i + 1}L, 'line', {spark_sql(x)})" for i, (n, f, x) in enumerate(LINES)) + ")")
-    return _hashes(docs).select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*", F.lit("").alias("previous"))
+    planted = _hashes(docs).select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*", F.lit("").alias("previous"))
+    own = lines_of(docs.select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("filename"), "text"))
+    return planted.unionByName(own.withColumn("template", F.lit("text")))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -147,7 +152,8 @@ _WITH = "h AS (SELECT doc_id, sha1(concat('s', CAST(doc_id AS VARCHAR))) AS h, s
 def lines_sql() -> str:
     """CTEs h and planted, for DuckDB."""
     each = ", ".join(f"{{'template': '{n}', 'filename': {f}, 'line_number': CAST({i + 1} AS BIGINT), 'line': {duck_sql(x)}}}" for i, (n, f, x) in enumerate(LINES))
-    return f"{_WITH}, planted AS MATERIALIZED (SELECT doc_id, x.template AS template, x.filename AS filename, x.line_number AS line_number, x.line AS line, '' AS previous FROM (SELECT doc_id, unnest([{each}]) AS x FROM h))"
+    own = oracles.lines("documents", "doc_id", "concat('documents/', CAST(doc_id AS VARCHAR))", "text")
+    return f"{_WITH}, {own}, planted AS MATERIALIZED (SELECT doc_id, x.template AS template, x.filename AS filename, x.line_number AS line_number, x.line AS line, '' AS previous FROM (SELECT doc_id, unnest([{each}]) AS x FROM h) UNION ALL SELECT doc_id, 'text', filename, line_number, line, previous FROM lines)"
 
 
 def candidates_sql() -> str:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+import tempfile
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +15,16 @@ from . import oracles as O
 from . import planted
 from .functions import entropy as E
 from .functions import patterns as P
-from .operators import audit, collection, diff, filters, redact
+from . import baseline
+from .operators import audit, collection, custom, diff, filters, redact
 from .operators import detectors as D
-from .operators.lines import lines_of
+from .operators.lines import lines_of, with_context
 from .plans.scan import Scanner
-from .settings import Settings
+from .session import fresh_path
+from .settings import Settings, transient_settings
+from .sources.files import files_to_scan
 from .sources.tables import read_table
+from .streaming.files import scan_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,8 +63,6 @@ for _name in D.KINDS:
         _detector(_name)
 for _family in P.KEYWORD_GROUPS:
     _detector(P.KEYWORD_NAME, _family)
-# what a JWT decodes to is checked too
-ORACLES["det_JwtTokenDetector"] = f"WITH {planted.lines_sql()} SELECT doc_id, template, secret FROM (SELECT doc_id, template, unnest({O.detect('JwtTokenDetector')}) AS secret FROM planted) WHERE template <> 'jwt_bad'"
 
 
 # filters --------------------------------------------------------------------------------------------------------------
@@ -81,8 +87,10 @@ _filter("should_exclude_secret", O.matches_any("secret", _SKIP_SECRETS), lambda:
 
 @_add("filter_wordlist", f"WITH {planted.candidates_sql()} SELECT doc_id, item FROM c WHERE " + " OR ".join(f"contains(lower(secret), '{w}')" for w in _WORDS))
 def filter_wordlist(spark: SparkSession, sf: str) -> DataFrame:
-    words = filters.Wordlist.__new__(filters.Wordlist)
-    words.words = _WORDS
+    with tempfile.NamedTemporaryFile("w", suffix=".txt") as file:
+        file.write("\n".join([*_WORDS, "Password ", "hi"]))
+        file.flush()
+        words = filters.Wordlist(file.name)
     return planted.candidates(_docs(spark, sf)).where(words.excludes(F.col("secret"))).select("doc_id", "item")
 
 
@@ -134,7 +142,7 @@ _scan("scan_pages", "pages", ["page_id"], "html")
 _scan("scan_conversations", "conversations", ["conv_id", "turn"], "text")
 
 
-@_add("scan_planted", f"WITH {planted.lines_sql()}, {O.scan('planted', 'doc_id, template')} SELECT doc_id, template, line_number, type, sha1(secret) AS secret_hash FROM found WHERE NOT (template = 'jwt_bad' AND type = 'JSON Web Token')")
+@_add("scan_planted", f"WITH {planted.lines_sql()}, {O.scan('planted', 'doc_id, template')} SELECT doc_id, template, line_number, type, sha1(secret) AS secret_hash FROM found")
 def scan_planted(spark: SparkSession, sf: str) -> DataFrame:
     s = Scanner(spark, Settings.default())
     name, line = F.col("filename"), F.col("line")
@@ -145,7 +153,7 @@ def scan_planted(spark: SparkSession, sf: str) -> DataFrame:
 _ADHOC = "adhoc AS (SELECT doc_id, template, 'adhoc-line-scan' AS filename, CAST(0 AS BIGINT) AS line_number, line, previous FROM planted), "
 
 
-@_add("scan_line", f"WITH {planted.lines_sql()}, {O.scan('adhoc', 'doc_id, template', line_filters=False).replace('kept AS MATERIALIZED', _ADHOC + 'kept AS MATERIALIZED')} SELECT doc_id, template, line_number, type, sha1(secret) AS secret_hash FROM found WHERE NOT (template = 'jwt_bad' AND type = 'JSON Web Token')")
+@_add("scan_line", f"WITH {planted.lines_sql()}, {O.scan('adhoc', 'doc_id, template', line_filters=False).replace('kept AS MATERIALIZED', _ADHOC + 'kept AS MATERIALIZED')} SELECT doc_id, template, line_number, type, sha1(secret) AS secret_hash FROM found")
 def scan_line(spark: SparkSession, sf: str) -> DataFrame:
     """Each planted line as if given ad hoc: secret filters alone."""
     s = Scanner(spark, Settings.default())
@@ -161,13 +169,13 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 # collections ----------------------------------------------------------------------------------------------------------
 _FEW = ["AWSKeyDetector", "GitHubTokenDetector", "StripeDetector", P.HEX_NAME]
 _FILE = "concat('dir/', CAST(doc_id // 4 AS VARCHAR), '/', filename)"
-_FOUND = f"WITH {planted.lines_sql()}, {O.scan('planted', 'doc_id', _FEW, False)}, raw AS (SELECT {_FILE} AS filename, type, sha1(secret) AS secret_hash, line_number + 100 * (doc_id % 4) AS line_number, doc_id FROM found)"
+_FOUND = f"WITH {planted.lines_sql()}, {O.scan('planted', 'doc_id', _FEW, False)}, raw AS (SELECT {_FILE} AS filename, type, sha1(secret) AS secret_hash, secret, line_number + 100 * (doc_id % 4) AS line_number, doc_id FROM found)"
 _SECRET = "CASE line_number % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END"
 _DEDUP = f"{_FOUND}, now AS (SELECT filename, secret_hash, type, CAST(min(line_number) AS BIGINT) AS line_number FROM raw GROUP BY ALL), new AS (SELECT filename, secret_hash, type, line_number FROM now WHERE line_number % 5 <> 0), old AS (SELECT filename, secret_hash, type, line_number + 1 AS line_number, {_SECRET} AS is_secret, line_number % 7 = 0 AS is_verified FROM now WHERE line_number % 4 <> 0)"
 
 
-def _found(spark: SparkSession, sf: str) -> DataFrame:
-    s = Scanner(spark, Settings().configure_plugins([{"name": n} for n in _FEW]))
+def _found(spark: SparkSession, sf: str, keep_value: bool = False) -> DataFrame:
+    s = Scanner(spark, Settings().configure_plugins([{"name": n} for n in _FEW]), keep_value)
     rows = s._findings(s.detect(planted.lines(_docs(spark, sf))), "doc_id")
     path = F.concat(F.lit("dir/"), F.floor(F.col("doc_id") / 4).cast("string"), F.lit("/"), F.col("filename"))
     return rows.withColumn("filename", path).withColumn("line_number", F.col("line_number") + 100 * (F.col("doc_id") % 4)).drop("doc_id")
@@ -298,3 +306,144 @@ def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
 @_add("redact_planted", f"WITH {planted.lines_sql()} SELECT doc_id, template, {_redacted_sql('line')} AS redacted FROM planted")
 def redact_planted(spark: SparkSession, sf: str) -> DataFrame:
     return planted.lines(_docs(spark, sf)).select("doc_id", "template", redact.redact(F.col("line")).alias("redacted"))
+
+
+@_add("redact_session", f"WITH {planted.lines_sql()}, r AS (SELECT doc_id, template, line_number, line, regexp_replace(line, '[0-9]{{4,}}', '<N>', 'g') AS x FROM planted) SELECT doc_id, template, line_number, CASE WHEN trim(x) <> '' THEN concat('[s1] ', x) ELSE x END AS redacted, md5(line) AS plain_md5 FROM r")
+def redact_session(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of one's own, of which the second is no pattern and is skipped; a session's id; and redaction switched off."""
+    rules = [("[0-9]{4,}", "<N>"), ("(never closed", "x")]
+    rows = planted.lines(_docs(spark, sf))
+    return rows.select("doc_id", "template", "line_number", redact.with_session(redact.redact(F.col("line"), rules), "s1").alias("redacted"), F.md5(redact.redact(F.col("line"), enabled=False)).alias("plain_md5"))
+
+
+# audits, contexts, documents, streams and rules of one's own ----------------------------------------------------------
+@_add("audit_recover", f"{_DEDUP} SELECT o.filename, o.secret_hash, o.type, o.line_number, v.secret AS secret_value FROM old o LEFT JOIN (SELECT DISTINCT filename, secret_hash, secret FROM raw) v ON o.filename = v.filename AND o.secret_hash = v.secret_hash")
+def audit_recover(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.recover(_new_old(spark, sf)[1], _found(spark, sf, keep_value=True)).select(*collection.IDENTITY, "line_number", "secret_value")
+
+
+#: Class names and types of all detectors, written out once more.
+_REGISTRY = """(VALUES ('AWSKeyDetector','AWS Access Key'),('AzureStorageKeyDetector','Azure Storage Account access key'),('ArtifactoryDetector','Artifactory Credentials'),
+('CloudantDetector','Cloudant Credentials'),('IbmCloudIamDetector','IBM Cloud IAM Key'),('IbmCosHmacDetector','IBM COS HMAC Credentials'),('SoftlayerDetector','SoftLayer Credentials'),
+('BasicAuthDetector','Basic Auth Credentials'),('DiscordBotTokenDetector','Discord Bot Token'),('GitHubTokenDetector','GitHub Token'),('GitLabTokenDetector','GitLab Token'),
+('JwtTokenDetector','JSON Web Token'),('PrivateKeyDetector','Private Key'),('MailchimpDetector','Mailchimp Access Key'),('NpmDetector','NPM tokens'),('OpenAIDetector','OpenAI Token'),
+('PypiTokenDetector','PyPI Token'),('SendGridDetector','SendGrid API Key'),('SlackDetector','Slack Token'),('SquareOAuthDetector','Square OAuth Secret'),('StripeDetector','Stripe Access Key'),
+('TelegramBotTokenDetector','Telegram Bot Token'),('TwilioKeyDetector','Twilio API Key'),('IpPublicDetector','Public IP (ipv4)'),('Base64HighEntropyString','Base64 High Entropy String'),
+('HexHighEntropyString','Hex High Entropy String'),('KeywordDetector','Secret Keyword')) AS registry(name, type)"""
+
+
+@_add("audit_verdicts", f"{_FOUND} SELECT name, type IN (SELECT type FROM raw) AS found FROM {_REGISTRY}")
+def audit_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.verdicts(_found(spark, sf), list(D.KINDS.items()))
+
+
+@_add("registry", f"SELECT name, type, row_number() OVER (ORDER BY lower(name)) - 1 AS place, 2 AS verified FROM {_REGISTRY}")
+def registry(spark: SparkSession, sf: str) -> DataFrame:
+    """All detectors by name, with their types as found by type, and what is known of any secret of theirs."""
+    by_type = {name: kind for kind, name in D.kind_to_name().items()}
+    return spark.createDataFrame([(n, by_type[n], i, int(D.detector(n).verify("x"))) for i, n in enumerate(x for x in D.names() if x in D.KINDS)], "name string, type string, place bigint, verified int")
+
+
+@_add("context", f"WITH {O.lines('documents', 'doc_id', 'CAST(doc_id AS VARCHAR)', 'text')} SELECT doc_id, line_number, md5(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY line_number ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS context_md5 FROM lines")
+def context(spark: SparkSession, sf: str) -> DataFrame:
+    rows = with_context(lines_of(_docs(spark, sf).select("doc_id", "text")), 2, "doc_id")
+    return rows.select("doc_id", "line_number", F.md5(F.array_join("context", "\n")).alias("context_md5"))
+
+
+@_add("baseline_document", f"{_DEDUP} SELECT {_ID}, line_number, is_secret, is_verified FROM old")
+def baseline_document(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings written as a baseline's file, and read again as such."""
+    with tempfile.NamedTemporaryFile("r", suffix=".json") as file:
+        baseline.save_to_file(baseline.format_for_output(_new_old(spark, sf)[1], Settings.default()), file.name)
+        document = baseline.upgrade(baseline.load_from_file(file.name))
+    return baseline.load(spark, document).select(*collection.IDENTITY, "line_number", "is_secret", "is_verified")
+
+
+@_add("scan_stream", ORACLES["scan_documents"])
+def scan_documents_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as a stream of all that is there, its findings appended to files."""
+    source = f"{sf}/documents.parquet"
+    table = spark.read.parquet(source)
+    alone = all(f.endswith("/documents.parquet") for f in table.inputFiles())
+    stream = spark.readStream.schema(table.schema)
+    files = stream.option("pathGlobFilter", "documents.parquet").parquet(sf) if alone else stream.parquet(source)
+    found = scan_stream(Scanner(spark, Settings.default()), files, F.concat(F.lit("documents/"), F.col("doc_id").cast("string")), "text", "doc_id")
+    rows = found.select("doc_id", "filename", "line_number", "type", "secret_hash")
+    path = fresh_path(spark, "scan-stream")
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", fresh_path(spark, "scan-stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+_AS_FILE = "concat(CAST(doc_id % 97 AS VARCHAR), '/', CAST(doc_id AS VARCHAR), '.txt')"
+
+
+@_add("scan_files", f"WITH {O.lines('documents', 'doc_id', _AS_FILE, 'text')},\n{O.scan('lines', 'doc_id')}\nSELECT filename, line_number, type, sha1(secret) AS secret_hash FROM found")
+def scan_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a file in a folder that all tasks see, found by a walk and scanned from there."""
+    folder = fresh_path(spark, "scan-files").removeprefix("file://")
+
+    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import os
+
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"]):
+                os.makedirs(f"{folder}/{i % 97}", exist_ok=True)
+                with open(f"{folder}/{i % 97}/{i}.txt", "wb") as file:
+                    file.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    _docs(spark, sf).select("doc_id", "text").mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
+    return Scanner(spark, Settings.default()).scan_files(files_to_scan([], True, folder), folder).select("filename", "line_number", "type", "secret_hash")
+
+
+@_add("det_regex", f"WITH {planted.lines_sql()} SELECT * FROM (SELECT doc_id, template, unnest(list_concat(regexp_extract_all(line, '-us([0-9]+)', 1), regexp_extract_all(line, 'xox[bp]-[0-9]+', 0))) AS secret FROM planted) WHERE secret <> ''")
+def det_regex(spark: SparkSession, sf: str) -> DataFrame:
+    """A detector by patterns of one's own: the group where a pattern has one, else the match."""
+    own = D.regex_detector("Tails", ["-us([0-9]+)", "xox[bp]-[0-9]+"])
+    return planted.lines(_docs(spark, sf)).select("doc_id", "template", F.explode(own.find()).alias("secret"))
+
+
+class EvenTail:
+    """A detector of one's own, as a class."""
+
+    secret_type = "Even Tail"
+
+    def analyze_string(self, line: str) -> list[str]:
+        return re.findall("[0-9a-f]{6}[02468](?=\\W|$)", line, re.A)
+
+
+@_add("det_custom", f"WITH {planted.lines_sql()} SELECT doc_id, template, substr(secret, 1, 7) AS secret FROM (SELECT doc_id, template, unnest(regexp_extract_all(line, '[0-9a-f]{{6}}[02468]([^0-9A-Za-z_]|$)')) AS secret FROM planted)")
+def det_custom(spark: SparkSession, sf: str) -> DataFrame:
+    custom.register_plugin(EvenTail)
+    try:
+        return planted.lines(_docs(spark, sf)).select("doc_id", "template", F.explode(D.detector("EvenTail").find()).alias("secret"))
+    finally:
+        custom.unregister_plugin("EvenTail")
+
+
+def begins_like_a_hash(secret: str) -> bool:
+    return secret[:1] in set("abcdef")
+
+
+@_add("filter_custom", f"WITH {planted.candidates_sql()} SELECT doc_id, item FROM c WHERE regexp_matches(secret, '^[a-f]')")
+def filter_custom(spark: SparkSession, sf: str) -> DataFrame:
+    custom.register_filter("begins_like_a_hash", begins_like_a_hash)
+    try:
+        excluded = custom.filters("secret", {"begins_like_a_hash": {}})[0](secret=F.col("secret"))
+        return planted.candidates(_docs(spark, sf)).where(excluded).select("doc_id", "item")
+    finally:
+        custom.FILTERS.pop("begins_like_a_hash")
+
+
+_CONFIG = {"plugins_used": [{"name": P.HEX_NAME, "limit": 3.5}, {"name": "NoSuchDetector"}, {"name": "AWSKeyDetector"}], "filters_used": [{"path": "any.filters.heuristic.is_sequential_string"}, {"path": "any.filters.regex.should_exclude_line", "pattern": ["commit", "^x ="]}]}
+_HEX_SQL = O.detect(P.HEX_NAME).replace("> 3.0", "> 3.5")
+
+
+@_add("scan_settings", f"WITH {planted.lines_sql()}, kept AS (SELECT * FROM planted WHERE NOT ({O.FILTERS['is_non_text_file']}) AND NOT ({O.matches_any('line', ['commit', '^x ='])})), f AS (SELECT doc_id, template, line_number, '{P.HEX_KIND}' AS type, unnest({_HEX_SQL}) AS secret FROM kept UNION ALL SELECT doc_id, template, line_number, 'AWS Access Key', unnest({O.detect('AWSKeyDetector')}) FROM kept) SELECT doc_id, template, line_number, type, sha1(secret) AS secret_hash FROM f WHERE NOT ({O.FILTERS['is_sequential_string']})")
+def scan_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """A scan under the settings of a baseline, within their scope: a limit, a detector that isn't known, filters in place of the first ones."""
+    with transient_settings(_CONFIG):
+        s = Scanner(spark)
+        name, line = F.col("filename"), F.col("line")
+        rows = planted.lines(_docs(spark, sf)).where(~s.excluded_file(name) & ~s.excluded_line(name, line, F.col("previous")))
+        return s._findings(s._secrets(s.detect(rows)), "doc_id", "template").select("doc_id", "template", "line_number", "type", "secret_hash")

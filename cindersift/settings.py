@@ -89,13 +89,7 @@ class Settings:
     def as_dict(self) -> dict:
         plugins = [{"name": n} | p for n, p in sorted(self.plugins.items(), key=lambda x: x[0].lower())]
         filters = [{"path": n} | p for n, p in sorted(self.filters.items(), key=lambda x: x[0].lower()) if n not in MANDATORY]
-        for p in plugins:
-            if p["name"] == "Base64HighEntropyString":
-                p.setdefault("limit", 4.5)
-            elif p["name"] == "HexHighEntropyString":
-                p.setdefault("limit", 3.0)
-            elif p["name"] == "KeywordDetector":
-                p.setdefault("keyword_exclude", "")
+        plugins = [{"name": p["name"]} | D.DEFAULTS.get(p["name"], {}) | p for p in plugins]
         return {"plugins_used": plugins, "filters_used": filters}
 
     def json(self) -> str:
@@ -110,6 +104,49 @@ def get_settings() -> Settings:
     return _current
 
 
+def configure_settings_from_baseline(document: dict, filename: str = "") -> Settings:
+    """The present settings with the detectors and filters of a baseline."""
+    return _current.configure_from_baseline(document, filename)
+
+
+def cache_bust() -> None:
+    """The present settings as at first: no detectors, the first filters."""
+    _current.clear()
+
+
+def all_plugin_class_names() -> list[str]:
+    return D.names()
+
+
+def global_disable_plugins(names: list[str]) -> None:
+    _current.disable_plugins(*names)
+
+
+def global_disable_filters(paths: list[str]) -> None:
+    _current.disable_filters(*paths)
+
+
+def global_set_filter(path: str, config: dict[str, Any]) -> None:
+    _current.set_filter(path, **config)
+
+
+def global_set_plugin_limit(name: str, key: str, value: float) -> None:
+    """Sets a number among the parameters of a detector, which is added if it isn't on."""
+    _current.plugins.setdefault(D.ALIASES.get(name, name), {})[key] = value
+
+
+def global_get_plugin_names() -> list[str]:
+    return sorted(_current.plugins, key=str.lower)
+
+
+def global_initialize_all_plugins() -> None:
+    _current.plugins = {name: {} for name in D.KINDS}
+
+
+def global_clear_plugins() -> None:
+    _current.plugins = {}
+
+
 @contextlib.contextmanager
 def transient_settings(config: dict | Settings | None = None) -> Iterator[Settings]:
     """Other settings within a block; the former come back after it."""

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts of so many characters go on together.
+BATCH_CHARS = 1 << 21
+
+
 def walk(folder: str) -> Iterator[str]:
     """All files below a folder, but none below one whose name begins with a dot. What can't be read is passed over."""
     for place, folders, names in os.walk(folder):
@@ -57,13 +61,19 @@ def read_texts(names: DataFrame, root: str = ".") -> DataFrame:
     """(filename, text) of files that tasks can read by path; what isn't there or isn't UTF-8 has no row."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name in batch["filename"]:
-                try:
-                    with open(os.path.join(root, name), "rb") as f:
-                        yield pd.DataFrame({"filename": [name], "text": [f.read().decode("utf-8")]})
-                except (OSError, UnicodeDecodeError):
-                    continue
+        found: list[tuple[str, str]] = []
+        size = 0
+        for name in (n for batch in batches for n in batch["filename"]):
+            try:
+                with open(os.path.join(root, name), "rb") as f:
+                    found.append((name, f.read().decode("utf-8")))
+            except (OSError, UnicodeDecodeError):
+                continue
+            size += len(found[-1][1])
+            if size > BATCH_CHARS:
+                yield pd.DataFrame(found, columns=["filename", "text"])
+                found, size = [], 0
+        yield pd.DataFrame(found, columns=["filename", "text"])
 
     return names.select("filename").mapInPandas(read, "filename string, text string")
 

@@ -15,6 +15,6 @@ def stream_files(spark: SparkSession, folder: str, max_files: int = 1000) -> Dat
     return texts_of(source.option("maxFilesPerTrigger", max_files).load(folder))
 
 
-def scan_stream(scanner: Scanner, files: DataFrame, filename: Column | None = None, text: str = "text") -> DataFrame:
+def scan_stream(scanner: Scanner, files: DataFrame, filename: Column | None = None, text: str = "text", *keys: str) -> DataFrame:
     """Findings in a stream of files, as a stream; write it with ``writeStream`` in append mode."""
-    return scanner.scan_table(files, F.col("filename") if filename is None else filename, text)
+    return scanner.scan_table(files, F.col("filename") if filename is None else filename, text, *keys)
