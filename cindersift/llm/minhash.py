@@ -123,7 +123,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gram, of, whole = shingles(data[offsets[a] : offsets[b]], own)
             present, sig = signatures(gram, of, b - a)
             some = pa.array(present + a)
-            columns = [batch.column("doc").take(some), batch.column("mark").take(some), _binary(whole[present]), _binary(sig.view("u1").reshape(len(present), -1))]
+            columns = [batch.column("doc").take(some), batch.column("mark").take(some), _binary(whole[present]), _binary(sig.view("u1"))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "mark", "words", "sig"])
 
 
