@@ -419,14 +419,17 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     A document that loses every line it had goes; one that had none stays as it is.
     """
-    drops, own, mark, doc, lines = (C.free(f"__cs_{n}", docs.columns) for n in ("drops", "own", "mark", "doc", "lines"))
+    drops, own, mark, doc, left = (C.free(f"__cs_{n}", docs.columns) for n in ("drops", "own", "mark", "doc", "left"))
     gone = repeats(docs, id_col, text_col).groupBy(F.col("at.doc").alias(doc), F.col("at.mark").alias(mark)).agg(F.collect_set("at.no").alias(drops))
-    marked = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
-    joined = marked.join(gone, (F.col(own) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(doc)), "left").withColumn(lines, F.when(F.col(drops).isNotNull(), F.split(F.col(text_col).cast("string"), "\n")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drops)), lambda i: F.get(F.col(lines), i))
-    new = joined.withColumn(lines, F.when(F.col(drops).isNotNull(), kept)).where(F.col(lines).isNull() | F.exists(lines, lambda x: F.trim(x, F.lit(" \t\r")) != ""))
-    text = F.when(F.col(lines).isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    out = new.withColumn(text_col, text.cast(docs.schema[text_col].dataType)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    text = F.col(text_col).cast("string")
+    marked = docs.withColumn(own, F.xxhash64(text))
+    joined = marked.join(gone, (F.col(own) == F.col(mark)) & F.col(f"`{id_col}`").eqNullSafe(F.col(doc)), "left")
+    # bound step by step and exploded, so that nothing is worked out twice; of a document that loses all there is nothing to explode
+    lines = F.transform(F.array(F.split(text, "\n")), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(drops)), lambda i: F.get(ls, i)))
+    some = F.filter(lines, lambda ls: F.exists(ls, lambda x: F.trim(x, F.lit(" \t\r")) != ""))
+    new = F.when(F.col(drops).isNull(), F.array(text)).otherwise(F.transform(some, lambda ls: F.array_join(ls, "\n")))
+    kept = joined.select(*(F.col(f"`{c}`") for c in docs.columns if c != text_col), F.explode(new).alias(left))
+    out = kept.select(*((F.col(left).cast(docs.schema[c].dataType) if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns))
     return out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType)) if count_col else out
 
 
