@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="cindersift-")
     spark.conf.set(CHECKPOINT_KEY, made)
@@ -36,18 +36,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many tables :func:`written` has left so far, a mark for :func:`drop_since`."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, mark: int, but: int = 0) -> None:
+    """Deletes the tables written after a mark, without the last ``but`` of them, once nothing reads them any more."""
+    end = len(_made) - but
+    for path in _made[mark:end]:
+        _delete(spark, path)
+    del _made[mark:end]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(df.sparkSession, folder)
+        _made[:] = [p for p in _made if p.removeprefix("file:").lstrip("/") != folder.removeprefix("file:").lstrip("/")]
