@@ -44,8 +44,8 @@ MAX_EDITS = 2
 BUCKET_ENTRIES = 250_000
 #: Buckets are dealt out to no more tasks than this.
 MAX_TASKS = 20_000
-#: Up to so many candidate lines are broadcast to fetch their texts, about 50 MB; more are joined by a shuffle.
-BROADCAST_LINES = 500_000
+#: Up to so many candidate lines are broadcast to fetch their texts, about 10 MB; more are joined by a shuffle.
+BROADCAST_LINES = 100_000
 #: A key of more entries than this is crowded, and split; of more when there could be over MAX_CROWDED of them.
 CROWD = 1000
 #: Crowded keys travel with each task, 8 bytes each.
