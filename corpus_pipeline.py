@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindersift.llm import bpe, columnar, linededup, minhash, mixing, quality
-from cindersift.session import written
+from cindersift.session import drop_since, made, written
 from cindersift.sources.tables import read_table
 
 
@@ -66,8 +66,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    mark = made()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{k}")
+            # what the stage had written on its way, and its input, aren't read any more
+            drop_since(spark, mark, but=1)
     return docs
