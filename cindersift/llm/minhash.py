@@ -274,7 +274,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input without documents that repeat another, and with one of the rows that repeat an id and a text."""
+    """The input without documents that repeat another, and with one of the rows that repeat an id and a text.
+
+    Where those differ in other columns the one with the least hash of all its columns stays.
+    """
     mark, doc, own = (C.free(f"__cs_{n}", docs.columns) for n in ("mark", "doc", "own"))
     text = F.xxhash64(F.col(text_col).cast("string"))
     gone = copies(docs, id_col, text_col, threshold).select(F.col("doc").alias(doc), F.col("mark").alias(mark))
@@ -283,7 +286,10 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = rows.join(gone, same, "left_anti")
     twice = written(docs.select(F.col(id_col).alias(doc), text.alias(mark)).where(F.col(text_col).isNotNull()).groupBy(doc, mark).count().where("count > 1").drop("count"), "minhash-twice")
     if not twice.isEmpty():
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([own, id_col]))
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        by = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+        alone = kept.join(twice, same, "left_semi").groupBy(F.col(own).alias(mark), F.col(f"`{id_col}`").alias(doc)).agg(F.min_by(whole, by).alias(own)).select(f"{own}.*")
+        kept = kept.join(twice, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(alone)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
