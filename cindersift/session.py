@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.partition("[")[0] != "local":
+    if not spark.sparkContext.master.startswith("local"):  # local-cluster is on one machine too
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="cindersift-")
     spark.conf.set(CHECKPOINT_KEY, made)
