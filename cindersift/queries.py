@@ -20,7 +20,7 @@ from .operators import audit, collection, custom, diff, filters, redact
 from .operators import detectors as D
 from .operators.lines import lines_of, with_context
 from .plans.scan import Scanner
-from .session import fresh_path
+from .session import fresh_path, written
 from .settings import Settings, transient_settings
 from .sources.files import files_to_scan
 from .sources.tables import read_table
@@ -181,8 +181,13 @@ def _found(spark: SparkSession, sf: str, keep_value: bool = False) -> DataFrame:
     return rows.withColumn("filename", path).withColumn("line_number", F.col("line_number") + 100 * (F.col("doc_id") % 4)).drop("doc_id")
 
 
-def _new_old(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    now = collection.dedup(_found(spark, sf))
+def _now(spark: SparkSession, sf: str) -> DataFrame:
+    """The findings, written once for all that is derived of them."""
+    return written(collection.dedup(_found(spark, sf)), "findings")
+
+
+def _new_old(spark: SparkSession, sf: str, now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    now = _now(spark, sf) if now is None else now
     label = F.when(F.col("line_number") % 3 == 0, True).when(F.col("line_number") % 3 == 1, False)
     old = now.where("line_number % 4 <> 0").withColumn("is_secret", label).withColumn("is_verified", F.col("line_number") % 7 == 0).withColumn("line_number", F.col("line_number") + 1)
     return now.where("line_number % 5 <> 0"), old
@@ -219,8 +224,9 @@ _LISTED = "(SELECT DISTINCT filename FROM now WHERE line_number % 2 = 0)"
 
 @_add("trim", f"{_DEDUP} SELECT o.filename, o.secret_hash, o.type, n.line_number, o.is_secret, o.is_verified FROM old o JOIN new n ON {_SAME} WHERE o.filename IN {_LISTED} UNION ALL SELECT {_ID}, line_number, is_secret, is_verified FROM old WHERE filename NOT IN {_LISTED}")
 def trim(spark: SparkSession, sf: str) -> DataFrame:
-    new, old = _new_old(spark, sf)
-    return collection.trim(old, new, collection.dedup(_found(spark, sf)).where("line_number % 2 = 0").select("filename"))
+    now = _now(spark, sf)
+    new, old = _new_old(spark, sf, now)
+    return collection.trim(old, new, now.where("line_number % 2 = 0").select("filename"))
 
 
 @_add("equals", f"{_DEDUP} SELECT {_ID}, 'left' AS side FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE {_SAME}) UNION ALL SELECT {_ID}, 'right' FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE {_SAME})")
