@@ -17,7 +17,8 @@ driver finds the end without drawing the slots, and tasks draw theirs without th
 
 Defined results: null is a source like any other; documents without tokens have no place in the schedule; rows that
 repeat id, source and text are one document; a null id is an id. An empty table gives an empty schedule. Weights name
-all sources with tokens, else ValueError; a weight of 0 leaves a source out.
+all sources with tokens, else ValueError; a weight of 0 leaves a source out. More than ``MAX_SOURCES`` sources are a
+ValueError, as the driver plans them one by one.
 """
 
 from __future__ import annotations
