@@ -6,6 +6,7 @@ import json
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,10 @@ from .settings import Settings, get_settings
 from .sources.files import files_to_scan
 
 VERSION = "1.5.0"
-#: A baseline is a document for people and version control; larger sets of findings stay in tables.
+#: One document is for people and version control, and whole on the driver; larger sets of findings are saved in parts.
 MAX_ENTRIES = 1_000_000
+#: An entry of a baseline in parts.
+ENTRY = "type string, filename string, hashed_secret string, is_verified boolean, line_number bigint, is_secret boolean"
 
 
 class BaselineError(ValueError):
@@ -58,7 +61,7 @@ def results(findings: DataFrame, slim: bool = False) -> dict:
     """The ``results`` of a baseline: files by name, their entries by line."""
     rows = findings.orderBy("filename", "line_number", "type", "secret_hash").limit(MAX_ENTRIES + 1).collect()
     if len(rows) > MAX_ENTRIES:
-        raise BaselineError(f"more than {MAX_ENTRIES} findings; keep them in a table")
+        raise BaselineError(f"more than {MAX_ENTRIES} findings; save them in parts (save_parts)")
     out: dict[str, list] = {}
     for r in rows:
         entry = {"type": r["type"], "filename": r["filename"], "hashed_secret": r["secret_hash"], "is_verified": r["is_verified"]}
@@ -87,6 +90,29 @@ def save_to_file(document: dict, path: str) -> None:
     Path(path).write_text(json.dumps(document, indent=2) + "\n", "utf-8")
 
 
+def save_parts(findings: DataFrame, path: str, settings: Settings | None = None) -> None:
+    """A baseline of any size as a folder that all executors share: ``head``, the document without its results, and
+    ``results``, an entry a line in JSON. Tasks write the entries, so none of them is on the driver."""
+    spark = findings.sparkSession
+    head = {"version": VERSION} | (settings or get_settings()).as_dict() | {"generated_at": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")}
+    findings.select("type", "filename", F.col("secret_hash").alias("hashed_secret"), "is_verified", "line_number", "is_secret").write.json(f"{path}/results")
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.text(f"{path}/head")
+
+
+def load_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of a baseline in a folder. BaselineError if its head isn't a baseline's, or of a version whose entries differ."""
+    try:
+        head = upgrade(json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/head").collect())))
+    except (AnalysisException, json.JSONDecodeError, AttributeError) as error:
+        raise BaselineError(f"{path}: {error}") from error
+    if head.get("version") != VERSION:
+        raise BaselineError(f"{path}: not a baseline of a known version")
+    entries = spark.read.schema(f"{ENTRY}, wrong string").option("columnNameOfCorruptRecord", "wrong").json(f"{path}/results")
+    bad = F.col("wrong").isNotNull() | F.col("type").isNull() | F.col("filename").isNull() | F.col("hashed_secret").isNull()
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("not an entry of a baseline: "), F.coalesce("wrong", "filename", F.lit(""))))).otherwise(F.col("type"))
+    return entries.select(checked.cast("string").alias("type"), "filename", F.col("hashed_secret").alias("secret_hash"), F.coalesce("line_number", F.lit(0)).cast("bigint").alias("line_number"), "is_secret", F.coalesce("is_verified", F.lit(False)).alias("is_verified"))
+
+
 def upgrade(document: dict) -> dict:
     """The document in the present version. One whose version can't be read is returned as it is."""
     version = version_of(str(document.get("version", "")))

@@ -358,11 +358,10 @@ def context(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("baseline_document", f"{_DEDUP} SELECT {_ID}, line_number, is_secret, is_verified FROM old")
 def baseline_document(spark: SparkSession, sf: str) -> DataFrame:
-    """Findings written as a baseline's file, and read again as such."""
-    with tempfile.NamedTemporaryFile("r", suffix=".json") as file:
-        baseline.save_to_file(baseline.format_for_output(_new_old(spark, sf)[1], Settings.default()), file.name)
-        document = baseline.upgrade(baseline.load_from_file(file.name))
-    return baseline.load(spark, document).select(*collection.IDENTITY, "line_number", "is_secret", "is_verified")
+    """Findings written as a baseline in parts, and read again as such."""
+    path = fresh_path(spark, "baseline")
+    baseline.save_parts(_new_old(spark, sf)[1], path, Settings.default())
+    return baseline.load_parts(spark, path).select(*collection.IDENTITY, "line_number", "is_secret", "is_verified")
 
 
 @_add("scan_stream", ORACLES["scan_documents"])

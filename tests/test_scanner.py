@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cindersift import baseline
@@ -11,6 +12,8 @@ from cindersift.operators.lines import lines_of
 from cindersift.plans.scan import Scanner
 from cindersift.settings import Settings, patterns_of
 
+FINDING_ROW = "type string, filename string, secret_hash string, line_number bigint, is_secret boolean, is_verified boolean"
+
 
 def found(spark, name, line, filename="a.txt", eager=True):
     row = spark.createDataFrame([(line, filename)], "line string, filename string")
@@ -60,3 +63,31 @@ def test_settings_and_upgrade():
     new = baseline.upgrade({"version": "0.11.0", "exclude_regex": "x", "plugins_used": [], "results": {"f": [{"type": "t", "hashed_secret": "h", "line_number": 1}]}})
     assert new["version"] == baseline.VERSION and new["results"]["f"][0]["filename"] == "f"
     assert any(f["path"] == "regex.should_exclude_file" for f in new["filters_used"])
+
+
+def test_baseline_in_parts(spark, tmp_path, monkeypatch):
+    """More findings than one document takes, values that JSON escapes, and folders that are no baseline."""
+    monkeypatch.setattr(baseline, "MAX_ENTRIES", 3)
+    rows = [("t", f'dir/"{i}\\\n\u2028ñ.py', f"h{i}", i, (None, True, False)[i % 3], i % 2 == 0) for i in range(10)]
+    findings = spark.createDataFrame(rows, FINDING_ROW)
+    with pytest.raises(baseline.BaselineError):
+        baseline.format_for_output(findings)
+    baseline.save_parts(findings, str(tmp_path / "base"), Settings.default())
+    assert sorted(map(tuple, baseline.load_parts(spark, str(tmp_path / "base")).collect())) == sorted(rows)
+    empty = str(tmp_path / "empty")
+    baseline.save_parts(findings.where("false"), empty, Settings.default())
+    assert baseline.load_parts(spark, empty).count() == 0
+    with pytest.raises(baseline.BaselineError):
+        baseline.load_parts(spark, str(tmp_path / "none"))
+    (tmp_path / "base" / "results" / "more.json").write_text('{"type": "t"}\n')
+    with pytest.raises(Exception, match="not an entry"):
+        baseline.load_parts(spark, str(tmp_path / "base")).collect()
+
+
+def test_baseline_query_over_the_bound_of_one_document(spark, tmp_path, monkeypatch):
+    from cindersift import queries
+
+    monkeypatch.setattr(baseline, "MAX_ENTRIES", 3)
+    spark.range(5).selectExpr("id as doc_id", "'x' as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.QUERIES["baseline_document"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(set(rows)) > 3 and {r["is_secret"] for r in rows} == {None, True, False}
