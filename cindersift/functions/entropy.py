@@ -27,11 +27,59 @@ def hex_shannon(value: Column, charset: str | None = "0-9A-Fa-f") -> Column:
     return F.when((F.length(value) > 1) & value.rlike("\\A[0-9]+\\z"), plain - 1.2 / F.log2(F.length(value))).otherwise(plain)
 
 
-def entropy_sql(v: str, of_hex: bool) -> str:
-    """The same as SQL text, for a value all of whose characters are in the charset."""
-    n = f"transform(filter(array_distinct(split({v}, '')), c -> c <> ''), c -> length({v}) - length(replace({v}, c, '')))"
-    plain = f"aggregate({n}, 0D, (a, n) -> a + n * log2(n), a -> log2(length({v})) - a / length({v}))"
-    return f"({plain} - if(length({v}) > 1 and {v} rlike '^[0-9]+$', 1.2D / log2(length({v})), 0D))" if of_hex else plain
+#: The entropy of a string of hexadecimal digits of both cases is at most log2 of 22.
+MOST_OF_HEX = 4.46
+
+
+def strong_ones(values: int = 1 << 14, size: int = 4 << 20):
+    """A function of (quoted, bare, limit, of_hex): the quoted strings above the limit, or else the bare ones above it.
+
+    Strings are ASCII, as all charsets are. As expressions the count of each character costs a pass over the string for each
+    other character; here bytes are counted once, for ``values`` strings and ``size`` bytes at a time however many there are.
+    """
+
+    @F.arrow_udf("array<string>")
+    def pick(quoted, bare, limit, of_hex):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def entropies(lengths, data, which):
+            """Of strings that lie one after the other; ``which`` are measured as hexadecimal."""
+            ends = np.cumsum(lengths)
+            starts, counts = ends - lengths, np.zeros((len(lengths), 128), np.int64)
+            for low in range(0, len(data), size):
+                high = min(low + size, len(data))
+                i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right") + 1
+                within = np.minimum(ends[i:j], high) - np.maximum(starts[i:j], low)
+                cells = np.repeat(np.arange(j - i) << 7, within) + (data[low:high] & 127)
+                counts[i:j] += np.bincount(cells, minlength=(j - i) << 7).reshape(j - i, 128)
+            n = np.maximum(lengths, 1).astype(float)
+            plain = np.log2(n) - (counts * np.log2(np.maximum(counts, 1))).sum(axis=1) / n
+            digits = which & (lengths > 1) & (counts[:, 48:58].sum(axis=1) == lengths)
+            return np.where(digits, plain - 1.2 / np.log2(np.maximum(n, 2)), plain)
+
+        def strong(lists):
+            """The strings above the limit, and the rows that they are of."""
+            rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            flat = lists.flatten().cast("large_binary")
+            keep = np.zeros(len(flat), bool)
+            for k in range(0, len(flat), values):
+                part, at = flat.slice(k, values), rows[k : k + values]
+                ends = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+                data = np.frombuffer(part.buffers()[2], np.uint8)[ends[0] : ends[-1]] if ends[-1] > ends[0] else np.zeros(0, np.uint8)
+                keep[k : k + values] = np.round(entropies(np.diff(ends), data, hexes[at]), 12) > limits[at]
+            return rows[keep], flat.filter(pa.array(keep)).cast("string")
+
+        limits, hexes = limit.to_numpy(zero_copy_only=False), pc.fill_null(of_hex, False).to_numpy(zero_copy_only=False)
+        q_rows, q = strong(quoted)
+        b_rows, b = strong(bare)
+        alone = ~np.isin(b_rows, q_rows)
+        rows, found = np.concatenate([q_rows, b_rows[alone]]), pa.concat_arrays([q, b.filter(pa.array(alone))])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(limits)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), found.take(pa.array(np.argsort(rows, kind="stable"))))
+
+    return pick
 
 
 def least_length(limit: float) -> int:

@@ -135,22 +135,30 @@ _S_JAVA = "((?:[^\\x0B'\"\\w]*+)\\w[^\\x0B'\"]*[^\\x0B,'\"` ])"
 _LOOSE, _STRICT = ['"', "'", ""], ['"', "'", "`"]
 
 
-def _quoted(before: str, quotes: list[str], after: str = "", fold: bool = True) -> list[str]:
-    return [("(?i)" if fold else "") + before + q + _S + q + after for q in quotes]
+#: What a line has that a keyword's pattern matches in: its quote and its sign. The pattern isn't tried on others.
+NEEDS: dict[str, list[str]] = {}
+
+
+def _quoted(before: str, quotes: list[str], after: str = "", sign: str = "") -> list[str]:
+    patterns = ["(?i)" + before + q + _S + q + after for q in quotes]
+    NEEDS.update({p: [n for n in (sign, q + after) if n] for p, q in zip(patterns, quotes)})
+    return patterns
 
 
 _EQUAL = f"{_K}{_C}\\s*(?:!==?|={{1,3}})\\s*"
 _COMPARED = [q + _S + q + f"\\s*[!=]{{2,3}}\\s*\\w*(?:{_KEYS})" for q in _STRICT]
+NEEDS.update({p: [q] for p, q in zip(_COMPARED, _STRICT)})
 _SEMICOLON = _quoted(f"{_K}[^\\s]{{0,50}}?\\s*", _STRICT, ";")
 #: Groups in order; of each group the first variant that matches yields one secret.
 KEYWORD_GROUPS: dict[str, list[list[str]]] = {
-    "config": [_quoted(f"{_K}{_C}:\\s*", _LOOSE), _COMPARED, _quoted(_EQUAL, _LOOSE), _SEMICOLON],
-    "go": [_quoted(f"{_K}{_C}\\s*:=\\s*", _LOOSE), _COMPARED, _quoted(_EQUAL, _LOOSE), _SEMICOLON],
+    "config": [_quoted(f"{_K}{_C}:\\s*", _LOOSE, sign=":"), _COMPARED, _quoted(_EQUAL, _LOOSE, sign="="), _SEMICOLON],
+    "go": [_quoted(f"{_K}{_C}\\s*:=\\s*", _LOOSE, sign=":="), _COMPARED, _quoted(_EQUAL, _LOOSE, sign="="), _SEMICOLON],
     "c": [_quoted(f"{_K}(?:\\[[0-9]*\\])?\\s*[!=]{{1,2}}\\s*@?", ['"'])],
-    "cpp": [[f"{_K}(?:\\.assign)?\\(\"{_S}\""], _quoted(_EQUAL, _STRICT)],
-    "quotes": [_quoted(f"{_K}{_C}:\\s*", _STRICT), _COMPARED, _quoted(_EQUAL, _STRICT), _SEMICOLON, _quoted(f"{_K}{_C}\\s*=>?\\s*", _STRICT)],
+    "cpp": [[f"{_K}(?:\\.assign)?\\(\"{_S}\""], _quoted(_EQUAL, _STRICT, sign="=")],
+    "quotes": [_quoted(f"{_K}{_C}:\\s*", _STRICT, sign=":"), _COMPARED, _quoted(_EQUAL, _STRICT, sign="="), _SEMICOLON, _quoted(f"{_K}{_C}\\s*=>?\\s*", _STRICT, sign="=")],
 }
-KEYWORD_MARKS = "(?i)key|pass|pwd|secret|contrase"
+#: Lines without any of these have no keyword; in lower case.
+KEYWORD_MARKS = ["key", "pass", "pwd", "secret", "contrase"]
 #: A comparison with a keyword; without it the group of comparisons, whose values begin anywhere, can't match.
 COMPARISON = f"[!=]{{2,3}}\\s*\\w*(?:{_KEYS})"
 COMPARED = _COMPARED

@@ -72,7 +72,7 @@ def register_plugin(cls: type) -> None:
             plugin = cls(**params)
         except Exception as error:
             _log.warning("%s can't be made: %s", cls.__name__, error)
-            return D.Detector(cls.__name__, cls.secret_type, lambda line, filename, eager=True: D.NOTHING, params)
+            return D.Detector(cls.__name__, cls.secret_type, lambda line, filename, eager=True, low="": D.NOTHING, params)
         return D.Detector(cls.__name__, cls.secret_type, None, params, _column(plugin))
 
     make.kind = cls.secret_type

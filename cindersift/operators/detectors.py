@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from enum import IntEnum
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import entropy as E
@@ -27,8 +27,9 @@ def text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _any(line: str, marks: list[str], fold: bool) -> str:
-    seen = f"lower({line})" if fold else line
+def _any(line: str, marks: list[str], low: str = "") -> str:
+    """Whether a line has any of the marks; in lower case if ``low`` is the line in that."""
+    seen = low or line
     return "(" + " or ".join(f"contains({seen}, {text(m)})" for m in marks) + ")"
 
 
@@ -39,9 +40,9 @@ def matches(line: str, parts: list[tuple[str, int]]) -> str:
 
 
 def by_rule(rule: P.Rule):
-    def find(line: str, filename: str, eager: bool = True) -> str:
-        found = matches(line, rule.parts)
-        return f"if({_any(line, rule.marks, rule.fold)}, {found}, {NOTHING})" if rule.marks else found
+    def find(line: str, filename: str, eager: bool = True, low: str = "") -> str:
+        found, seen = matches(line, rule.parts), (low or f"lower({line})") if rule.fold else ""
+        return f"if({_any(line, rule.marks, seen)}, {found}, {NOTHING})" if rule.marks else found
 
     return find
 
@@ -58,7 +59,7 @@ def jwt_is_valid(token: str) -> Column:
     return F.expr(_jwt_valid(token))
 
 
-def _jwt(line: str, filename: str, eager: bool = True) -> str:
+def _jwt(line: str, filename: str, eager: bool = True, low: str = "") -> str:
     rule = next(r for r in P.RULES if r.name == "JwtTokenDetector")
     return f"filter({by_rule(rule)(line, filename)}, t -> {_jwt_valid('t')})"
 
@@ -67,7 +68,7 @@ def is_private_ip(ip: Column) -> Column:
     return ip.rlike(P.PRIVATE_IP)
 
 
-def _ip(line: str, filename: str, eager: bool = True) -> str:
+def _ip(line: str, filename: str, eager: bool = True, low: str = "") -> str:
     # what has a word character or a dot beside it is consumed all the same, by the second way to match
     edge = "[0-9A-Za-z_.]"
     pattern = P.java(f"(?<!{edge})((?>{P.IP}))(?!{edge})|{P.IP}")
@@ -75,23 +76,23 @@ def _ip(line: str, filename: str, eager: bool = True) -> str:
     return f"if({line} rlike '[0-9][.][0-9]', {found}, {NOTHING})"
 
 
-def _by_entropy(charset: str, limit: float, of_hex: bool):
-    least = E.least_length(limit)
-
-    def strong(found: str) -> str:
-        return f"filter({found}, v -> length(v) >= {least} and round({E.entropy_sql('v', of_hex)}, 12) > {limit}D)"
+@dataclass(frozen=True)
+class ByEntropy:
+    """Strings of a charset by their entropy: those in quotes, and where none of these is above the limit, bare ones."""
 
-    def find(line: str, filename: str, eager: bool = True) -> str:
-        both = ", ".join(f"regexp_extract_all({line}, {text(f'{q}([{charset}]+){q}')}, 1)" for q in "\"'")
-        quoted = f"if({_any(line, ['\"', chr(39)], False)}, {strong(f'concat({both})')}, {NOTHING})"
-        if not eager:
-            return quoted
-        run = text(f"[{charset}]{{{least},}}")
-        bare = f"if({line} rlike {run}, {strong(f'regexp_extract_all({line}, {run}, 0)')}, {NOTHING})"
-        # the quoted ones are bound, so that they are found once
-        return f"element_at(transform(array({quoted}), q -> if(size(q) > 0, q, {bare})), 1)"
+    charset: str
+    limit: float
+    of_hex: bool
 
-    return find
+    def lists(self, line: str, eager: bool = True) -> str:
+        """A struct of two arrays as SQL: strings in quotes and bare ones, without what can't be above the limit."""
+        least = E.least_length(self.limit)
+        may = f"length(v) >= {least}"
+        if not self.of_hex and self.limit >= E.MOST_OF_HEX:
+            may += " and v rlike '[^0-9A-Fa-f]'"
+        both = ", ".join(f"if(contains({line}, {text(q)}), regexp_extract_all({line}, {text(f'{q}([{self.charset}]+){q}')}, 1), {NOTHING})" for q in "\"'")
+        bare = f"filter(regexp_extract_all({line}, {text(f'[{self.charset}]{{{least},}}')}, 0), v -> {may})" if eager else NOTHING
+        return f"named_struct('quoted', filter(concat({both}), v -> {may}), 'bare', {bare})"
 
 
 def family_sql(filename: str) -> str:
@@ -105,15 +106,20 @@ def family(filename: str) -> Column:
 
 
 def _keyword(exclude: str | None = None):
-    def find(line: str, filename: str, eager: bool = True) -> str:
+    def one(line: str, pattern: str) -> str:
+        found = f"nullif(regexp_extract({line}, {text(P.java(pattern))}, 1), '')"
+        needs = " and ".join(f"contains({line}, {text(n)})" for n in P.NEEDS.get(pattern, []))
+        return f"if({needs}, {found}, null)" if needs else found
+
+    def find(line: str, filename: str, eager: bool = True, low: str = "") -> str:
         cases = []
         for name, groups in P.KEYWORD_GROUPS.items():
             firsts = []
             for group in groups:
-                first = "coalesce(" + ", ".join(f"nullif(regexp_extract({line}, {text(P.java(p))}, 1), '')" for p in group) + ")"
+                first = "coalesce(" + ", ".join(one(line, p) for p in group) + ")"
                 firsts.append(f"if({line} rlike {text(P.java(P.COMPARISON))}, {first}, null)" if group is P.COMPARED else first)
             cases.append(f"when '{name}' then array_distinct(array_compact(array({', '.join(firsts)})))")
-        guard = f"{line} rlike {text(P.KEYWORD_MARKS)}"
+        guard = _any(line, P.KEYWORD_MARKS, low or f"lower({line})")
         if exclude:
             guard += f" and not {line} rlike {text(P.java('(?i)' + exclude))}"
         return f"if({guard}, case {family_sql(filename)} {' '.join(cases)} end, {NOTHING})"
@@ -131,16 +137,21 @@ class Verified(IntEnum):
 
 @dataclass(frozen=True)
 class Detector:
-    """A detector with its parameters. ``sql(line, filename, eager)`` is, for columns of those names, an array of secrets;
-    a custom one has ``column``, which takes and makes columns."""
+    """A detector with its parameters. ``sql(line, filename, eager, low)`` is, for columns of those names, an array of secrets
+    (``low`` may name the line in lower case); one by entropy has ``entropy`` instead, and a custom one ``column``, which
+    takes and makes columns."""
 
     name: str
     kind: str
     sql: Any
     params: dict
     column: Any = None
+    entropy: ByEntropy | None = None
 
     def find(self, line: str = "line", filename: str = "filename", eager: bool = True) -> Column:
+        if self.entropy:
+            both = F.expr(self.entropy.lists(line, eager))
+            return E.strong_ones()(both["quoted"], both["bare"], F.lit(self.entropy.limit), F.lit(self.entropy.of_hex))
         return self.column(F.col(line), F.col(filename), eager) if self.column else F.expr(self.sql(line, filename, eager))
 
     @property
@@ -171,12 +182,12 @@ def detector(name: str, **params: Any) -> Detector:
     if name in CUSTOM:
         return CUSTOM[name](**params)
     kind = KINDS[name]
+    if name == P.BASE64_NAME:
+        return Detector(name, kind, None, params, entropy=ByEntropy(P.BASE64, float(params.get("limit", P.BASE64_LIMIT)), False))
+    if name == P.HEX_NAME:
+        return Detector(name, kind, None, params, entropy=ByEntropy(P.HEX, float(params.get("limit", P.HEX_LIMIT)), True))
     if name == P.IP_NAME:
         find = _ip
-    elif name == P.BASE64_NAME:
-        find = _by_entropy(P.BASE64, float(params.get("limit", P.BASE64_LIMIT)), False)
-    elif name == P.HEX_NAME:
-        find = _by_entropy(P.HEX, float(params.get("limit", P.HEX_LIMIT)), True)
     elif name == P.KEYWORD_NAME:
         find = _keyword(params.get("keyword_exclude") or None)
     elif name == "JwtTokenDetector":
@@ -191,7 +202,33 @@ def regex_detector(kind: str, patterns: list[tuple[str, int]] | list[str]) -> De
     import re
 
     parts = [p if isinstance(p, tuple) else (p, min(re.compile(p).groups, 1)) for p in patterns]
-    return Detector(kind, kind, lambda line, filename, eager=True: matches(line, parts), {})
+    return Detector(kind, kind, lambda line, filename, eager=True, low="": matches(line, parts), {})
+
+
+def secrets(lines: DataFrame, detectors: list[Detector], eager: bool = True) -> DataFrame:
+    """Lines (filename, line, ...) to a row for each secret: type, secret and by_pattern beside the input's columns.
+
+    A line is exploded to what patterns found and to an entry for each detector by entropy that has strings to measure,
+    so that lines without any end there; then the entropies of all strings of many lines are worked out at once.
+    """
+    kept, sql, columns = lines.columns, [], []
+    for d in detectors:
+        if d.entropy:
+            some = f"filter(array({d.entropy.lists('line', eager)}), x -> size(x.quoted) > 0 or size(x.bare) > 0)"
+            sql.append(f"transform({some}, x -> named_struct('type', {text(d.kind)}, 'secret', cast(null as string), 'by_pattern', false, 'quoted', x.quoted, 'bare', x.bare, 'limit', {d.entropy.limit!r}D, 'of_hex', {str(d.entropy.of_hex).lower()}))")
+        elif d.column:
+            none = F.lit(None).cast("array<string>")
+            columns.append(F.transform(d.find("line", "filename", eager), lambda s, d=d: F.struct(F.lit(d.kind).alias("type"), s.alias("secret"), F.lit(d.by_pattern).alias("by_pattern"), none.alias("quoted"), none.alias("bare"), F.lit(None).cast("double").alias("limit"), F.lit(None).cast("boolean").alias("of_hex"))))
+        else:
+            sql.append(f"transform({d.sql('line', 'filename', eager, '__low')}, s -> named_struct('type', {text(d.kind)}, 'secret', s, 'by_pattern', {str(d.by_pattern).lower()}, 'quoted', cast(null as array<string>), 'bare', cast(null as array<string>), 'limit', cast(null as double), 'of_hex', cast(null as boolean)))")
+    nothing = "cast(array() as array<struct<type:string,secret:string,by_pattern:boolean,quoted:array<string>,bare:array<string>,limit:double,of_hex:boolean>>)"
+    found = F.expr(f"concat({', '.join([nothing, *sql])})")
+    rows = lines.withColumn("__low", F.lower("line")).select(*kept, F.explode(F.concat(found, *columns) if columns else found).alias("__f")).select(*kept, "__f.*")
+    if not any(d.entropy for d in detectors):
+        return rows.select(*kept, "type", "secret", "by_pattern")
+    measured = rows.withColumn("__strong", E.strong_ones()(F.col("quoted"), F.col("bare"), F.col("limit"), F.col("of_hex")))
+    each = F.explode(F.when(F.col("limit").isNull(), F.array("secret")).otherwise(F.col("__strong")))
+    return measured.select(*kept, "type", each.alias("__secret"), "by_pattern").withColumnRenamed("__secret", "secret")
 
 
 def names() -> list[str]:

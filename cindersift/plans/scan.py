@@ -24,10 +24,6 @@ def _or(parts: list[Column]) -> Column:
     return functools.reduce(operator.or_, parts, F.lit(False))
 
 
-def _named(d: D.Detector):
-    return lambda s: F.struct(F.lit(d.kind).alias("type"), s.alias("secret"), F.lit(d.by_pattern).alias("by_pattern"))
-
-
 class Scanner:
     """Plans scans under given settings. Results are DataFrames of findings; nothing runs before they are used."""
 
@@ -73,15 +69,7 @@ class Scanner:
     # plan ---------------------------------------------------------------------------------------------------------
     def detect(self, lines: DataFrame, eager: bool = True) -> DataFrame:
         """Lines (filename, line, ...) to a row for each candidate: type, secret and by_pattern beside the input's columns."""
-        sql, columns = ["cast(array() as array<struct<type:string,secret:string,by_pattern:boolean>>)"], []
-        for d in self.settings.detectors():
-            if d.column:
-                columns.append(F.transform(d.find("line", "filename", eager), _named(d)))
-            else:
-                sql.append(f"transform({d.sql('line', 'filename', eager)}, s -> named_struct('type', {D.text(d.kind)}, 'secret', s, 'by_pattern', {str(d.by_pattern).lower()}))")
-        all_found = F.expr(f"concat({', '.join(sql)})")
-        rows = lines.select(*lines.columns, F.explode(F.concat(all_found, *columns) if columns else all_found).alias("__f"))
-        return rows.select(*lines.columns, "__f.*")
+        return D.secrets(lines, self.settings.detectors(), eager)
 
     def _secrets(self, candidates: DataFrame) -> DataFrame:
         real = (F.col("secret") == "") | ~self.excluded_secret(F.col("secret"), F.col("line"), F.col("by_pattern"))

@@ -55,7 +55,7 @@ def _detector(name: str, family: str | None = None) -> None:
         lines = planted.lines(_docs(spark, sf))
         if family:
             lines = lines.where(D.family("filename") == family)
-        return lines.select("doc_id", "template", F.explode(D.detector(name).find()).alias("secret"))
+        return D.secrets(lines, [D.detector(name)]).select("doc_id", "template", "secret")
 
 
 for _name in D.KINDS:
