@@ -88,10 +88,12 @@ class ByEntropy:
         """A struct of two arrays as SQL: strings in quotes and bare ones, without what can't be above the limit."""
         least = E.least_length(self.limit)
         may = f"length(v) >= {least}"
+        # a run is tried from its first character alone and never given back; which runs there are is the same
+        run = f"(?<![{self.charset}])[{self.charset}]{{{least},}}+"
         if not self.of_hex and self.limit >= E.MOST_OF_HEX:
             may += " and v rlike '[^0-9A-Fa-f]'"
-        both = ", ".join(f"if(contains({line}, {text(q)}), regexp_extract_all({line}, {text(f'{q}([{self.charset}]+){q}')}, 1), {NOTHING})" for q in "\"'")
-        bare = f"filter(regexp_extract_all({line}, {text(f'[{self.charset}]{{{least},}}')}, 0), v -> {may})" if eager else NOTHING
+        both = ", ".join(f"if(contains({line}, {text(q)}), regexp_extract_all({line}, {text(f'{q}([{self.charset}]++){q}')}, 1), {NOTHING})" for q in "\"'")
+        bare = f"if(length({line}) >= {least}, filter(regexp_extract_all({line}, {text(run)}, 0), v -> {may}), {NOTHING})" if eager else NOTHING
         return f"named_struct('quoted', filter(concat({both}), v -> {may}), 'bare', {bare})"
 
 
@@ -205,6 +207,12 @@ def regex_detector(kind: str, patterns: list[tuple[str, int]] | list[str]) -> De
     return Detector(kind, kind, lambda line, filename, eager=True, low="": matches(line, parts), {})
 
 
+def _plain(d: Detector):
+    """An entry of :func:`secrets` for a secret that nothing is left to measure of."""
+    none = F.lit(None).cast("array<string>")
+    return lambda s: F.struct(F.lit(d.kind).alias("type"), s.alias("secret"), F.lit(d.by_pattern).alias("by_pattern"), none.alias("quoted"), none.alias("bare"), F.lit(None).cast("double").alias("limit"), F.lit(None).cast("boolean").alias("of_hex"))
+
+
 def secrets(lines: DataFrame, detectors: list[Detector], eager: bool = True) -> DataFrame:
     """Lines (filename, line, ...) to a row for each secret: type, secret and by_pattern beside the input's columns.
 
@@ -217,8 +225,7 @@ def secrets(lines: DataFrame, detectors: list[Detector], eager: bool = True) ->
             some = f"filter(array({d.entropy.lists('line', eager)}), x -> size(x.quoted) > 0 or size(x.bare) > 0)"
             sql.append(f"transform({some}, x -> named_struct('type', {text(d.kind)}, 'secret', cast(null as string), 'by_pattern', false, 'quoted', x.quoted, 'bare', x.bare, 'limit', {d.entropy.limit!r}D, 'of_hex', {str(d.entropy.of_hex).lower()}))")
         elif d.column:
-            none = F.lit(None).cast("array<string>")
-            columns.append(F.transform(d.find("line", "filename", eager), lambda s, d=d: F.struct(F.lit(d.kind).alias("type"), s.alias("secret"), F.lit(d.by_pattern).alias("by_pattern"), none.alias("quoted"), none.alias("bare"), F.lit(None).cast("double").alias("limit"), F.lit(None).cast("boolean").alias("of_hex"))))
+            columns.append(F.transform(d.find("line", "filename", eager), _plain(d)))
         else:
             sql.append(f"transform({d.sql('line', 'filename', eager, '__low')}, s -> named_struct('type', {text(d.kind)}, 'secret', s, 'by_pattern', {str(d.by_pattern).lower()}, 'quoted', cast(null as array<string>), 'bare', cast(null as array<string>), 'limit', cast(null as double), 'of_hex', cast(null as boolean)))")
     nothing = "cast(array() as array<struct<type:string,secret:string,by_pattern:boolean,quoted:array<string>,bare:array<string>,limit:double,of_hex:boolean>>)"

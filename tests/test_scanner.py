@@ -91,3 +91,33 @@ def test_baseline_query_over_the_bound_of_one_document(spark, tmp_path, monkeypa
     spark.range(5).selectExpr("id as doc_id", "'x' as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     rows = queries.QUERIES["baseline_document"](spark, str(tmp_path)).collect()
     assert len(rows) == len(set(rows)) > 3 and {r["is_secret"] for r in rows} == {None, True, False}
+
+
+def test_strings_by_entropy_many_at_once(spark):
+    """Against a count of characters in Python: more strings than are measured at once, long ones, quoted before bare."""
+    import math
+    import random
+
+    import pyarrow as pa
+
+    from cindersift.functions import entropy
+
+    def one(v, of_hex):
+        plain = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v)) if v else 0.0
+        return plain - 1.2 / math.log2(len(v)) if of_hex and len(v) > 1 and v.isdigit() else plain
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("0123456789abcdefXYZ-_"[: rng.choice([2, 10, 16, 21])], k=rng.choice([0, 1, 9, 12, 40, 300])))
+    rows = [([word() for _ in range(rng.randrange(4))], [word() for _ in range(rng.randrange(4))], rng.choice([2.5, 3.0, 3.5]), rng.random() < 0.5) for _ in range(200)] + [(None, None, None, None), ([], [], 3.0, True)]
+    want = [[] if limit is None else [v for v in q if round(one(v, h), 12) > limit] or [v for v in b if round(one(v, h), 12) > limit] for q, b, limit, h in rows]
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.list_(pa.string()), pa.list_(pa.string()), pa.float64(), pa.bool_()))]
+    for made in (entropy.strong_ones(), entropy.strong_ones(3, 7)):
+        assert made.func(*columns).to_pylist() == want
+
+
+def test_runs_and_their_lines(spark):
+    line = 'x "0123456789abcdefg" 0123456789abcdef0 +9876543210fedcba- \'aaaaaaaaab\''
+    assert found(spark, "HexHighEntropyString", line) == ["0123456789abcdef", "0123456789abcdef0", "9876543210fedcba"]
+    lines = spark.createDataFrame([(1, line + ' "0123456789abcdef"', "a.txt"), (2, "nothing", "a.txt"), (3, None, "a.txt"), (4, "PASSWORD = 'Abc1'", "a.py")], "n int, line string, filename string")
+    rows = D.secrets(lines, [D.detector("HexHighEntropyString"), D.detector("KeywordDetector"), D.detector("AWSKeyDetector")])
+    assert sorted((r["n"], r["type"], r["secret"]) for r in rows.collect()) == [(1, "Hex High Entropy String", "0123456789abcdef"), (4, "Secret Keyword", "Abc1")]
