@@ -77,13 +77,14 @@ def assignment(prefix: str, keyword: str, secret: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """A detector by patterns. ``parts`` are (pattern, group); a line without any of ``marks`` can't match (lower case if ``fold``)."""
+    """A detector by patterns. ``parts`` are (pattern, group); a line without any of ``marks`` (in lower case if ``fold``) or, in lower case, ``folded`` can't match."""
 
     name: str
     kind: str
     parts: list[tuple[str, int]]
     marks: list[str] = field(default_factory=list)
     fold: bool = False
+    folded: list[str] = field(default_factory=list)
 
 
 _PASS = "(?:p(?:ass|assword|w|wd)|key|token)"
@@ -92,7 +93,7 @@ _UNION = "(?:[-_]|)"
 _CLOUD = f"(?:ibm{_UNION}cloud{_UNION}iam|ibm{_UNION}cloud|ibm{_UNION}iam|ibm|cloud{_UNION}iam|cloud|iam|){_UNION}(?:api|)"
 
 RULES = [
-    Rule("AWSKeyDetector", "AWS Access Key", [("A(?:3T[0-9A-Z]|SIA|KIA|CCA|BIA)[A-Z0-9]{16}", 0), ("(?i)aws.{0,20}?(?:p(?:ass|assword|w|wd)|token|key).{0,20}?[\"']([/+0-9a-zA-Z]{40})[\"']", 1)], ["a3t", "asia", "akia", "acca", "abia", "aws"], True),
+    Rule("AWSKeyDetector", "AWS Access Key", [("A(?:3T[0-9A-Z]|SIA|KIA|CCA|BIA)[A-Z0-9]{16}", 0), ("(?i)aws.{0,20}?(?:p(?:ass|assword|w|wd)|token|key).{0,20}?[\"']([/+0-9a-zA-Z]{40})[\"']", 1)], ["A3T", "ASIA", "AKIA", "ACCA", "ABIA"], folded=["aws"]),
     Rule("AzureStorageKeyDetector", "Azure Storage Account access key", [("AccountKey=[=/+0-9A-Za-z]{88}", 0)], ["AccountKey="]),
     Rule("ArtifactoryDetector", "Artifactory Credentials", [("(?:^|[=:\"\\s])AKC[0-9A-Za-z]{10,}(?:[\"\\s]|$)", 0), ("(?:^|[=:\"\\s])AP[A-F\\d][0-9A-Za-z]{8,}(?:[\"\\s]|$)", 0)], ["AKC", "AP"]),
     Rule("CloudantDetector", "Cloudant Credentials", [(assignment("(?:cl(?:oudant|ou|))", f"(?:api|){_PASS}", "([a-f0-9]{64})"), 1), (assignment("(?:cl(?:oudant|ou|))", f"(?:api|){_PASS}", "([a-z]{24})"), 1), ("(?i)https?://[\\w\\-]+:([a-f0-9]{64})@[\\w\\-]+\\.cloudant\\.com", 1), ("(?i)https?://[\\w\\-]+:([a-z]{24})@[\\w\\-]+\\.cloudant\\.com", 1)], ["cl"], True),

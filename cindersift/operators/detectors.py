@@ -41,8 +41,10 @@ def matches(line: str, parts: list[tuple[str, int]]) -> str:
 
 def by_rule(rule: P.Rule):
     def find(line: str, filename: str, eager: bool = True, low: str = "") -> str:
-        found, seen = matches(line, rule.parts), (low or f"lower({line})") if rule.fold else ""
-        return f"if({_any(line, rule.marks, seen)}, {found}, {NOTHING})" if rule.marks else found
+        found, lower = matches(line, rule.parts), low or f"lower({line})"
+        seen = [_any(lower if rule.fold else line, rule.marks)] if rule.marks else []
+        seen += [_any(lower, rule.folded)] if rule.folded else []
+        return f"if({' or '.join(seen)}, {found}, {NOTHING})" if seen else found
 
     return find
 
@@ -84,17 +86,8 @@ class ByEntropy:
     limit: float
     of_hex: bool
 
-    def lists(self, line: str, eager: bool = True) -> str:
-        """A struct of two arrays as SQL: strings in quotes and bare ones, without what can't be above the limit."""
-        least = E.least_length(self.limit)
-        may = f"length(v) >= {least}"
-        # a run is tried from its first character alone and never given back; which runs there are is the same
-        run = f"(?<![{self.charset}])[{self.charset}]{{{least},}}+"
-        if not self.of_hex and self.limit >= E.MOST_OF_HEX:
-            may += " and v rlike '[^0-9A-Fa-f]'"
-        both = ", ".join(f"if(contains({line}, {text(q)}), regexp_extract_all({line}, {text(f'{q}([{self.charset}]++){q}')}, 1), {NOTHING})" for q in "\"'")
-        bare = f"if(length({line}) >= {least}, filter(regexp_extract_all({line}, {text(run)}, 0), v -> {may}), {NOTHING})" if eager else NOTHING
-        return f"named_struct('quoted', filter(concat({both}), v -> {may}), 'bare', {bare})"
+    def find(self, line: Column, eager: bool = True) -> Column:
+        return E.strong_in(self.charset, self.limit, self.of_hex, eager)(line)
 
 
 def family_sql(filename: str) -> str:
@@ -152,8 +145,7 @@ class Detector:
 
     def find(self, line: str = "line", filename: str = "filename", eager: bool = True) -> Column:
         if self.entropy:
-            both = F.expr(self.entropy.lists(line, eager))
-            return E.strong_ones()(both["quoted"], both["bare"], F.lit(self.entropy.limit), F.lit(self.entropy.of_hex))
+            return self.entropy.find(F.col(line), eager)
         return self.column(F.col(line), F.col(filename), eager) if self.column else F.expr(self.sql(line, filename, eager))
 
     @property
@@ -207,35 +199,21 @@ def regex_detector(kind: str, patterns: list[tuple[str, int]] | list[str]) -> De
     return Detector(kind, kind, lambda line, filename, eager=True, low="": matches(line, parts), {})
 
 
-def _plain(d: Detector):
-    """An entry of :func:`secrets` for a secret that nothing is left to measure of."""
-    none = F.lit(None).cast("array<string>")
-    return lambda s: F.struct(F.lit(d.kind).alias("type"), s.alias("secret"), F.lit(d.by_pattern).alias("by_pattern"), none.alias("quoted"), none.alias("bare"), F.lit(None).cast("double").alias("limit"), F.lit(None).cast("boolean").alias("of_hex"))
-
-
 def secrets(lines: DataFrame, detectors: list[Detector], eager: bool = True) -> DataFrame:
     """Lines (filename, line, ...) to a row for each secret: type, secret and by_pattern beside the input's columns.
 
-    A line is exploded to what patterns found and to an entry for each detector by entropy that has strings to measure,
-    so that lines without any end there; then the entropies of all strings of many lines are worked out at once.
+    Detectors by entropy take many lines at once. What was found is worked out before lines are exploded to it, so that this
+    is compiled code but for the patterns of lines that have their marks; lines without any secret end there.
     """
-    kept, sql, columns = lines.columns, [], []
-    for d in detectors:
-        if d.entropy:
-            some = f"filter(array({d.entropy.lists('line', eager)}), x -> size(x.quoted) > 0 or size(x.bare) > 0)"
-            sql.append(f"transform({some}, x -> named_struct('type', {text(d.kind)}, 'secret', cast(null as string), 'by_pattern', false, 'quoted', x.quoted, 'bare', x.bare, 'limit', {d.entropy.limit!r}D, 'of_hex', {str(d.entropy.of_hex).lower()}))")
-        elif d.column:
-            columns.append(F.transform(d.find("line", "filename", eager), _plain(d)))
-        else:
-            sql.append(f"transform({d.sql('line', 'filename', eager, '__low')}, s -> named_struct('type', {text(d.kind)}, 'secret', s, 'by_pattern', {str(d.by_pattern).lower()}, 'quoted', cast(null as array<string>), 'bare', cast(null as array<string>), 'limit', cast(null as double), 'of_hex', cast(null as boolean)))")
-    nothing = "cast(array() as array<struct<type:string,secret:string,by_pattern:boolean,quoted:array<string>,bare:array<string>,limit:double,of_hex:boolean>>)"
-    found = F.expr(f"concat({', '.join([nothing, *sql])})")
-    rows = lines.withColumn("__low", F.lower("line")).select(*kept, F.explode(F.concat(found, *columns) if columns else found).alias("__f")).select(*kept, "__f.*")
-    if not any(d.entropy for d in detectors):
-        return rows.select(*kept, "type", "secret", "by_pattern")
-    measured = rows.withColumn("__strong", E.strong_ones()(F.col("quoted"), F.col("bare"), F.col("limit"), F.col("of_hex")))
-    each = F.explode(F.when(F.col("limit").isNull(), F.array("secret")).otherwise(F.col("__strong")))
-    return measured.select(*kept, "type", each.alias("__secret"), "by_pattern").withColumnRenamed("__secret", "secret")
+    kept, rows, entries = lines.columns, lines.withColumn("__low", F.lower("line")), []
+    nothing = "cast(array() as array<struct<type:string,secret:string,by_pattern:boolean>>)"
+    for i, d in enumerate(detectors):
+        found = d.find("line", "filename", eager) if d.entropy or d.column else F.expr(d.sql("line", "filename", eager, "__low"))
+        rows = rows.withColumn(f"__found{i}", found)
+        entries.append(f"if(size(__found{i}) > 0, transform(__found{i}, s -> named_struct('type', {text(d.kind)}, 'secret', s, 'by_pattern', {str(d.by_pattern).lower()})), {nothing})")
+    found = rows.select(*kept, F.expr(f"concat({', '.join([nothing, *entries])})").alias("__f"))
+    # not the column alone: for that a filter would be inferred, in which all detectors run once more
+    return found.select(*kept, F.explode(F.expr(f"if(size(__f) > 0, __f, {nothing})")).alias("__s")).select(*kept, "__s.*")
 
 
 def names() -> list[str]:

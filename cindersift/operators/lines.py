@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def split_lines(text: Column) -> Column:
     """Lines end at LF or CRLF; a lone CR stays, and nothing follows a final line end."""
-    parts = F.split(text, "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    cut = [F.when(text.endswith(end), F.substring(text, F.lit(1), F.length(text) - len(end))) for end in ("\r\n", "\n")]
+    # by one character, which needs no pattern, and once
+    parts = F.split(F.replace(F.coalesce(*cut, text), F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def lines_of(files: DataFrame, text_col: str = "text") -> DataFrame:

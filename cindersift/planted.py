@@ -134,7 +134,9 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, template, filename, line_number, line, previous) for each document and template, and for each line of its text."""
-    each = F.expr("array(" + ", ".join(f"named_struct('template', '{n}', 'filename', {f}, 'line_number', {i + 1}L, 'line', {spark_sql(x)})" for i, (n, f, x) in enumerate(LINES)) + ")")
+    # numbered by transform: compiled into the loop of explode, so many templates make a method that Java's compiler passes over
+    each = ", ".join(f"named_struct('template', '{n}', 'filename', {f}, 'line', {spark_sql(x)})" for n, f, x in LINES)
+    each = F.expr(f"transform(array({each}), (x, i) -> named_struct('template', x.template, 'filename', x.filename, 'line_number', cast(i + 1 as bigint), 'line', x.line))")
     planted = _hashes(docs).select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*", F.lit("").alias("previous"))
     own = lines_of(docs.select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("filename"), "text"))
     return planted.unionByName(own.withColumn("template", F.lit("text")))

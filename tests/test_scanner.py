@@ -121,3 +121,34 @@ def test_runs_and_their_lines(spark):
     lines = spark.createDataFrame([(1, line + ' "0123456789abcdef"', "a.txt"), (2, "nothing", "a.txt"), (3, None, "a.txt"), (4, "PASSWORD = 'Abc1'", "a.py")], "n int, line string, filename string")
     rows = D.secrets(lines, [D.detector("HexHighEntropyString"), D.detector("KeywordDetector"), D.detector("AWSKeyDetector")])
     assert sorted((r["n"], r["type"], r["secret"]) for r in rows.collect()) == [(1, "Hex High Entropy String", "0123456789abcdef"), (4, "Secret Keyword", "Abc1")]
+
+
+def test_strings_of_lines_many_at_once(spark):
+    """Against patterns in Python: shared quotes, edges of lines, other characters, empty and missing lines, chunks of any size."""
+    import math
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from cindersift.functions import entropy
+    from cindersift.functions import patterns as P
+
+    def one(v, of_hex):
+        plain = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+        return plain - 1.2 / math.log2(len(v)) if of_hex and len(v) > 1 and v.isdigit() else plain
+
+    rng = random.Random(2)
+    part = lambda: rng.choice(['"', "'", '"', " ", "é", "\\", "-", "\r"]) if rng.random() < 0.5 else "".join(rng.choices("0123456789abcdefXYZ"[: rng.choice([2, 10, 16, 19])], k=rng.choice([1, 8, 9, 12, 40, 300])))
+    lines = ["".join(part() for _ in range(rng.randrange(9))) for _ in range(500)] + [None, "", '"0123456789"0123456789"012345678901"', "0123456789ab", "cdef01234567", "'0123456789ab", "'"]
+    for charset, limit, of_hex in ((P.HEX, 3.0, True), (P.HEX, 1.0, True), (P.BASE64, 3.5, False)):
+        for eager in (True, False):
+            want = []
+            for line in lines:
+                strong = lambda found: [v for v in found if len(v) >= entropy.least_length(limit) and round(one(v, of_hex), 12) > limit]
+                quoted = strong(re.findall(f'"([{charset}]+)"', line or "") + re.findall(f"'([{charset}]+)'", line or ""))
+                want.append(quoted or (strong(re.findall(f"[{charset}]+", line or "")) if eager else []))
+            for sizes in ((1 << 14, 1 << 20), (3, 7), (2, 500)):
+                found = entropy.strong_in(charset, limit, of_hex, eager, *sizes).func
+                assert found(pa.array(lines, "string")).to_pylist() == want
+                assert found(pa.array(lines, "large_string").slice(7)).to_pylist() == want[7:]
