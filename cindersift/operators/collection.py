@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY = ["filename", "secret_hash", "type"]
@@ -29,10 +29,16 @@ def merge(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def trim(known: DataFrame, scanned: DataFrame, files: DataFrame) -> DataFrame:
     """Of the files (filename) that were scanned only what was found again, with its new line; other files as they are."""
-    again = dedup(scanned).select(*IDENTITY, F.col("line_number").alias("new_line"))
-    listed = files.select("filename").distinct()
-    found = known.join(listed, "filename", "left_semi").join(again, IDENTITY).select(*IDENTITY, F.col("new_line").alias("line_number"), "is_secret", "is_verified")
-    return found.unionByName(known.join(listed, "filename", "left_anti").select(*IDENTITY, "line_number", "is_secret", "is_verified"))
+    # one shuffle, by file, for the flag of the file and the line of each identity; what isn't known matches nothing, as in a join
+    tagged = known.select(*IDENTITY, "line_number", "is_secret", "is_verified", F.lit(True).alias("__known"), F.lit(False).alias("__listed"))
+    again = scanned.select(*IDENTITY, "line_number").withColumns({"__known": F.lit(False), "__listed": F.lit(False)})
+    listed = files.select("filename").distinct().withColumns({"__known": F.lit(False), "__listed": F.lit(True)})
+    rows = tagged.unionByName(again, allowMissingColumns=True).unionByName(listed, allowMissingColumns=True)
+    rows = rows.withColumn("__in", F.max("__listed").over(Window.partitionBy("filename")) & F.col("filename").isNotNull())
+    new = F.min(F.when(~F.col("__known") & ~F.col("__listed"), F.col("line_number"))).over(Window.partitionBy(*IDENTITY))
+    seen = F.max(~F.col("__known") & ~F.col("__listed")).over(Window.partitionBy(*IDENTITY)) & F.col("secret_hash").isNotNull() & F.col("type").isNotNull()
+    rows = rows.withColumns({"__new": new, "__seen": seen}).where("__known and (not __in or __seen)")
+    return rows.select(*IDENTITY, F.when(F.col("__in"), F.col("__new")).otherwise(F.col("line_number")).alias("line_number"), "is_secret", "is_verified")
 
 
 def by_file(findings: DataFrame) -> DataFrame:

@@ -152,3 +152,26 @@ def test_strings_of_lines_many_at_once(spark):
                 found = entropy.strong_in(charset, limit, of_hex, eager, *sizes).func
                 assert found(pa.array(lines, "string")).to_pylist() == want
                 assert found(pa.array(lines, "large_string").slice(7)).to_pylist() == want[7:]
+
+
+def test_trim_shuffles_what_is_known_once(spark):
+    from cindersift.operators import collection
+
+    row = lambda f, h, t, n, yes=None: (t, f, h, n, yes, False)
+    known = spark.createDataFrame([row("a", "1", "t", 5, True), row("a", "1", "t", 6), row("a", "2", "t", 7), row("b", "1", "t", 8, False), row(None, "1", "t", 9), row("a", None, "t", 10), row("c", "3", "t", 11)], FINDING_ROW)
+    scanned = spark.createDataFrame([row("a", "1", "t", 2), row("a", "1", "t", 1), row("b", "1", "t", 3), row("a", "9", "t", 4), row("a", None, "t", 4), row(None, "1", "t", 4), row("c", "3", "t", None)], FINDING_ROW)
+    files = spark.createDataFrame([("a",), ("a",), ("c",), (None,), ("z",)], "filename string")
+    made = collection.trim(known, scanned, files)
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([("a", "1", "t", 1, True, False), ("a", "1", "t", 1, None, False), ("b", "1", "t", 8, False, False), (None, "1", "t", 9, None, False), ("c", "3", "t", None, None, False)], key=str)
+    plan = made._jdf.queryExecution().sparkPlan().toString() + made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_recover_scans_once(spark, tmp_path, monkeypatch):
+    from cindersift import queries
+
+    spark.range(3).selectExpr("id as doc_id", "'x' as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    scans, found = [], queries._found
+    monkeypatch.setattr(queries, "_found", lambda *a, **k: scans.append(1) or found(*a, **k))
+    rows = queries.QUERIES["audit_recover"](spark, str(tmp_path)).collect()
+    assert rows and all(r["secret_value"] for r in rows) and len(scans) == 1
