@@ -20,7 +20,7 @@ from .operators import audit, collection, custom, diff, filters, redact
 from .operators import detectors as D
 from .operators.lines import lines_of, with_context
 from .plans.scan import Scanner
-from .session import fresh_path, written
+from .session import fresh_path, shared, written
 from .settings import Settings, transient_settings
 from .sources.files import files_to_scan
 from .sources.tables import read_table
@@ -182,8 +182,10 @@ def _found(spark: SparkSession, sf: str, keep_value: bool = False) -> DataFrame:
 
 
 def _now(spark: SparkSession, sf: str) -> DataFrame:
-    """The findings, written once for all that is derived of them."""
-    return written(collection.dedup(_found(spark, sf)), "findings")
+    """The findings, scanned and shuffled once for all that is derived of them."""
+    now = shared(collection.dedup(_found(spark, sf)).select(*collection.IDENTITY, "line_number"))
+    # a scan has no labels
+    return now.withColumns({"is_secret": F.lit(None).cast("boolean"), "is_verified": F.lit(False)})
 
 
 def _new_old(spark: SparkSession, sf: str, now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
