@@ -57,11 +57,15 @@ def files(findings: DataFrame) -> DataFrame:
 
 def difference(a: DataFrame, b: DataFrame, exactly: bool = False) -> DataFrame:
     """What one has and the other has not: by identity, or by all columns. Empty means equal."""
+    # one grouping of both for both sides, in which nulls are equal
     columns = [*IDENTITY, "line_number", "is_secret", "is_verified"] if exactly else IDENTITY
-    x, y = a.select(*columns), b.select(*columns)
-    if not exactly:
-        x, y = x.distinct(), y.distinct()
-    return x.exceptAll(y).withColumn("side", F.lit("left")).union(y.exceptAll(x).withColumn("side", F.lit("right")))
+    both = a.select(*columns, F.lit(1).alias("__left"), F.lit(0).alias("__right")).union(b.select(*columns, F.lit(0), F.lit(1)))
+    many = F.sum if exactly else F.max
+    rows = both.groupBy(*columns).agg((many("__left") - many("__right")).alias("__n")).where("__n <> 0")
+    rows = rows.withColumn("side", F.when(F.col("__n") > 0, "left").otherwise("right"))
+    if exactly:
+        rows = rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.abs("__n"))))
+    return rows.select(*columns, "side")
 
 
 def equal(a: DataFrame, b: DataFrame, exactly: bool = False) -> bool:
