@@ -32,10 +32,17 @@ def unlabelled(findings: DataFrame) -> DataFrame:
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(filename, secret_hash, type, line_number, change): what the new one adds and what it no longer has."""
-    a, b = dedup(old), dedup(new)
-    added = b.join(a.select(*IDENTITY), IDENTITY, "left_anti").withColumn("change", F.lit("added"))
-    removed = a.join(b.select(*IDENTITY), IDENTITY, "left_anti").withColumn("change", F.lit("removed"))
-    return removed.unionByName(added).select(*IDENTITY, "line_number", "change").orderBy("filename", "line_number")
+    # one join for both changes; each identity is there once on a side, and what isn't known is equal to nothing
+    a = dedup(old).select(*IDENTITY, "line_number", F.lit(True).alias("__old"))
+    b = dedup(new).select(*(F.col(c).alias(f"__{c}") for c in IDENTITY), F.col("line_number").alias("__line"), F.lit(True).alias("__new"))
+    both = a.join(b, [F.col(c) == F.col(f"__{c}") for c in IDENTITY], "full").where("__old is null or __new is null")
+    gone = F.col("__old").isNotNull()
+
+    def of(one: str, other: str):
+        return F.when(gone, F.col(one)).otherwise(F.col(other)).alias(one)
+
+    change = F.when(gone, "removed").otherwise("added").alias("change")
+    return both.select(*(of(c, f"__{c}") for c in IDENTITY), of("line_number", "__line"), change).orderBy("filename", "line_number")
 
 
 def recover(findings: DataFrame, rescanned: DataFrame) -> DataFrame:
