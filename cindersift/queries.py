@@ -181,9 +181,10 @@ def _found(spark: SparkSession, sf: str, keep_value: bool = False) -> DataFrame:
     return rows.withColumn("filename", path).withColumn("line_number", F.col("line_number") + 100 * (F.col("doc_id") % 4)).drop("doc_id")
 
 
-def _now(spark: SparkSession, sf: str) -> DataFrame:
-    """The findings, scanned and shuffled once for all that is derived of them."""
-    now = shared(collection.dedup(_found(spark, sf)).select(*collection.IDENTITY, "line_number"))
+def _now(spark: SparkSession, sf: str, by: str | None = None) -> DataFrame:
+    """The findings, scanned and shuffled once for all that is derived of them; by a column of their identity, or by all of it."""
+    found = _found(spark, sf)
+    now = shared(collection.dedup(found.repartition(by) if by else found).select(*collection.IDENTITY, "line_number"))
     # a scan has no labels
     return now.withColumns({"is_secret": F.lit(None).cast("boolean"), "is_verified": F.lit(False)})
 
@@ -238,7 +239,8 @@ def equals(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("group_by_file", f"{_DEDUP} SELECT filename, count(*) AS secrets, string_agg(concat(line_number, ' ', secret_hash, ' ', type), ',' ORDER BY line_number, secret_hash, type) AS entries FROM old GROUP BY filename")
 def group_by_file(spark: SparkSession, sf: str) -> DataFrame:
-    rows = collection.by_file(_new_old(spark, sf)[1])
+    # shuffled by file from the start, so that grouping by file needs no other shuffle
+    rows = collection.by_file(_new_old(spark, sf, _now(spark, sf, "filename"))[1])
     entry = F.transform("secrets", lambda s: F.concat_ws(" ", s["line_number"].cast("string"), s["secret_hash"], s["type"]))
     return rows.select("filename", F.size("secrets").cast("bigint").alias("secrets"), F.array_join(entry, ",").alias("entries"))
 

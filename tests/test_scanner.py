@@ -178,7 +178,7 @@ def test_recover_scans_once(spark, tmp_path, monkeypatch):
     assert rows and all(r["secret_value"] for r in rows) and len(scans) == 1
 
 
-@pytest.mark.parametrize("name", ["subtract", "intersect", "merge", "equals", "trim", "count_secrets", "audit_stats", "audit_report", "audit_unlabelled", "audit_diff"])
+@pytest.mark.parametrize("name", ["subtract", "intersect", "merge", "equals", "trim", "group_by_file", "count_secrets", "audit_stats", "audit_report", "audit_unlabelled", "audit_diff"])
 def test_collections_scan_once_and_write_nothing(spark, tmp_path, monkeypatch, name):
     """What is known and what is new are of one scan and one shuffle by identity, though joins and columns differ."""
     from cindersift import queries
