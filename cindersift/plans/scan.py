@@ -85,9 +85,9 @@ class Scanner:
         lines = lines_of(files).where(~self.excluded_line(F.col("filename"), F.col("line"), F.col("previous")))
         return self._findings(self._secrets(self.detect(lines)), *keys)
 
-    def scan_files(self, paths: list[str], root: str = ".") -> DataFrame:
-        """Findings in files on disk. File filters run on the names, before anything is read."""
-        names = self.spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "filename string")
+    def scan_files(self, paths: list[str] | DataFrame, root: str = ".") -> DataFrame:
+        """Findings in files on disk, by a list of names or a table of different ones (filename). File filters run on the names, before anything is read."""
+        names = paths if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "filename string")
         if any(short(n) == "is_invalid_file" for n in self.settings.filters):
             names = names.where(sources.is_valid_file(root)(F.col("filename")))
         kept = names.where(~self.excluded_file(F.col("filename")))

@@ -22,7 +22,7 @@ from .operators.lines import lines_of, with_context
 from .plans.scan import Scanner
 from .session import fresh_path, shared, written
 from .settings import Settings, transient_settings
-from .sources.files import files_to_scan
+from .sources.files import files_below
 from .sources.tables import read_table
 from .streaming.files import scan_stream
 
@@ -396,15 +396,18 @@ def scan_files(spark: SparkSession, sf: str) -> DataFrame:
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
+        there = set()
         for batch in batches:
             for i, text in zip(batch["doc_id"], batch["text"]):
-                os.makedirs(f"{folder}/{i % 97}", exist_ok=True)
+                if i % 97 not in there:
+                    os.makedirs(f"{folder}/{i % 97}", exist_ok=True)
+                    there.add(i % 97)
                 with open(f"{folder}/{i % 97}/{i}.txt", "wb") as file:
                     file.write((text or "").encode())
             yield pd.DataFrame({"n": [len(batch)]})
 
     _docs(spark, sf).select("doc_id", "text").mapInPandas(save, "n bigint").agg(F.sum("n")).collect()
-    return Scanner(spark, Settings.default()).scan_files(files_to_scan([], True, folder), folder).select("filename", "line_number", "type", "secret_hash")
+    return Scanner(spark, Settings.default()).scan_files(files_below(spark, folder), folder).select("filename", "line_number", "type", "secret_hash")
 
 
 @_add("det_regex", f"WITH {planted.lines_sql()} SELECT * FROM (SELECT doc_id, template, unnest(list_concat(regexp_extract_all(line, '-us([0-9]+)', 1), regexp_extract_all(line, 'xox[bp]-[0-9]+', 0))) AS secret FROM planted) WHERE secret <> ''")

@@ -7,12 +7,14 @@ import subprocess
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Texts of so many characters go on together.
 BATCH_CHARS = 1 << 21
+#: And so many names.
+BATCH_NAMES = 1 << 14
 
 
 def walk(folder: str) -> Iterator[str]:
@@ -49,6 +51,52 @@ def files_to_scan(paths: Iterable[str] = (), all_files: bool = False, root: str
     return sorted(found)
 
 
+def _folders(root: str, wanted: int) -> list[tuple[str, bool]]:
+    """About as many folders as wanted that are to be walked, and (False) those above them, of which only their own files are."""
+    whole, above = [root], []
+    while whole and len(whole) < wanted:
+        found = []
+        for folder in whole:
+            above.append((folder, False))
+            try:
+                with os.scandir(folder) as entries:
+                    found += sorted(e.path for e in entries if not e.name.startswith(".") and e.is_dir(follow_symlinks=False))
+            except OSError:
+                continue
+        whole = found
+    return above + [(folder, True) for folder in whole]
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(filename) of all files below root, as :func:`files_to_scan` finds them, but walked by tasks and never listed on the driver.
+
+    In no order, and spread evenly whatever the folders hold. Names that aren't UTF-8, which no column can have, are passed over.
+    """
+    base = os.path.abspath(root)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[str] = []
+        for folder, deep in ((f, d) for batch in batches for f, d in zip(batch["folder"], batch["deep"])):
+            if deep:
+                paths = walk(folder)
+            else:
+                paths = (p for n in (os.listdir(folder) if os.access(folder, os.R_OK) else []) if os.path.isfile(p := os.path.join(folder, n)))
+            for path in paths:
+                try:
+                    path.encode()
+                except UnicodeEncodeError:
+                    continue
+                found.append(os.path.relpath(path, base))
+                if len(found) == BATCH_NAMES:
+                    yield pd.DataFrame({"filename": found})
+                    found = []
+        yield pd.DataFrame({"filename": pd.Series(found, dtype=object)})
+
+    folders = spark.createDataFrame(_folders(base, tasks), "folder string, deep boolean").repartition(tasks)
+    return folders.mapInPandas(names, "filename string").repartition(tasks)
+
+
 def is_valid_file(root: str):
     @F.pandas_udf("boolean")
     def valid(names: pd.Series) -> pd.Series:

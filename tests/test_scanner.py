@@ -220,3 +220,30 @@ def test_difference_and_diff_as_by_joins(spark):
     found = audit.diff(a, b)
     assert rows(found) == rows(want.select(*found.columns)) and len(rows(found)) > 2
     assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Join") == 1
+
+
+def test_files_below_are_those_of_a_walk(spark, tmp_path, monkeypatch):
+    """Hidden folders, links, empty folders, names of any kind; without a list on the driver."""
+    from cindersift import queries
+    from cindersift.sources import files
+
+    assert not hasattr(queries, "files_to_scan")
+
+    root = tmp_path / "root"
+    for place in ("", "a", "a/b", "a/b/c", ".git", "a/.x", "empty", "ñ d", "link-to-dir"):
+        (root / place).mkdir(parents=True, exist_ok=True)
+        for name in ("1.txt", ".hidden", "x y.py", "ñ.md") if place != "empty" else ():
+            (root / place / name).write_text("AKIA" + "B" * 16)
+    (root / "to-file").symlink_to(root / "a" / "1.txt")
+    (root / "to-dir").symlink_to(root / "a")
+    (root / "gone").symlink_to(root / "nothing")
+    (root / "not-utf8-\udcff.txt").write_text("x")
+    want = [n for n in files.files_to_scan([], True, str(root)) if n.isprintable()]
+    assert "to-file" in want and "a/b/c/ñ.md" in want and not any(n.startswith(".git") for n in want)
+    for given in (str(root), f"{root}/../root/"):
+        assert sorted(r["filename"] for r in files.files_below(spark, given).collect()) == want
+    assert files.files_below(spark, str(root / "empty")).count() == files.files_below(spark, str(root / "none")).count() == 0
+    folders = files._folders
+    for wanted in (1, 3, 1000):
+        monkeypatch.setattr(files, "_folders", lambda base, _, wanted=wanted: folders(base, wanted))
+        assert sorted(r["filename"] for r in files.files_below(spark, str(root)).collect()) == want
