@@ -127,8 +127,41 @@ BASE64_NAME, HEX_NAME, KEYWORD_NAME = "Base64HighEntropyString", "HexHighEntropy
 BASE64_KIND, HEX_KIND, KEYWORD_KIND = "Base64 High Entropy String", "Hex High Entropy String", "Secret Keyword"
 BASE64_LIMIT, HEX_LIMIT = 4.5, 3.0
 
+_LONG = "[-_0-9A-Za-z]{24}"
+#: What a line has, byte by byte, that a detector finds something in: a pattern for RE2 in Latin-1. Each is implied by the
+#: detector's patterns, as ``FOLDED`` stands for letters of others that Java takes for ASCII ones if case doesn't matter.
+SIGNS: dict[str, str] = {
+    "AWSKeyDetector": "A(?:3T|SIA|KIA|CCA|BIA)[0-9A-Z]{8}|[\"'][/+0-9A-Za-z]{40}",
+    "AzureStorageKeyDetector": "AccountKey=",
+    "ArtifactoryDetector": "AKC[0-9A-Za-z]|AP[0-9A-F\\x80-\\xff]",
+    "CloudantDetector": _LONG,
+    "IbmCloudIamDetector": _LONG,
+    "IbmCosHmacDetector": _LONG,
+    "SoftlayerDetector": _LONG,
+    "BasicAuthDetector": "://[^/@:?#]+:[^/@:?#]+@",
+    "DiscordBotTokenDetector": "[-_0-9a-zA-Z\\x80-\\xff]{6}\\.[-_0-9a-zA-Z\\x80-\\xff]{6,}\\.[-_0-9a-zA-Z\\x80-\\xff]{6}",
+    "GitHubTokenDetector": "gh[oprsu]_",
+    "GitLabTokenDetector": "gl(?:pat|dt|ft|soat|rt|cbt|imt|ptt|agent|oas)-|GR1348941",
+    "JwtTokenDetector": "eyJ",
+    "PrivateKeyDetector": "PRIVATE KEY|PuTTY-User",
+    "MailchimpDetector": "[a-z0-9]{8}-us[0-9]",
+    "NpmDetector": "_authToken=",
+    "OpenAIDetector": "T3BlbkFJ",
+    "PypiTokenDetector": "pypi-Ag",
+    "SendGridDetector": "SG\\.[-_0-9a-zA-Z]{8}",
+    "SlackDetector": "(?i:xox[abopsr]-|hooks\\.slack)",
+    "SquareOAuthDetector": "sq0csp-",
+    "StripeDetector": "[rs]k_live_",
+    "TelegramBotTokenDetector": "[0-9\\x80-\\xff]{8}:",
+    "TwilioKeyDetector": "(?:AC|SK)[0-9a-z]{8}",
+    IP_NAME: "[0-9]\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]",
+}
+#: The letters U+0130, U+0131, U+017F and U+212A in UTF-8.
+FOLDED = "\\xc4[\\xb0\\xb1]|\\xc5\\xbf|\\xe2\\x84\\xaa"
+
 # keyword rules: name = value in five families of languages
 _KEYS = "|".join([f"{k}_?key" for k in "client private priv database db account service auth api".split()] + ["database_?pass", "db_?pass", "key_?pass", "contrase(?:ñ|n)a", "secret", "p(?:assword|asswd|wd)"])
+SIGNS[KEYWORD_NAME] = "(?i:" + _KEYS.replace("(?:ñ|n)a", "") + ")"
 _K = f"(?:{_KEYS})\\w*"
 _C = "(?:[\\]\\'\"]{0,2})?"
 _S = "([^\\x0B'\"]*\\w[^\\x0B'\"]*[^\\x0B,'\"` ])"

@@ -89,6 +89,11 @@ class ByEntropy:
     def find(self, line: Column, eager: bool = True) -> Column:
         return E.strong_in(self.charset, self.limit, self.of_hex, eager)(line)
 
+    @property
+    def sign(self) -> str:
+        """A run of the charset that is long enough for the limit; counts of RE2 end at 1000."""
+        return f"[{self.charset}]{{{min(E.least_length(self.limit), 1000)}}}"
+
 
 def family_sql(filename: str) -> str:
     """Which keyword rules hold for a file, by the text after its last dot."""
@@ -134,7 +139,7 @@ class Verified(IntEnum):
 class Detector:
     """A detector with its parameters. ``sql(line, filename, eager, low)`` is, for columns of those names, an array of secrets
     (``low`` may name the line in lower case); one by entropy has ``entropy`` instead, and a custom one ``column``, which
-    takes and makes columns."""
+    takes and makes columns. ``sign`` is what lines have that it finds something in (see ``P.SIGNS``), None if that isn't known."""
 
     name: str
     kind: str
@@ -142,6 +147,7 @@ class Detector:
     params: dict
     column: Any = None
     entropy: ByEntropy | None = None
+    sign: str | None = None
 
     def find(self, line: str = "line", filename: str = "filename", eager: bool = True) -> Column:
         if self.entropy:
@@ -177,9 +183,11 @@ def detector(name: str, **params: Any) -> Detector:
         return CUSTOM[name](**params)
     kind = KINDS[name]
     if name == P.BASE64_NAME:
-        return Detector(name, kind, None, params, entropy=ByEntropy(P.BASE64, float(params.get("limit", P.BASE64_LIMIT)), False))
+        by = ByEntropy(P.BASE64, float(params.get("limit", P.BASE64_LIMIT)), False)
+        return Detector(name, kind, None, params, entropy=by, sign=by.sign)
     if name == P.HEX_NAME:
-        return Detector(name, kind, None, params, entropy=ByEntropy(P.HEX, float(params.get("limit", P.HEX_LIMIT)), True))
+        by = ByEntropy(P.HEX, float(params.get("limit", P.HEX_LIMIT)), True)
+        return Detector(name, kind, None, params, entropy=by, sign=by.sign)
     if name == P.IP_NAME:
         find = _ip
     elif name == P.KEYWORD_NAME:
@@ -188,7 +196,13 @@ def detector(name: str, **params: Any) -> Detector:
         find = _jwt
     else:
         find = by_rule(next(r for r in P.RULES if r.name == name))
-    return Detector(name, kind, find, params)
+    return Detector(name, kind, find, params, sign=P.SIGNS[name])
+
+
+def sign_of(detectors: list[Detector]) -> str | None:
+    """What lines have that any of these detectors finds something in; None where all lines must be looked at."""
+    signs = [d.sign for d in detectors]
+    return None if None in signs else "|".join(dict.fromkeys([*signs, P.FOLDED]))
 
 
 def regex_detector(kind: str, patterns: list[tuple[str, int]] | list[str]) -> Detector:

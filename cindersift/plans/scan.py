@@ -71,6 +71,11 @@ class Scanner:
         """Lines (filename, line, ...) to a row for each candidate: type, secret and by_pattern beside the input's columns."""
         return D.secrets(lines, self.settings.detectors(), eager)
 
+    @property
+    def sign(self) -> str | None:
+        """What a line has if anything is found in it, for :func:`lines_of`."""
+        return D.sign_of(self.settings.detectors())
+
     def _secrets(self, candidates: DataFrame) -> DataFrame:
         real = (F.col("secret") == "") | ~self.excluded_secret(F.col("secret"), F.col("line"), F.col("by_pattern"))
         return candidates.where(real)
@@ -82,7 +87,7 @@ class Scanner:
     def scan_table(self, table: DataFrame, filename: Column, text: str = "text", *keys: str) -> DataFrame:
         """Findings in the texts of a table, one row being one file; ``keys`` are carried along."""
         files = table.select(*keys, filename.alias("filename"), F.col(text).alias("text")).where(~self.excluded_file(F.col("filename")))
-        lines = lines_of(files).where(~self.excluded_line(F.col("filename"), F.col("line"), F.col("previous")))
+        lines = lines_of(files, sign=self.sign).where(~self.excluded_line(F.col("filename"), F.col("line"), F.col("previous")))
         return self._findings(self._secrets(self.detect(lines)), *keys)
 
     def scan_files(self, paths: list[str] | DataFrame, root: str = ".") -> DataFrame:
@@ -92,7 +97,7 @@ class Scanner:
             names = names.where(sources.is_valid_file(root)(F.col("filename")))
         kept = names.where(~self.excluded_file(F.col("filename")))
         read = sources.read_texts(kept, root)
-        lines = lines_of(read).where(~self.excluded_line(F.col("filename"), F.col("line"), F.col("previous")))
+        lines = lines_of(read, sign=self.sign).where(~self.excluded_line(F.col("filename"), F.col("line"), F.col("previous")))
         return self._findings(self._secrets(self.detect(lines)))
 
     def scan_file(self, path: str, root: str = ".") -> DataFrame:

@@ -6,10 +6,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cindersift import baseline
+from cindersift import baseline, planted
 from cindersift.operators import detectors as D
 from cindersift.operators import diff, redact
-from cindersift.operators.lines import lines_of
+from cindersift.operators.lines import lines_of, lines_with
 from cindersift.plans.scan import Scanner
 from cindersift.settings import Settings, patterns_of
 
@@ -39,6 +39,35 @@ def test_lines(spark):
     assert [(r["line_number"], r["line"], r["previous"]) for r in rows] == [(1, "a", ""), (2, "b\rc", "a"), (3, "", "b\rc"), (4, "d", "")]
 
 
+def test_lines_that_have_a_sign(spark):
+    """They are those that all lines would give, with their numbers and the lines before."""
+    texts = ["a\r\nkey\rb\nkey", "", None, "\n\nkey\r\n", "key\r\r\n\r\nkey\n\n", "é\nkéy\nthe key \ufffd\n", "\r", "none", "key\r"]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    wanted = sorted(map(tuple, lines_of(table).where("line like '%key%'").collect()))
+    assert len(wanted) == 7
+    assert sorted(map(tuple, lines_of(table, sign="key").collect())) == wanted
+    parts = table.select("id", F.explode(lines_with("key", size=5)("text")).alias("x")).select("id", "x.*")
+    assert sorted(map(tuple, parts.collect())) == wanted
+    assert lines_of(table, sign="nothing").count() == 0
+
+
+def test_scans_look_at_lines_with_a_sign_alone(spark):
+    """Detection takes no other lines, and finds what it finds in all of them, in letters of other scripts too."""
+    odd = ["\u212aey: nothing", "client_\u212aey = 'abcdefgh1'", "cl\u0131ent_key = 'abcdefgh1'", "pa\u017fswd: 'abcdefgh1', key", "contrase\u00f1a = 'abcdefgh1'", "M" + "a" * 23 + "." + "\u0661" * 6 + "." + "a" * 27, "\u0661" * 8 + ":" + "a" * 35, "k AP\u0661" + "a" * 8, "://u:p\u00e9@h"]
+    table = planted.lines(spark.range(1, 3).select(F.col("id").alias("doc_id"), F.lit("\n".join(["plain words, and no more"] * 50 + odd)).alias("text")))
+    one = table.groupBy("doc_id", "filename").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n").alias("text")).cache()
+    scanner = Scanner(spark, Settings.default())
+    found = scanner.detect(lines_of(one)).select("type", "line", "doc_id", "filename", "line_number", "secret").collect()
+    assert {r["type"] for r in found} == set(D.KINDS.values())
+    signs = {d.kind: re.compile(D.sign_of([d]).encode()) for d in scanner.settings.detectors()}
+    assert [r for r in found if not signs[r["type"]].search(r["line"].encode())] == []
+    some = lines_of(one, sign=scanner.sign)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, scanner.detect(some).select("type", "line", "doc_id", "filename", "line_number", "secret").collect()))
+    assert some.where("line like 'plain words%'").count() == 0
+    assert D.sign_of([D.detector("AWSKeyDetector"), D.regex_detector("Own", ["x"])]) is None
+    one.unpersist()
+
+
 def test_scan_files_and_baseline(spark, tmp_path):
     (tmp_path / "a.py").write_text('k = "AKIA' + "B" * 16 + '"\n# pragma: allowlist nextline secret\nk = "AKIA' + "C" * 16 + '"\n')
     (tmp_path / "yarn.lock").write_text('"AKIA' + "D" * 16 + '"\n')
