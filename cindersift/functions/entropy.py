@@ -27,28 +27,37 @@ def hex_shannon(value: Column, charset: str | None = "0-9A-Fa-f") -> Column:
     return F.when((F.length(value) > 1) & value.rlike("\\A[0-9]+\\z"), plain - 1.2 / F.log2(F.length(value))).otherwise(plain)
 
 
-def _entropies(size: int):
+def _entropies(size: int, chars: list[int] | None = None):
     """A function of the lengths and the bytes of ASCII strings that lie one after the other: their entropies.
 
-    ``which`` are measured as hexadecimal. Bytes are counted ``size`` at a time.
+    ``which`` are measured as hexadecimal. Bytes are counted ``size`` at a time, in a column for each of ``chars``, of which
+    all strings are (all of ASCII if None).
     """
 
     def entropies(lengths, data, which):
         import numpy as np
 
+        columns = np.arange(128) if chars is None else np.array(chars)
+        code, width = np.zeros(256, np.int64), len(columns)
+        code[columns] = np.arange(width)
         ends = np.cumsum(lengths)
-        starts, counts = ends - lengths, np.zeros((len(lengths), 128), np.int32)
+        starts, counts = ends - lengths, np.zeros((len(lengths), width), np.int32)
         for low in range(0, len(data), size):
             high = min(low + size, len(data))
             i, j = np.searchsorted(ends, low, "right"), np.searchsorted(ends, high - 1, "right") + 1
             within = np.minimum(ends[i:j], high) - np.maximum(starts[i:j], low)
-            cells = np.repeat(np.arange(j - i) << 7, within) + (data[low:high] & 127)
-            counts[i:j] += np.bincount(cells, minlength=(j - i) << 7).reshape(j - i, 128)
-        rows, columns = np.nonzero(counts)
-        some = counts[rows, columns].astype(float)
+            cells = np.repeat(np.arange(j - i) * width, within) + code[data[low:high]]
+            counts[i:j] += np.bincount(cells, minlength=(j - i) * width).reshape(j - i, width).astype(np.int32)
+
+        def terms(n):
+            return n * np.log2(np.maximum(n, 1))
+
+        # most counts are small and come again and again
+        few = int(counts.max(initial=0)) < 1 << 16
+        each = terms(np.arange(counts.max(initial=0) + 1).astype(float))[counts] if few else terms(counts.astype(float))
         n = np.maximum(lengths, 1).astype(float)
-        plain = np.log2(n) - np.bincount(rows, some * np.log2(some), len(lengths)) / n
-        digits = which & (lengths > 1) & (counts[:, 48:58].sum(axis=1) == lengths)
+        plain = np.log2(n) - each.sum(axis=1) / n
+        digits = which & (lengths > 1) & (counts[:, (columns >= 48) & (columns < 58)].sum(axis=1) == lengths)
         return np.where(digits, plain - 1.2 / np.log2(np.maximum(n, 2)), plain)
 
     return entropies
@@ -99,8 +108,8 @@ def strong_in(charset: str, limit: float, of_hex: bool, eager: bool = True, valu
     """
     import re
 
-    entropies, least = _entropies(size), least_length(limit)
     member = [re.fullmatch(f"[{charset}]", chr(c)) is not None for c in range(128)] + [False] * 128
+    entropies, least = _entropies(size, [c for c in range(128) if member[c]]), least_length(limit)
 
     @F.arrow_udf("array<string>")
     def pick(lines):

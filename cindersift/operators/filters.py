@@ -32,7 +32,9 @@ def base(filename: Column) -> Column:
 
 
 def is_non_text_file(filename: Column) -> Column:
-    return F.regexp_extract(base(filename), "^.+(\\.[^.]*)$", 1).isin(P.NOT_TEXT)
+    # what follows the last dot first, which needs no pattern and is another for most names
+    tail = F.substring_index(filename, ".", -1).isin([e[1:] for e in P.NOT_TEXT])
+    return tail & F.regexp_extract(base(filename), "^.+(\\.[^.]*)$", 1).isin(P.NOT_TEXT)
 
 
 def is_lock_file(filename: Column) -> Column:
@@ -66,7 +68,8 @@ def is_line_allowlisted(filename: Column, line: Column, previous: Column) -> Col
 
 
 def is_sequential_string(secret: Column) -> Column:
-    return _or(F.lit(s).contains(F.upper(secret)) for s in P.SEQUENCES)
+    # all sequences at once, which a secret with what is between them isn't in; the upper case is made once
+    return F.lit("\n".join(P.SEQUENCES)).contains(F.upper(secret)) & ~secret.contains("\n")
 
 
 def is_potential_uuid(secret: Column) -> Column:

@@ -132,13 +132,19 @@ def _hashes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.expr("sha1(concat('s', cast(doc_id as string)))").alias("h"), F.expr("sha1(concat('t', cast(doc_id as string)))").alias("g"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, filename, line_number, line, previous) for each document and template, and for each line of its text."""
-    # numbered by transform: compiled into the loop of explode, so many templates make a method that Java's compiler passes over
-    each = ", ".join(f"named_struct('template', '{n}', 'filename', {f}, 'line', {spark_sql(x)})" for n, f, x in LINES)
-    each = F.expr(f"transform(array({each}), (x, i) -> named_struct('template', x.template, 'filename', x.filename, 'line_number', cast(i + 1 as bigint), 'line', x.line))")
-    planted = _hashes(docs).select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.*", F.lit("").alias("previous"))
-    own = lines_of(docs.select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("filename"), "text"))
+_ROW = "struct<template:string,filename:string,line_number:bigint,line:string>"
+
+
+def lines(docs: DataFrame, sign: str | None = None) -> DataFrame:
+    """(doc_id, template, filename, line_number, line, previous) for each document and template, and for each line of its text (with a ``sign``, those that have it)."""
+    each = [f"named_struct('template', '{n}', 'filename', {f}, 'line_number', {i + 1}L, 'line', {spark_sql(x)})" for i, (n, f, x) in enumerate(LINES)]
+    # one projection beside the compiled loop of explode, which would be a method too long for Java's compiler: transform
+    # isn't compiled into such loops, and here it has one row to copy; all others are made in methods of their own
+    rows = f"concat(array({', '.join(each[:-1])}), transform(array({each[-1]}), x -> x))"
+    made = _hashes(docs).select("doc_id", F.expr(rows).alias("__rows"))
+    # not the column alone: for that a filter would be inferred, in which all rows are made once more
+    planted = made.select("doc_id", F.explode(F.expr(f"if(size(__rows) > 0, __rows, cast(array() as array<{_ROW}>))")).alias("x")).select("doc_id", "x.*", F.lit("").alias("previous"))
+    own = lines_of(docs.select("doc_id", F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("filename"), "text"), sign=sign)
     return planted.unionByName(own.withColumn("template", F.lit("text")))
 
 

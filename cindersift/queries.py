@@ -146,7 +146,7 @@ _scan("scan_conversations", "conversations", ["conv_id", "turn"], "text")
 def scan_planted(spark: SparkSession, sf: str) -> DataFrame:
     s = Scanner(spark, Settings.default())
     name, line = F.col("filename"), F.col("line")
-    rows = planted.lines(_docs(spark, sf)).where(~s.excluded_file(name) & ~s.excluded_line(name, line, F.col("previous")))
+    rows = planted.lines(_docs(spark, sf), s.sign).where(~s.excluded_file(name) & ~s.excluded_line(name, line, F.col("previous")))
     return s._findings(s._secrets(s.detect(rows)), "doc_id", "template").select("doc_id", "template", "line_number", "type", "secret_hash")
 
 
@@ -157,7 +157,7 @@ _ADHOC = "adhoc AS (SELECT doc_id, template, 'adhoc-line-scan' AS filename, CAST
 def scan_line(spark: SparkSession, sf: str) -> DataFrame:
     """Each planted line as if given ad hoc: secret filters alone."""
     s = Scanner(spark, Settings.default())
-    rows = planted.lines(_docs(spark, sf)).select("doc_id", "template", "line", F.lit("adhoc-line-scan").alias("filename"), F.lit(0).cast("bigint").alias("line_number"))
+    rows = planted.lines(_docs(spark, sf), s.sign).select("doc_id", "template", "line", F.lit("adhoc-line-scan").alias("filename"), F.lit(0).cast("bigint").alias("line_number"))
     return s._findings(s._secrets(s.detect(rows)), "doc_id", "template").select("doc_id", "template", "line_number", "type", "secret_hash")
 
 
@@ -176,7 +176,7 @@ _DEDUP = f"{_FOUND}, now AS (SELECT filename, secret_hash, type, CAST(min(line_n
 
 def _found(spark: SparkSession, sf: str, keep_value: bool = False) -> DataFrame:
     s = Scanner(spark, Settings().configure_plugins([{"name": n} for n in _FEW]), keep_value)
-    rows = s._findings(s.detect(planted.lines(_docs(spark, sf))), "doc_id")
+    rows = s._findings(s.detect(planted.lines(_docs(spark, sf), s.sign)), "doc_id")
     path = F.concat(F.lit("dir/"), F.floor(F.col("doc_id") / 4).cast("string"), F.lit("/"), F.col("filename"))
     return rows.withColumn("filename", path).withColumn("line_number", F.col("line_number") + 100 * (F.col("doc_id") % 4)).drop("doc_id")
 
@@ -459,5 +459,5 @@ def scan_settings(spark: SparkSession, sf: str) -> DataFrame:
     with transient_settings(_CONFIG):
         s = Scanner(spark)
         name, line = F.col("filename"), F.col("line")
-        rows = planted.lines(_docs(spark, sf)).where(~s.excluded_file(name) & ~s.excluded_line(name, line, F.col("previous")))
+        rows = planted.lines(_docs(spark, sf), s.sign).where(~s.excluded_file(name) & ~s.excluded_line(name, line, F.col("previous")))
         return s._findings(s._secrets(s.detect(rows)), "doc_id", "template").select("doc_id", "template", "line_number", "type", "secret_hash")

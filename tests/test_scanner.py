@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cindersift import baseline, planted
+from cindersift.functions import entropy as E
+from cindersift.functions import patterns as P
 from cindersift.operators import detectors as D
-from cindersift.operators import diff, redact
+from cindersift.operators import diff, filters, redact
 from cindersift.operators.lines import lines_of, lines_with
 from cindersift.plans.scan import Scanner
 from cindersift.settings import Settings, patterns_of
@@ -68,6 +70,36 @@ def test_scans_look_at_lines_with_a_sign_alone(spark):
     one.unpersist()
 
 
+def test_planted_lines_that_have_a_sign(spark):
+    """All that is planted stays, whole and numbered; of documents' own lines those that detection needs."""
+    docs = spark.createDataFrame([(1, "plain\nAKIA" + "Z" * 16 + "\nplain"), (2, None)], "doc_id bigint, text string")
+    every, some = planted.lines(docs).collect(), planted.lines(docs, Scanner(spark, Settings.default()).sign).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(r) for r in every if r["line"] != "plain") and len(every) == len(some) + 2
+    assert [(r["line_number"], r["template"]) for r in some if r["doc_id"] == 2] == [(i + 1, x[0]) for i, x in enumerate(planted.LINES)]
+
+
+def test_sequences_and_tails(spark):
+    secrets = ["abcdef", "", "7890123", "XYZABC", "Z=/", "/\nABC", "\n", "0123456789012345678A", "GFE"]
+    rows = spark.createDataFrame([(s,) for s in secrets], "s string").select("s", filters.is_sequential_string(F.col("s")).alias("is")).collect()
+    assert [r["is"] for r in rows] == [any(s.upper() in q for q in P.SEQUENCES) for s in secrets]
+    names = ["a.png", "a/.png", "a.png/b", "a.tar.gz", "png", ".gz", "a.PNG", "b.7z", "x.py"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").where(filters.is_non_text_file(F.col("n"))).collect()
+    assert [r["n"] for r in rows] == ["a.png", "a.tar.gz", "b.7z"]
+
+
+@pytest.mark.parametrize("chars", [None, [ord(c) for c in "0123456789ABCDEFabcdef"]])
+def test_entropies_by_columns(chars):
+    import math
+
+    import numpy as np
+
+    values = ["0123456789", "a", "", "00ff", "a" * 70000 + "b" * 10, "0" * 100, "abcdefABCDEF0123456789"]
+    got = E._entropies(1000, chars)(np.array([len(v) for v in values]), np.frombuffer("".join(values).encode(), np.uint8), True)
+    for v, x in zip(values, got):
+        wanted = -sum(v.count(c) / len(v) * math.log2(v.count(c) / len(v)) for c in set(v))
+        assert abs(x - (wanted - 1.2 / math.log2(len(v)) if len(v) > 1 and v.isdigit() else wanted)) < 1e-12
+
+
 def test_scan_files_and_baseline(spark, tmp_path):
     (tmp_path / "a.py").write_text('k = "AKIA' + "B" * 16 + '"\n# pragma: allowlist nextline secret\nk = "AKIA' + "C" * 16 + '"\n')
     (tmp_path / "yarn.lock").write_text('"AKIA' + "D" * 16 + '"\n')
